@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkvec.llm.common import table
 from sparkvec.llm.ngram_join import jaccard_join
+from sparkvec.llm.suffix_dedup import repeated_spans
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans made of windows of 50 words that occur earlier in the documents."""
+    return repeated_spans(table(spark, sf_dir, "documents"), length=50, gram=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_join,)}
+    return {f.__name__: f for f in (op3_ngram_join, op10_suffix_dedup)}
 
 
 OP3_SQL = r"""
