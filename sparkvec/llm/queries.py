@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkvec.llm.common import table
+from sparkvec.llm.decontaminate import contaminated
 from sparkvec.llm.ngram_join import jaccard_join
 from sparkvec.llm.suffix_dedup import repeated_spans
 
@@ -16,13 +17,18 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stretches of benchmark items in the documents, from 10 words or 60 % of an item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=10, min_cover=0.6, cover_words=8)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans made of windows of 50 words that occur earlier in the documents."""
     return repeated_spans(table(spark, sf_dir, "documents"), length=50, gram=8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_join, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op3_ngram_join, op4_decontamination, op10_suffix_dedup)}
 
 
 OP3_SQL = r"""

@@ -334,33 +334,33 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 8, key: str =
     return found.join(names, "row").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.when(F.col("source") != null, F.col("source")).alias("source_doc_id"))
 
 
-def cut_text(text: str, starts: list[int], ends: list[int]) -> str:
-    """text without the given spans of words and the white space behind them."""
+def cut_text(text: str, starts: list[int], ends: list[int], kind: str = "solid") -> str:
+    """text without the given spans of words and what separates them from the next word."""
     raw = text.encode()
-    words = textnp.Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), "solid", hashed=False)
+    words = textnp.Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), kind, hashed=False)
     begin = np.append(words.start, len(raw))
     out, at = [], 0
     for s, e in sorted(zip(starts, ends)):
         out.append(raw[at : begin[s]])
-        at = begin[e]
+        at = max(at, begin[e])
     out.append(raw[at:])
     return b"".join(out).decode()
 
 
-def _rewrite(text: str, starts: str, ends: str):
+def _rewrite(text: str, starts: str, ends: str, kind: str):
     def work(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
             s, e = batch.column(starts).to_pylist(), batch.column(ends).to_pylist()
             old = batch.column(at)
-            new = [cut_text(old[i].as_py(), s[i], e[i]) for i in range(len(s))]
+            new = [cut_text(old[i].as_py(), s[i], e[i], kind) for i in range(len(s))]
             cols = [pa.array(new, old.type) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
     return work
 
 
-def remove_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+def remove_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars", kind: str = "solid") -> DataFrame:
     """docs with the word spans of `found` (row, start_word, end_word) cut out; rows left without words go.
 
     The column `chars`, where there is one, is set to the new text's length. All other rows and columns stay as they are.
@@ -372,7 +372,7 @@ def remove_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: s
     lists = stored(found.groupBy("row").agg(F.collect_list("start_word").alias("starts"), F.collect_list("end_word").alias("ends")), "cuts")
     lists = sized(lists)
     hit = whole.join(lists, "row")
-    new = hit.mapInArrow(_rewrite(f"c{tx}", "starts", "ends"), hit.schema).drop("row", "starts", "ends").where(F.col(f"c{tx}").rlike(r"\S"))
+    new = hit.mapInArrow(_rewrite(f"c{tx}", "starts", "ends", kind), hit.schema).drop("row", "starts", "ends").where(F.col(f"c{tx}").rlike(r"\S"))
     if chars in names:
         at = place(docs, chars)
         new = new.withColumn(f"c{at}", F.length(f"c{tx}").cast(docs.schema[at].dataType))
