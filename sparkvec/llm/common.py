@@ -101,7 +101,7 @@ def longs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """int64 values; nulls as the smallest value."""
     import pyarrow.compute as pc
 
-    return np.asarray(pc.fill_null(cut(column), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), dtype=np.int64)
+    return np.asarray(pc.fill_null(cut(column).cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkvec.llm import sentencepiece_codec
 from sparkvec.llm.common import table
 from sparkvec.llm.decontaminate import contaminated
+from sparkvec.llm.importance import classify
 from sparkvec.llm.ngram_join import jaccard_join
 from sparkvec.llm.suffix_dedup import repeated_spans
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling towards good labelled text keeps, as many as the labels' share of good ones."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents with a Jaccard coefficient of word 3-grams of at least 0.5."""
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
@@ -22,13 +29,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=10, min_cover=0.6, cover_words=8)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of all documents, with their round trip and their parity with sentencepiece."""
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans made of windows of 50 words that occur earlier in the documents."""
     return repeated_spans(table(spark, sf_dir, "documents"), length=50, gram=8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_join, op4_decontamination, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_decontamination, op5_sentencepiece, op10_suffix_dedup)}
 
 
 OP3_SQL = r"""

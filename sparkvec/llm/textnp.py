@@ -90,31 +90,25 @@ WORD_BYTE = _table(lambda c: c >= 128 or chr(c).isalnum())
 #: Bytes that are not ASCII white space.
 SOLID_BYTE = _table(lambda c: c not in b" \t\n\r\x0b\x0c")
 
+#: Word bytes and, with "punct", runs of other solid bytes, by kind.
+KINDS = {"norm": WORD_BYTE.astype(np.uint8), "solid": SOLID_BYTE.astype(np.uint8), "punct": np.where(WORD_BYTE, 1, np.where(SOLID_BYTE, 2, 0)).astype(np.uint8)}
+
 
 class Words:
-    """The words of several documents.
+    """The words of several documents: runs of letters and digits ("norm"), of these or of punctuation ("punct"), or of anything but white space ("solid").
 
     start, end: byte spans in `data`; doc: the document's number; first: n+1
     offsets of each document's words; hash: 64-bit identities.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str = "norm", hashed: bool = True):
-        inside = (WORD_BYTE if kind == "norm" else SOLID_BYTE)[data]
-        if kind == "norm" and len(data) > 2:
-            # General punctuation (U+2000..U+207F: dashes, quotes, ellipsis) and U+00A0..U+00BF separate words too.
-            at = np.flatnonzero(data[:-2] == 0xE2)
-            at = at[(data[at + 1] == 0x80) | (data[at + 1] == 0x81)]
-            for j in range(3):
-                inside[at + j] = False
-            at = np.flatnonzero(data[:-1] == 0xC2)
-            inside[at] = False
-            inside[at + 1] = False
+        inside = KINDS[kind][data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[0] = edge[-1] = True
         edge[1:-1] = inside[1:] != inside[:-1]
         edge[offsets] = True
         cut = np.flatnonzero(edge)
-        keep = inside[cut[:-1]] if len(data) else np.zeros(0, dtype=bool)
+        keep = inside[cut[:-1]] > 0 if len(data) else np.zeros(0, dtype=bool)
         self.data, self.offsets = data, offsets
         self.start = cut[:-1][keep] if len(data) else np.zeros(0, dtype=np.int64)
         self.end = cut[1:][keep] if len(data) else np.zeros(0, dtype=np.int64)
