@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import sentencepiece_codec
+from sparkvec.llm import language_id, sentencepiece_codec
 from sparkvec.llm.common import table
 from sparkvec.llm.decontaminate import contaminated
 from sparkvec.llm.importance import classify
 from sparkvec.llm.ngram_join import jaccard_join
 from sparkvec.llm.suffix_dedup import repeated_spans
+from sparkvec.llm.va_search import top_k
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +35,24 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other embeddings of every embedding."""
+    return top_k(table(spark, sf_dir, "embeddings"), k=10)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by machines trained on at most 400 labelled ones a language."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs, per_language=400))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans made of windows of 50 words that occur earlier in the documents."""
     return repeated_spans(table(spark, sf_dir, "documents"), length=50, gram=8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_decontamination, op5_sentencepiece, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_decontamination, op5_sentencepiece, op7_exact_topk, op8_language_id, op10_suffix_dedup)}
 
 
 OP3_SQL = r"""
@@ -66,6 +78,15 @@ UNION ALL
 SELECT doc_id, match_id, overlap, overlap::DOUBLE / (na + nb - overlap) AS jaccard FROM met WHERE overlap * 2 >= na + nb - overlap
 """
 
+OP7_SQL = """
+SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id)::INTEGER AS rank, d AS distance
+FROM embeddings a, embeddings b,
+  LATERAL (SELECT list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d)
+WHERE a.vec_id <> b.vec_id
+QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op7_exact_topk": OP7_SQL}
