@@ -39,9 +39,12 @@ from sparkvec.llm import textnp
 from sparkvec.llm.common import blobs, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take
 
 #: Bytes of words that a map task gathers before it sends them on.
-FLUSH = 8 << 20
-#: 64-bit numbers that describe a run of windows: anchor, doc_id, row, first window, windows, offset of the anchor.
-HEAD = 6
+FLUSH = 12 << 20
+#: 64-bit numbers that describe a run of windows: anchor, doc_id, row, first window, windows, offset of the anchor
+#: in the first window, and by how much the offset falls from window to window: 1, or 0 where the anchor moves along.
+HEAD = 7
+#: Suffixes that are sorted side by side.
+SORTED = 1 << 18
 
 
 def window_anchors(words: textnp.Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,6 +123,12 @@ def _sent(length: int, gram: int, split: int):
                 first, count, at, h, d = first[use], count[use], at[use], h[use], d[use]
                 if not len(first):
                     continue
+                # Where a gram follows itself (one word again and again), each window has an anchor of its own: one run all the same.
+                moves = np.zeros(len(first), dtype=bool)
+                moves[1:] = (count[1:] == 1) & (count[:-1] == 1) & (h[1:] == h[:-1]) & (at[1:] == at[:-1] + 1) & (first[1:] == first[:-1] + 1) & (d[1:] == d[:-1])
+                s = np.flatnonzero(~moves)
+                n = np.diff(np.append(s, len(first)))
+                first, at, h, d, count, falls = first[s], at[s], h[s], d[s], np.where(n > 1, n, count[s]), (n == 1).astype(np.int64)
                 # All words with one space behind each: slices of this are what is sent.
                 wide = words.end - words.start + 1
                 ends = np.cumsum(wide)
@@ -128,7 +137,7 @@ def _sent(length: int, gram: int, split: int):
                 plain[ends - 1] = 32
                 raw = plain.tobytes()
                 begin = ends - wide
-                heads = np.stack([h.view(np.int64), ids[lo + d], rows[lo + d], first - words.first[d], count, at - first], axis=1)
+                heads = np.stack([h.view(np.int64), ids[lo + d], rows[lo + d], first - words.first[d], count, at - first, falls], axis=1)
                 texts = [raw[a:b] for a, b in zip(begin[first].tolist(), (ends[first + count + length - 2] - 1).tolist())]
                 held.append((heads, texts))
                 size += sum(map(len, texts))
@@ -217,7 +226,7 @@ def repeats(heads: np.ndarray, raw: bytes, length: int) -> tuple[np.ndarray, ...
         fresh[1:] = (heads[order][1:, [0, 2, 3]] != heads[order][:-1, [0, 2, 3]]).any(axis=1)
     order = order[fresh]
     offsets = np.concatenate([[0], ends + 1])
-    words = textnp.Words(data, offsets, "solid")
+    words = textnp.WordSpans(data, offsets, "solid")
     head = heads[order]
     base = words.first[:-1][order]
     n = head[:, 4]
@@ -225,7 +234,7 @@ def repeats(heads: np.ndarray, raw: bytes, length: int) -> tuple[np.ndarray, ...
     step = ranges(np.zeros(len(order), dtype=np.int64), n)
     item = base[seg] + step
     bits = int(length).bit_length()
-    bucket = ((head[:, 0].view(np.uint64)[seg] >> np.uint64(bits)) << np.uint64(bits)) | (head[:, 5][seg] - step).astype(np.uint64)
+    bucket = ((head[:, 0].view(np.uint64)[seg] >> np.uint64(bits)) << np.uint64(bits)) | (head[:, 5][seg] - step * head[:, 6][seg]).astype(np.uint64)
     o = np.argsort(bucket, kind="stable")
     start, count = runs(bucket[o])
     again = count > 1
@@ -236,17 +245,22 @@ def repeats(heads: np.ndarray, raw: bytes, length: int) -> tuple[np.ndarray, ...
     if not len(o):
         return none
     suffixes = Suffixes(words.hash, length)
-    # Sort numbers of `o`, so that the segment of each suffix stays known: suffix k starts at word item[o[k]].
-    place_of = item[o]
+    # What is sorted are word numbers; `back` leads from them to the suffixes. A window of a run is no window of another.
     back = np.full(len(words) + 1, -1, dtype=np.int64)
-    back[place_of] = o
-    done = back[suffixes.sort(place_of, start, count)]
-    w = item[done]
-    tie = np.zeros(len(done), dtype=bool)
-    tie[1:] = suffixes.extension(w[1:], w[:-1]) >= length
-    tie[start] = False
-    leader = np.maximum.accumulate(np.where(tie, 0, np.arange(len(done))))
-    x, y = done[tie], done[leader[tie]]
+    back[item[o]] = o
+    ties = []
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + SORTED)))
+        a, b = start[lo], start[hi - 1] + count[hi - 1]
+        w = suffixes.sort(item[o[a:b]], start[lo:hi] - a, count[lo:hi])
+        tie = np.zeros(len(w), dtype=bool)
+        tie[1:] = suffixes.extension(w[1:], w[:-1]) >= length
+        tie[start[lo:hi] - a] = False
+        leader = np.maximum.accumulate(np.where(tie, 0, np.arange(len(w))))
+        ties.append((back[w[tie]], back[w[leader[tie]]]))
+        lo = hi
+    x, y = (np.concatenate(z) for z in zip(*ties))
     # The words themselves, for stretches of windows whose first occurrence advances with them.
     o2 = np.lexsort((step[x], seg[x]))
     x, y = x[o2], y[o2]
@@ -307,7 +321,7 @@ def spans(docs: DataFrame, length: int = 50, gram: int = 8, key: str = "doc_id",
     """row, start_word, end_word, source of the spans to remove (stored)."""
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
-    split = parts(docs.sparkSession)
+    split = 16 * parts(docs.sparkSession)  # a group is what one sort holds
     own = take(docs, key=key, text=text).withColumn("row", row_id(docs, "key", "text")).withColumn("key", F.col("key").cast("long"))
     anchors = own.select("row", "text").mapInArrow(_anchors(length, gram), "anchor long, row long, at int")
     twice = anchors.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")

@@ -147,3 +147,26 @@ def steps(column: pa.Array, kind: str = "norm", lower: bool = True, limit: int =
         hi = min(hi, len(column), lo + STEP_DOCS)
         yield lo, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], kind, hashed)
         lo = hi
+
+
+class WordSpans:
+    """start, end, first and hash like Words, of many documents: made step by step, so that little is held besides."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str, limit: int = STEP_BYTES):
+        start, end, first, hashes = [], [], [np.zeros(1, dtype=np.int64)], []
+        lo = words = 0
+        while lo < len(offsets) - 1:
+            hi = min(len(offsets) - 1, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1))
+            part = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], kind)
+            start.append(part.start + offsets[lo])
+            end.append(part.end + offsets[lo])
+            hashes.append(part.hash)
+            first.append(part.first[1:] + words)
+            words += len(part)
+            lo = hi
+        none = [np.zeros(0, dtype=np.int64)]
+        self.start, self.end, self.first = np.concatenate(start or none), np.concatenate(end or none), np.concatenate(first)
+        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.start)
