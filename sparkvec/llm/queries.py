@@ -12,6 +12,7 @@ from sparkvec.llm.decontaminate import contaminated
 from sparkvec.llm.importance import classify
 from sparkvec.llm.ngram_join import jaccard_join
 from sparkvec.llm.suffix_dedup import repeated_spans
+from sparkvec.llm.sstable import token_shards
 from sparkvec.llm.va_search import top_k
 
 
@@ -46,13 +47,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs, per_language=400))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of all documents as sorted-string-table shards in the shared folder: where each document is."""
+    return token_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans made of windows of 50 words that occur earlier in the documents."""
     return repeated_spans(table(spark, sf_dir, "documents"), length=50, gram=8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_decontamination, op5_sentencepiece, op7_exact_topk, op8_language_id, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_decontamination, op5_sentencepiece, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
 
 
 OP3_SQL = r"""

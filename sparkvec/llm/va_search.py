@@ -148,8 +148,8 @@ def top_k(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "e
     Squared Euclidean distance in double precision over the float values; ties
     go to the lower id. Rows with a null id, a null or empty vector, or a value
     that is null, not a number or infinite take no part; vectors of another
-    length than the longest raise. Rows repeated with id and vector count once;
-    a row is no neighbour of a row with its id. Tables of fewer than k + 1 ids give
+    length than the longest raise. Of several rows with one id the least vector
+    (value by value) is used. Tables of fewer than k + 1 ids give
     what there is. Other columns are ignored.
     """
     if k < 1:
@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "e
     own = take(vectors, id=key, vector=vector).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
     inf = float("inf")
     sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(inf)))
-    own = own.where(F.col("id").isNotNull() & (F.size("vector") > 0) & sound).distinct()
+    own = own.where(F.col("id").isNotNull() & (F.size("vector") > 0) & sound).groupBy("id").agg(F.min("vector").alias("vector"))
     border = own.select(F.posexplode("vector").alias("d", "v")).groupBy("d").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).orderBy("d").collect()
     if not border:
         return spark.createDataFrame([], "query_id long, vec_id long, rank int, distance double")
@@ -177,6 +177,4 @@ def top_k(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "e
     pairs = pairs.repartition(blocks * groups, "q_block", "group").sortWithinPartitions("q_block", "group")
     found = pairs.select("q_block", "q_ids", "q_vectors", "ids", "codes", "vectors").mapInArrow(_scan(low, width, k), "query_id long, vec_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    # An id with several vectors is several queries; each neighbour counts once, with its least distance.
-    once = found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "distance")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "distance")
