@@ -13,7 +13,9 @@ from sparkvec.llm.importance import classify
 from sparkvec.llm.ngram_join import jaccard_join
 from sparkvec.llm.suffix_dedup import repeated_spans
 from sparkvec.llm.sstable import token_shards
+from sparkvec.llm.template import extract
 from sparkvec.llm.va_search import top_k
+from sparkvec.llm.warc import deduplicated_pages
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots of all pages, by the templates of their hosts."""
+    return extract(table(spark, sf_dir, "pages"), support=0.5, min_size=2)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents with a Jaccard coefficient of word 3-grams of at least 0.5."""
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
@@ -36,6 +43,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to deduplicated archives: which are responses, and which page each revisit stands for."""
+    return deduplicated_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest other embeddings of every embedding."""
     return top_k(table(spark, sf_dir, "embeddings"), k=10)
@@ -58,7 +70,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_decontamination, op5_sentencepiece, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_html_extraction, op3_ngram_join, op4_decontamination, op5_sentencepiece, op6_warc, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
 
 
 OP3_SQL = r"""
@@ -84,6 +96,12 @@ UNION ALL
 SELECT doc_id, match_id, overlap, overlap::DOUBLE / (na + nb - overlap) AS jaccard FROM met WHERE overlap * 2 >= na + nb - overlap
 """
 
+OP6_SQL = """
+SELECT page_id, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS type, 'sha256:' || sha256(coalesce(html, '')) AS digest,
+  CASE WHEN n > 1 THEN head END AS original_page_id
+FROM (SELECT page_id, html, row_number() OVER w AS n, first(page_id) OVER w AS head FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id))
+"""
+
 OP7_SQL = """
 SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id)::INTEGER AS rank, d AS distance
@@ -95,4 +113,4 @@ QUALIFY rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op7_exact_topk": OP7_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL}
