@@ -26,7 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='sparkvec-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    # With its file system named: tasks that write files of their own must not take it for a local path.
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    where = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + where[5:] if where.startswith("file:/") and not where.startswith("file://") else where
 
 
 def new_path(spark: SparkSession, what: str) -> str:

@@ -112,7 +112,9 @@ def build(model: Model, normalise: bool = True):
 
     ids = {p[0]: i for i, p in enumerate(model.pieces)}
     if model.kind == 1:
-        core = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unknown, byte_fallback=model.byte_fallback))
+        # Control pieces are no text: under names that no text holds they keep their ids.
+        named = [(f"\U0010fffd{p}" if kind in (CONTROL, UNUSED) else p, s) for p, s, kind in model.pieces]
+        core = Tokenizer(models.Unigram(named, unk_id=model.unknown, byte_fallback=model.byte_fallback))
     else:
         ranked = []
         usable = {p for p, _, kind in model.pieces if kind in (NORMAL, USER)}
