@@ -13,7 +13,8 @@ inverted lists. Nothing is approximate and nothing is capped:
 2. Each range sorts its postings into inverted lists. Lists of one class drop
    out; equal lists become one list with a weight.
 3. A class stays only while the weights of its lists reach the overlap that
-   any match needs (threshold * |x|). Its lists are ordered by length; the
+   any match needs (threshold * |x|); that is known from sums alone, before any
+   list is sent on. The lists of those that stay are ordered by length; the
    longest, as many as cannot reach that overlap by themselves, are its *long*
    lists. The first list that two matching classes share in the common order
    is short for both, so classes that no chain of short lists joins never
@@ -38,13 +39,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import blobs, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take
+from sparkvec.llm.common import blobs, cut, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take
 
 #: Postings that a map task gathers before it writes them out by range.
 FLUSH = 1 << 21
 
 _EXCHANGE = "part int, signatures binary, counts binary, grams binary, ids binary, rows binary, sizes binary"
-_LISTS = "kind int, list long, weight long, members array<long>, doc_id long, row long, size long"
+_LISTS = "kind int, list long, weight long, members array<long>, weights binary, doc_id long, row long, size long"
 
 
 def gram_sets(words: textnp.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +83,15 @@ def _exchange(n: int, split: int):
             start, length = runs(part)
             at, per = runs(part, doc)
             of = np.searchsorted(start, at, side="right") - 1
+            # A count is one byte; a document with more n-grams in a range is there again.
+            again = -(-per // 255)
+            last = np.cumsum(again) - 1
+            at, of, short = np.repeat(at, again), np.repeat(of, again), per - 255 * (again - 1)
+            per = np.full(len(at), 255, dtype=np.uint8)
+            per[last] = short
             docs = np.bincount(of, minlength=len(start))
             empty = [b""] * len(start)
-            cols = [part[start], blobs(sig[doc[at]], docs), blobs(per.astype(np.int32), docs), blobs(gram, length), empty, empty, empty]
+            cols = [part[start], blobs(sig[doc[at]], docs), blobs(per, docs), blobs(gram, length), empty, empty, empty]
             # The documents themselves go to the partition of their signature.
             home = ((sig >> np.uint64(16)) * np.uint64(split)) >> np.uint64(48)
             order = np.argsort(home, kind="stable")
@@ -116,43 +123,68 @@ def _exchange(n: int, split: int):
     return work
 
 
-def _to_lists(table: pa.Table) -> pa.Table:
-    """One range: its postings to weighted inverted lists (kind 1), and its documents (kind 0)."""
+def _to_lists(split: int):
+    """One range: its postings to weighted inverted lists (kind 1) and each class's weight in them (kind 2); its documents (kind 0)."""
+    names_ = ["kind", "list", "weight", "members", "weights", "doc_id", "row", "size"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    schema = pa.schema(list(zip(names_, kinds)))
 
-    def cat(name, kind):
-        return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
+    def rows(m: int, **given) -> pa.Table:
+        return pa.Table.from_arrays([given[n] if n in given else pa.nulls(m, k) for n, k in zip(names_, kinds)], schema=schema)
+
+    def work(table: pa.Table) -> pa.Table:
+        def cat(name, kind):
+            return np.frombuffer(b"".join(part.column(name).to_pylist()), dtype=kind)
+
+        used = pc.greater(pc.binary_length(table.column("counts")), 0)
+        part = table.filter(used)
+        sig, per, gram = cat("signatures", np.uint64), cat("counts", np.uint8), cat("grams", np.uint32)
+        out = [schema.empty_table()]
+        if len(gram):
+            names, number = np.unique(sig, return_inverse=True)
+            key = gram.astype(np.uint64)
+            key <<= np.uint64(32)
+            key |= np.repeat(number.astype(np.uint32), per)
+            del gram, number, sig, part
+            key.sort()
+            key = key[np.append(True, key[1:] != key[:-1])]
+            d = key.astype(np.uint32).astype(np.int32)
+            start, length = runs((key >> np.uint64(32)).astype(np.uint32))
+            del key
+            keep = length > 1
+            start, length = start[keep], length[keep]
+            if len(start):
+                weight_of = np.bincount(d[ranges(start, length)], minlength=len(names))
+                with np.errstate(over="ignore"):
+                    total = np.concatenate([[np.uint64(0)], np.cumsum(textnp.mix64(names)[d], dtype=np.uint64)])
+                    ident = textnp.mix64(total[start + length] - total[start] + length.astype(np.uint64))
+                _, first, weight = np.unique(ident, return_index=True, return_counts=True)
+                start, length, ident = start[first], length[first], ident[first]
+                m = len(first)
+                out.append(rows(m, kind=pa.array(np.ones(m, np.int32)), list=pa.array(ident.view(np.int64)), weight=pa.array(weight.astype(np.int64)), members=list_array(names[d[ranges(start, length)]].view(np.int64), length, pa.int64())))
+                has = np.flatnonzero(weight_of)
+                home = (((names[has] >> np.uint64(16)) * np.uint64(split)) >> np.uint64(48)).astype(np.int64)
+                order = has[np.argsort(home, kind="stable")]
+                s, c = runs(np.sort(home))
+                m = len(s)
+                out.append(rows(m, kind=pa.array(np.full(m, 2, np.int32)), list=pa.array(np.sort(home)[s]), members=list_array(names[order].view(np.int64), c, pa.int64()), weights=pa.array(blobs(weight_of[order].astype(np.uint32), c), pa.binary())))
+            del d
+        part = table.filter(pc.invert(used))
+        sig = cat("signatures", np.uint64).view(np.int64)
+        m = len(sig)
+        if m:
+            out.append(rows(m, kind=pa.array(np.zeros(m, np.int32)), list=pa.array(sig), doc_id=pa.array(cat("ids", np.int64)), row=pa.array(cat("rows", np.int64)), size=pa.array(cat("sizes", np.int64))))
+        return pa.concat_tables(out)
+
+    return work
 
-    used = pc.greater(pc.binary_length(table.column("counts")), 0)
-    per, gram = cat("counts", np.int32), cat("grams", np.uint32)
-    whole = table
-    table = whole.filter(used)
-    sig = cat("signatures", np.uint64)
-    out = []
-    if len(gram):
-        names, number = np.unique(sig, return_inverse=True)
-        key = np.unique((gram.astype(np.uint64) << np.uint64(32)) | np.repeat(number, per).astype(np.uint64))
-        g, d = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        start, length = runs(g)
-        keep = length > 1
-        start, length = start[keep], length[keep]
-        if len(start):
-            with np.errstate(over="ignore"):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(textnp.mix64(names)[d], dtype=np.uint64)])
-                ident = textnp.mix64(total[start + length] - total[start] + length.astype(np.uint64))
-            _, first, weight = np.unique(ident, return_index=True, return_counts=True)
-            start, length, ident = start[first], length[first], ident[first]
-            members = names[d[ranges(start, length)]].view(np.int64)
-            m = len(first)
-            out.append([pa.array(np.ones(m, np.int32)), pa.array(ident.view(np.int64)), pa.array(weight.astype(np.int64)), list_array(members, length, pa.int64()), *[pa.nulls(m, pa.int64())] * 3])
-    table = whole.filter(pc.invert(used))
-    sig = cat("signatures", np.uint64).view(np.int64)
-    m = len(sig)
-    if m:
-        out.append([pa.array(np.zeros(m, np.int32)), pa.array(sig), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(cat("ids", np.int64)), pa.array(cat("rows", np.int64)), pa.array(cat("sizes", np.int64))])
-    names = ["kind", "list", "weight", "members", "doc_id", "row", "size"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
-    schema = pa.schema(list(zip(names, kinds)))
-    return pa.concat_tables([pa.Table.from_arrays(x, schema=schema) for x in out]) if out else schema.empty_table()
+
+def _totals(table: pa.Table) -> pa.Table:
+    """The weights of the classes of one home, added up over all ranges."""
+    sig = cut(table.column("members")).flatten().to_numpy(zero_copy_only=False)
+    weight = np.frombuffer(b"".join(table.column("weights").to_pylist()), dtype=np.uint32)
+    names, number = np.unique(sig, return_inverse=True)
+    return pa.table({"sig": names, "total": np.bincount(number, weights=weight, minlength=len(names)).astype(np.int64)})
 
 
 def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -166,30 +198,39 @@ def divide_skip(chain, sig, lst, weight, length, size, threshold):
     The arrays hold one posting (class, list) each; `length` is the list's
     length and with its number the common order of the lists.
     """
+    # Small numbers instead of 64-bit names: a chain may be large.
+    _, lst = np.unique(lst, return_inverse=True)
+    lst = lst.astype(np.int32)
+    names, sig = np.unique(sig, return_inverse=True)
+    sig = sig.astype(np.int32)
     order = np.lexsort((lst, length, sig, chain))
-    chain, sig, lst, weight, size = chain[order], sig[order], lst[order], weight[order], size[order]
+    chain, sig, lst, weight, size = chain[order], sig[order], lst[order], weight[order].astype(np.int32), size[order]
+    del length, order
     start, count = runs(chain, sig)
-    query = np.repeat(np.arange(len(start)), count)
-    of_chain, of_sig, of_size = chain[start], sig[start], size[start]
+    query = np.repeat(np.arange(len(start), dtype=np.int32), count)
+    of_sig, of_size = names[sig[start]], size[start]
     total = np.concatenate([[0], np.cumsum(weight)])
     rest = total[(start + count)[query]] - total[:-1]  # weight of this list and all later ones of the query
     least = np.ceil(threshold * of_size - 1e-9)
     long_ = rest < least[query]
+    del size, total, rest, sig
     long_weight = np.bincount(query, weights=np.where(long_, weight, 0), minlength=len(start))
     # Lists within their chain, members by query number: the inverted index. Queries of a chain are numbered in one run.
     order = np.lexsort((query, lst, chain))
     l_start, l_count = runs(chain[order], lst[order])
     l_members = query[order]
-    l_of = np.empty(len(order), dtype=np.int64)
-    l_of[order] = np.repeat(np.arange(len(l_start)), l_count)
+    l_of = np.empty(len(order), dtype=np.int32)
+    l_of[order] = np.repeat(np.arange(len(l_start), dtype=np.int32), l_count)
+    del chain, lst, order
+    combined = np.repeat(np.arange(len(l_start)), l_count) * np.int64(len(start)) + l_members
     out = []
-    # Merge the short lists of some queries at a time, as many as fill about four million postings.
+    # Merge the short lists of some queries at a time, as many as fill about half a million postings.
     short = np.flatnonzero(~long_)
     cost = np.cumsum(l_count[l_of[short]])
     lo = 0
     while lo < len(short):
         base = cost[lo - 1] if lo else 0
-        hi = int(np.searchsorted(cost, base + (1 << 22), side="right"))
+        hi = int(np.searchsorted(cost, base + (1 << 19), side="right"))
         hi = max(hi, lo + 1)
         if hi < len(short):  # not within a query
             q = query[short[hi - 1]]
@@ -221,9 +262,8 @@ def divide_skip(chain, sig, lst, weight, length, size, threshold):
         tail = start[who] + count[who]
         at = tail - np.bincount(query, weights=long_, minlength=len(start)).astype(np.int64)[who]
         todo = np.flatnonzero(at < tail)
-        combined = np.repeat(np.arange(len(l_start)), l_count) * np.int64(len(start)) + l_members if len(todo) else None
         while len(todo):
-            key = l_of[at[todo]] * np.int64(len(start)) + other[todo]
+            key = l_of[at[todo]].astype(np.int64) * len(start) + other[todo]
             found = np.searchsorted(combined, key)
             hit = combined[np.minimum(found, len(combined) - 1)] == key
             ww = weight[at[todo]]
@@ -242,28 +282,63 @@ def divide_skip(chain, sig, lst, weight, length, size, threshold):
 
 def _search(threshold: float):
     def work(table: pa.Table) -> pa.Table:
-        cols = [table.column(c).to_numpy() for c in ("chain", "sig", "list", "weight", "length", "size")]
-        a, b, met, na, nb = divide_skip(*cols, threshold)
+        a, b, met, na, nb = divide_skip(*[table.column(c).to_numpy() for c in ("chain", "sig", "list", "weight", "length", "size")], threshold)
         return pa.table({"a": a, "b": b, "overlap": met, "size_a": na, "size_b": nb})
 
     return work
 
 
-def chains(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(sig, chain) of the classes that lists of two or more join: least signatures spread until nothing changes."""
-    label = edges.select("sig", F.col("sig").alias("chain")).distinct()
-    for _ in range(rounds):
-        least = edges.join(label, "sig").groupBy("list").agg(F.min("chain").alias("chain"))
-        # A class also takes over the label of its label (pointer jumping), so long chains settle in few rounds.
-        new = edges.join(least, "list").groupBy("sig").agg(F.min("chain").alias("chain"))
-        up = new.select(F.col("sig").alias("chain"), F.col("chain").alias("up"))
-        new = new.join(up, "chain", "left").select("sig", F.coalesce("up", "chain").alias("chain"))
-        new = stored(new, "chains")
-        moved = new.join(label.withColumnRenamed("chain", "was"), "sig").where("chain <> was").limit(1).count()
-        label = new
-        if not moved:
-            return label
-    raise RuntimeError("the chains did not settle")
+def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the graph with the edges a-b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(nodes))
+    while True:
+        px, py = parent[x], parent[y]
+        apart = px != py
+        if not apart.any():
+            return nodes, nodes[parent]
+        x, y, px, py = x[apart], y[apart], px[apart], py[apart]
+        np.minimum.at(parent, np.maximum(px, py), np.minimum(px, py))
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    nodes, root = components(longs(table.column("a")), longs(table.column("b")))
+    differ = nodes != root
+    return pa.table({"a": nodes[differ], "b": root[differ]})
+
+
+#: Edges of a spanning forest that one task may finish (16 bytes each).
+ONE_TASK = 4_000_000
+
+
+def chains(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(sig, chain): the least node of the component, for each node of the edges a-b.
+
+    Partitions replace their edges by stars of their own components. What is left is finished by one
+    task as soon as it fits into it; otherwise rounds, in which each node's partition sees all its edges,
+    go on until every edge leads to the root of its star.
+    """
+    split = parts(edges.sparkSession)
+    edges = edges.where("a <> b")
+
+    def stars_of(e: DataFrame, key) -> DataFrame:
+        return e.withColumn("part", key).groupBy("part").applyInArrow(_forest, "a long, b long")
+
+    by_a = F.pmod(F.hash("a"), F.lit(split))
+    edges = stored(stars_of(edges, by_a), "forest")
+    while edges.count() > one_task:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        edges = stored(stars_of(both, by_a).distinct(), "forest")
+        several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        if not several and not edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi").limit(1).count():
+            break
+    else:
+        edges = stars_of(edges, F.lit(0))
+    stars = edges.select(F.col("a").alias("sig"), F.col("b").alias("chain"))
+    return stars.unionByName(stars.select(F.col("chain").alias("sig"), "chain").distinct())
 
 
 def matches(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text"):
@@ -278,20 +353,24 @@ def matches(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc
     own = take(docs, key=key, text=text).withColumn("row", row_id(docs, "key", "text")).withColumn("key", F.col("key").cast("long"))
     split = min(60_000, parts(spark))
     sent = own.mapInArrow(_exchange(n, split), _EXCHANGE)
-    lists = stored(sent.groupBy("part").applyInArrow(_to_lists, _LISTS), "lists")
+    lists = stored(sent.groupBy("part").applyInArrow(_to_lists(split), _LISTS), "lists")
     classes = lists.where("kind = 0").select(F.col("list").alias("sig"), "doc_id", "row", "size")
     sizes = classes.groupBy("sig").agg(F.max("size").alias("size"))
-    merged = lists.where("kind = 1").groupBy("list").agg(F.sum("weight").alias("weight"), F.first("members").alias("members"))
-    posts = merged.select("list", "weight", F.size("members").alias("length"), F.explode("members").alias("sig"))
+    least = F.ceil(F.lit(threshold) * F.col("size") - 1e-9)
+    totals = lists.where("kind = 2").select("list", "members", "weights").groupBy("list").applyInArrow(_totals, "sig long, total long")
+    # Most classes share too little with all others together to match any of them.
+    alive = stored(totals.join(sizes, "sig").where(F.col("total") >= least).select("sig", "size"), "alive")
+    posts = lists.where("kind = 1").select("list", "weight", F.explode("members").alias("sig")).join(sized(alive.select("sig")), "sig", "left_semi")
+    posts = posts.repartition("list").groupBy("list", "sig").agg(F.sum("weight").alias("weight"))
+    posts = posts.withColumn("length", F.count("*").over(Window.partitionBy("list"))).where("length > 1")
     per = Window.partitionBy("sig")
-    reach = posts.join(sizes, "sig").withColumn("sum", F.sum("weight").over(per)).where(F.col("sum") >= F.ceil(F.lit(threshold) * F.col("size") - 1e-9))
+    reach = posts.join(sized(alive), "sig").withColumn("sum", F.sum("weight").over(per)).where(F.col("sum") >= least)
     later = per.orderBy(F.desc("length"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
-    reach = reach.withColumn("short", F.sum("weight").over(later) >= F.ceil(F.lit(threshold) * F.col("size") - 1e-9))
+    reach = reach.withColumn("short", F.sum("weight").over(later) >= least)
     posts = stored(reach.select("sig", "list", "weight", "length", "size", "short"), "posts")
-    edges = posts.where("short").select("sig", "list")
-    shared = edges.groupBy("list").agg(F.count("*").alias("m")).where("m > 1").select("list")
-    edges = stored(edges.join(shared, "list"), "edges")
-    label = chains(edges)
+    # Members of a list need only meet its least member.
+    heads = posts.where("short").select(F.col("sig").alias("a"), F.min("sig").over(Window.partitionBy("list")).alias("b"))
+    label = stored(chains(heads.where("a <> b").distinct()), "chains")
     work = posts.drop("short").join(label, "sig").withColumn("bucket", F.pmod(F.hash("chain"), F.lit(split)))
     pairs = work.groupBy("bucket").applyInArrow(_search(threshold), "a long, b long, overlap long, size_a long, size_b long")
     return classes, pairs
@@ -329,8 +408,7 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "do
     """
     classes, pairs = matches(docs, n, threshold, key, text)
     pairs = stored(pairs.select("a", "b"), "pairs")
-    edges = pairs.select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("sig"))
-    label = chains(edges).withColumnRenamed("chain", "team")
+    label = chains(pairs).withColumnRenamed("chain", "team")
     teamed = classes.join(label, "sig", "left").withColumn("team", F.coalesce("team", "sig"))
     order = Window.partitionBy("team").orderBy(F.col("doc_id") == F.lit(-(1 << 63)), "doc_id", "row")
     ranked = teamed.withColumn("n", F.row_number().over(order)).groupBy("row").agg(F.min("n").alias("n"))
