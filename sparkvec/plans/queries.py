@@ -250,6 +250,52 @@ def ranges_from_ids(spark, sf_dir):
     return VectorDataset(sparse(spark, sf_dir), Meta(Layout.SPARSE, 1 << 20)).ranges()
 
 
+@query(f"""WITH {sparse_sql(1 / 64)}, q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
+s AS (SELECT query_id, vec_id AS doc_id, list_sum(list(q.v[c + 1]::DOUBLE * p.v::DOUBLE ORDER BY c)) AS score FROM q, p WHERE c < 64 GROUP BY 1, 2) SELECT * FROM s""")
+def dense_sparse_dot(spark, sf_dir):
+    """Dense queries with the components of sparse documents that are below their dimension."""
+    q = dense_queries(spark, sf_dir, 5).withColumnRenamed("vector", "qv")
+    d = sparse(spark, sf_dir, 1 / 64).withColumn("items", F.filter(F.arrays_zip("components", "values"), lambda x: x["components"] < 64)).where(F.size("items") > 0)
+    d = d.select(F.col("vec_id").alias("doc_id"), F.col("items.components").alias("c"), F.col("items.values").alias("v"))
+    return search.cross(q, d).select("query_id", "doc_id", D.dense_sparse_dot(F.col("qv"), F.col("c"), F.col("v")).alias("score"))
+
+
+@query(f"""WITH {sparse_sql()}, n AS (SELECT vec_id, sum(v::DOUBLE * v::DOUBLE) AS n FROM p GROUP BY 1), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.n AS na, b.n AS nb FROM n a JOIN n b ON b.vec_id = a.vec_id + 1),
+m AS (SELECT x.vec_id AS a, y.vec_id AS b, sum(x.v::DOUBLE * y.v::DOUBLE) AS s FROM p x JOIN p y ON x.c = y.c AND y.vec_id = x.vec_id + 1 GROUP BY 1, 2)
+SELECT a, b, coalesce(s, 0.0) AS product, na + nb - 2.0 * coalesce(s, 0.0) AS squared FROM pairs LEFT JOIN m USING (a, b)""")
+def sparse_pair_distance(spark, sf_dir):
+    s = sparse(spark, sf_dir)
+    a, b = s.select(F.col("vec_id").alias("a"), F.col("components").alias("ac"), F.col("values").alias("av")), s.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("components").alias("bc"), F.col("values").alias("bv"))
+    dot = D.sparse_dot(F.col("ac"), F.col("av"), F.col("bc"), F.col("bv"))
+    return a.join(b, "a").select("a", "b", dot.alias("product"), D.sparse_l2(dot, D.norm(F.col("av")), D.norm(F.col("bv"))).alias("squared"))
+
+
+@query(f"WITH d AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: {stored_sql('x', 'bf16')}) AS v FROM embeddings), q AS (SELECT doc_id AS query_id, v FROM d WHERE doc_id BETWEEN 30 AND 39) " + top_sql(f"SELECT query_id, doc_id, {dot_sql('q.v', 'd.v')} AS score FROM q, d", "dotproduct"))
+def stored_vectors_as_queries(spark, sf_dir):
+    """Stored (bf16) vectors search their own collection."""
+    data = VectorDataset(spread(dense(spark, sf_dir)), Meta(Layout.DENSE, 64)).convert("bf16")
+    return data.search(search.vectors_as_queries(data.df, F.col("vec_id").between(30, 39)), K)
+
+
+@query(f"WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), d AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings UNION ALL SELECT vec_id + n, embedding FROM embeddings, n WHERE vec_id < 50), q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 20) " + top_sql(f"SELECT query_id, doc_id, {l2_sql('q.v', 'd.v')} AS score FROM q, d", "euclidean"))
+def append_then_search(spark, sf_dir):
+    """A collection with copies of its first 50 vectors behind it: ties go to the lower id."""
+    d = dense(spark, sf_dir)
+    data = VectorDataset(spread(d), Meta(Layout.DENSE, 64, metric=Metric.L2)).append(d.where("vec_id < 50"))
+    return data.search(dense_queries(spark, sf_dir), K)
+
+
+@query("SELECT vec_id, start, \"end\" FROM (SELECT vec_id, vec_id * 64 AS start, vec_id * 64 + 64 AS \"end\" FROM embeddings) WHERE start = 64 * 17")
+def vector_by_range(spark, sf_dir):
+    data = VectorDataset(dense(spark, sf_dir), Meta(Layout.DENSE, 64))
+    return data.ranges().where(F.col("vec_id") == data.id_of_range(64 * 17, 64 * 18))
+
+
+@query("SELECT (vec_id // 4) AS doc_id, (4 * 64 * (vec_id // 4)) AS start, 4 * 64 * (vec_id // 4) + 64 * count(*) AS \"end\" FROM embeddings GROUP BY vec_id // 4")
+def multivec_ranges(spark, sf_dir):
+    return VectorDataset(tokens(spark, sf_dir), Meta(Layout.MULTIVEC, 64)).ranges()
+
+
 # k-means
 CLUSTER_SQL = f"""a AS (SELECT e.vec_id, c.vec_id AS cluster, {l2_sql('e.embedding', 'c.embedding')} AS distance FROM embeddings e, embeddings c WHERE c.vec_id < 8
 QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY distance, c.vec_id) = 1)"""
