@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvec.functions import distance as D
-from sparkvec.operators.common import matrix, sized
+from sparkvec.operators.common import BROADCAST_BYTES, bytes_of, matrix
 
 #: A copied centroid and its original move apart by this share.
 NUDGE = 1 / 1024
@@ -18,10 +18,16 @@ NUDGE = 1 / 1024
 
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """vec_id, cluster, distance: the nearest centroid (cluster, centroid), the lowest of equals."""
-    d = D.checked_distance(F.col("vector"), F.col("centroid"), "euclidean")
-    near = F.min(F.struct(d.alias("distance"), F.col("cluster").alias("cluster")))
-    joined = points.select("vec_id", "vector").crossJoin(sized(centroids.select("cluster", "centroid")))
-    return joined.groupBy("vec_id").agg(near.alias("n")).select("vec_id", F.col("n.cluster").alias("cluster"), F.col("n.distance").alias("distance"))
+    if bytes_of(centroids) > BROADCAST_BYTES:
+        d = D.checked_distance(F.col("vector"), F.col("centroid"), "euclidean")
+        joined = points.select("vec_id", "vector").crossJoin(centroids.select("cluster", "centroid"))
+        near = joined.groupBy("vec_id").agg(F.min(F.struct(d.alias("distance"), F.col("cluster").alias("cluster"))).alias("n"))
+        return near.select("vec_id", F.col("n.cluster").alias("cluster"), F.col("n.distance").alias("distance"))
+    # All centroids are one row beside each point, so the least is found without a shuffle.
+    row = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("centroids"))
+    each = F.transform("centroids", lambda c: F.struct(D.checked_distance(F.col("vector"), c["centroid"], "euclidean").alias("distance"), c["cluster"].alias("cluster")))
+    near = points.select("vec_id", "vector").crossJoin(F.broadcast(row)).select("vec_id", F.array_min(each).alias("n")).where("n is not null")
+    return near.select("vec_id", F.col("n.cluster").alias("cluster"), F.col("n.distance").alias("distance"))
 
 
 def update(points: DataFrame, assigned: DataFrame, weight: str | None = None) -> DataFrame:

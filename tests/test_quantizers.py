@@ -19,13 +19,15 @@ def dense(spark, x):
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, vector array<float>")
 
 
-def test_kmeans_steps(spark):
+def test_kmeans_steps(spark, monkeypatch):
     points, centroids = dense(spark, [(0, 0), (10, 10)]), kmeans.as_frame(spark, [(0, 0), (9, 9)])
     a = kmeans.assign(points, centroids)
     assert sorted(map(tuple, a.collect())) == [(0, 0, 0.0), (1, 1, 2.0)]
     assert tuple(kmeans.objective(a).first()) == (2.0, 1.0)
     tie = kmeans.assign(dense(spark, [(1, 1)]), kmeans.as_frame(spark, [(0, 1), (2, 1)]))
     assert tie.first().cluster == 0
+    monkeypatch.setattr(kmeans, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, kmeans.assign(points, centroids).collect())) == [(0, 0, 0.0), (1, 1, 2.0)]
     assert kmeans.imbalance([1, 3]) == 2 * 10 / 16
 
 
