@@ -111,6 +111,53 @@ WHERE a.vec_id <> b.vec_id
 QUALIFY rank <= 10
 """
 
+OP10_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM words WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 50], ' ') AS t FROM places
+), firsts AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER o AS head, first_value(pos) OVER o AS first_pos FROM windows WINDOW o AS (PARTITION BY t ORDER BY doc_id, pos)
+), again AS (
+  SELECT doc_id, pos, head, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 1 ELSE 0 END AS opens
+  FROM firsts WHERE head <> doc_id OR pos >= first_pos + 50
+), spans AS (
+  SELECT doc_id, pos, head, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM again
+)
+SELECT doc_id, min(pos)::BIGINT AS start_word, (max(pos) + 50)::BIGINT AS end_word, (max(pos) + 50 - min(pos))::BIGINT AS n_words, min(head) AS source_doc_id
+FROM spans GROUP BY doc_id, span
+"""
+
+OP4_SQL = r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+') AS w, row_number() OVER (ORDER BY item_id, text) AS number FROM benchmark
+), docs AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+') AS w FROM documents
+), item_places AS (
+  SELECT number, w, unnest(range(0, len(w) - 7)) AS j FROM items WHERE len(w) >= 8
+), item_grams AS (
+  SELECT number, j, array_to_string(w[j + 1 : j + 8], ' ') AS g FROM item_places
+), doc_places AS (
+  SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS i FROM docs WHERE len(w) >= 8
+), doc_grams AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], ' ') AS g FROM doc_places
+), met AS (
+  SELECT doc_id, number, i, j - i AS diagonal, i - row_number() OVER (PARTITION BY doc_id, number, j - i ORDER BY i) AS island FROM doc_grams JOIN item_grams USING (g)
+), stretches AS (
+  SELECT doc_id, number, min(i) AS start_word, max(i) + 8 AS end_word FROM met GROUP BY doc_id, number, diagonal, island
+), longest AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (
+    SELECT 1 FROM stretches o WHERE o.doc_id = s.doc_id AND o.start_word <= s.start_word AND o.end_word >= s.end_word AND o.end_word - o.start_word > s.end_word - s.start_word)
+), chosen AS (
+  SELECT doc_id, start_word, end_word, item_id, len(w) AS size FROM longest JOIN items USING (number)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, start_word, end_word ORDER BY len(w), number) = 1
+)
+SELECT doc_id, start_word::BIGINT AS start_word, end_word::BIGINT AS end_word, (end_word - start_word)::BIGINT AS n_words, item_id
+FROM chosen WHERE end_word - start_word >= 10 OR end_word - start_word >= 0.6 * size
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
