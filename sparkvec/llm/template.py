@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import cut, longs, row_id, runs, sized, stored, take
+from sparkvec.llm.common import cut, longs, ranges, row_id, runs, sized, stored, take
 
-TAG = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+TAG = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S | re.I)
 CLASS = re.compile(rb"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = frozenset(b"area base br col embed hr img input link meta source track wbr".split())
 #: Elements that end an open one of their kind.
@@ -50,58 +50,80 @@ def number(name: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little")
 
 
+NOTHING, OPEN, VOIDS, CLOSE = range(4)
+#: Inline elements that don't keep an open one from being ended.
+INLINE = frozenset(b"b i em strong span a".split())
+
+
+def describe(tag: bytes) -> tuple[int, bytes, int, bool]:
+    """(what it does, name, number of its token, whether it ends an open one of its kind) of a tag."""
+    m = TAG.fullmatch(tag)
+    if m is None or m.group(3) is None:
+        return NOTHING, b"", 0, False
+    name = m.group(3).lower()
+    if m.group(2):  # named like what it closes
+        return CLOSE, name, number(b"/" + name), False
+    token = name
+    if b"class" in m.group(4) and (c := CLASS.search(m.group(4))):
+        token += b"." + (c.group(1) or c.group(2) or c.group(3) or b"")
+    return VOIDS if name in VOID or m.group(4).endswith(b"/") else OPEN, name, number(token), name in ENDS
+
+
 class Tokens:
     """Tags and words of some pages in order: page, start, end, role, word (else a tag)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, names: dict[bytes, int]):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: dict[bytes, tuple]):
         raw = data.tobytes()
         starts, ends, roles, after = [], [], [], []
+        add_start, add_end, add_role, add_after, find, mask = starts.append, ends.append, roles.append, after.append, TAG.finditer, textnp.MASK
+        if len(known) > 50_000:
+            known.clear()
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            stack: list[tuple[bytes, int]] = []
-            path = 0
-            starts.append(a)
-            ends.append(a)
-            roles.append(0)
-            after.append(0)
-            for m in TAG.finditer(raw, a, b):
-                name = m.group(3)
+            open_, paths, path = [], [], 0
+            add_start(a)
+            add_end(a)
+            add_role(0)
+            add_after(0)
+            for m in find(raw, a, b):
+                s, e = m.span()
+                tag = raw[s:e]
+                if (what := known.get(tag)) is None:
+                    what = describe(tag)
+                    if e - s < 200:
+                        known[tag] = what
+                kind, name, own, ends_one = what
                 role = 0
-                if name is not None:
-                    name = name.lower()
-                    if m.group(2):  # a closing tag has the path of what it closes, and ends all that is open within
-                        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                        if at is not None:
-                            path = stack[at][1]
-                            del stack[at:]
-                        token = b"/" + name
-                    else:
-                        token = name
-                        if b"class" in m.group(4) and (c := CLASS.search(m.group(4))):
-                            token += b"." + (c.group(1) or c.group(2) or c.group(3) or b"")
-                        if name in ENDS:
-                            for i in range(len(stack) - 1, -1, -1):
-                                if stack[i][0] == name:
-                                    path = stack[i][1]
-                                    del stack[i:]
-                                    break
-                                if stack[i][0] not in (b"b", b"i", b"em", b"strong", b"span", b"a"):
-                                    break
-                    if (own := names.get(token)) is None:
-                        own = names[token] = number(token)
-                    role = (path * ODD + own) & textnp.MASK | 1
-                    if not m.group(2) and name not in VOID and not m.group(4).endswith(b"/"):
-                        stack.append((name, path))
-                        path = (path * ODD + own) & textnp.MASK
-                starts.append(m.start())
-                ends.append(m.end())
-                roles.append(role)
-                after.append(path)
+                if kind:
+                    if kind == CLOSE:  # the path of what it closes; it ends all that is open within
+                        if open_ and open_[-1] == name:
+                            open_.pop()
+                            path = paths.pop()
+                        elif name in open_:
+                            at = len(open_) - 1 - open_[::-1].index(name)
+                            path = paths[at]
+                            del open_[at:], paths[at:]
+                    elif ends_one:
+                        for i in range(len(open_) - 1, -1, -1):
+                            if open_[i] == name:
+                                path = paths[i]
+                                del open_[i:], paths[i:]
+                                break
+                            if open_[i] not in INLINE:
+                                break
+                    inner = (path * ODD + own) & mask
+                    role = inner | 1
+                    if kind == OPEN:
+                        open_.append(name)
+                        paths.append(path)
+                        path = inner
+                add_start(s)
+                add_end(e)
+                add_role(role)
+                add_after(path)
         start, end = np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
         role, after_ = np.array(roles, dtype=np.uint64), np.array(after, dtype=np.uint64)
-        inside = np.zeros(len(data) + 1, dtype=np.int32)
-        np.add.at(inside, start, 1)
-        np.add.at(inside, end, -1)
-        plain = np.where(np.cumsum(inside[:-1]) > 0, np.uint8(32), data)
+        plain = data.copy()
+        plain[ranges(start, end - start)] = 32
         words = textnp.Words(plain, offsets, "solid")
         path = after_[np.searchsorted(start, words.start, side="right") - 1]
         with np.errstate(over="ignore"):
@@ -119,11 +141,11 @@ class Tokens:
 def steps(column: pa.Array):
     """Yields (first page, number of pages, Tokens)."""
     data, offsets = textnp.buffers(cut(column))
-    names: dict[bytes, int] = {}
+    known: dict[bytes, tuple] = {}
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + STEP_BYTES, side="right")) - 1))
-        yield lo, hi - lo, Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], names)
+        yield lo, hi - lo, Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], known)
         lo = hi
 
 
@@ -255,6 +277,7 @@ def _orders(batches):
     hosts, roles_of, class_of = Hosts(), {}, {}
     seen: set[tuple[int, int, int, int]] = set()
     example: dict[tuple[int, int, int], list[int]] = {}
+    done: set[tuple[int, bytes]] = set()
     for batch in batches:
         own = hosts(batch.column("host"))
         _lists(batch, own, "roles", roles_of)
@@ -268,6 +291,12 @@ def _orders(batches):
             for s, c in zip(start.tolist(), count.tolist()):
                 h = int(host[s])
                 mine = place[s : s + c]
+                same = (h, mine.tobytes())  # pages of one shape show the same
+                if same in done:
+                    continue
+                if len(done) > 50_000:
+                    done.clear()
+                done.add(same)
                 cls = class_of[h][mine]
                 gap = np.cumsum(cls == 0)
                 by = np.argsort(cls, kind="stable")
