@@ -96,6 +96,41 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidy() -> None:
+    """Gives freed memory back: Python workers live on, beside other tasks and the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy_batches(work):
+    """work for mapInArrow, tidied up after."""
+
+    def run(batches):
+        yield from work(batches)
+        tidy()
+
+    return run
+
+
+def tidy_group(work):
+    """work for applyInArrow, tidied up after each group."""
+
+    def run(table):
+        out = work(table)
+        del table
+        tidy()
+        return out
+
+    return run
+
+
 def cut(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

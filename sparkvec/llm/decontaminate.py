@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import longs, row_id, stored, take
+from sparkvec.llm.common import longs, row_id, stored, take, tidy_batches
 from sparkvec.llm.suffix_dedup import remove_spans
 
 #: Words of the benchmark that one automaton may hold; more would not fit beside the documents in a task.
@@ -160,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, min_cover:
         known[(w.ngrams(2)[1] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     least = min([min_words, *(max(cover_words, int(np.ceil(min_cover * len(s)))) for s in seqs if s)])
     own = take(docs, key=key, text=text).select(row_id(docs, "key", "text").alias("row"), "text")
-    return own.mapInArrow(_find(automaton, known, ids, least, min_words, min_cover, cover_words), "row long, start_word long, end_word long, item_id long")
+    return own.mapInArrow(tidy_batches(_find(automaton, known, ids, least, min_words, min_cover, cover_words)), "row long, start_word long, end_word long, item_id long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, min_cover: float = 0.6, cover_words: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:

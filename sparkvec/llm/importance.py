@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import longs, numbered, place, row_id, sized, stored, take
+from sparkvec.llm.common import longs, numbered, place, row_id, sized, stored, take, tidy_batches
 
 BITS = 20
 MAX_LABELS = 500_000
@@ -132,7 +132,7 @@ def weights(docs: DataFrame, labels: DataFrame, smooth: float = 0.5, sure: float
     share = known.agg(F.avg("good")).first()[0]
     own = take(docs, key=key, text=text).withColumn("key", F.col("key").cast("long"))
     marked = own.join(sized(known.where("good = 1").select("id", "good"), 64 << 20), F.col("key") == F.col("id"), "left")
-    counted = marked.select("text", "good").mapInArrow(_count, "piece int, raw binary, target binary")
+    counted = marked.select("text", "good").mapInArrow(tidy_batches(_count), "piece int, raw binary, target binary")
     pieces = counted.groupBy("piece").applyInArrow(_add, "piece int, raw binary, target binary").collect()
     raw, target = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
     for p in pieces:  # a fixed number of pieces, whatever the input
@@ -140,7 +140,7 @@ def weights(docs: DataFrame, labels: DataFrame, smooth: float = 0.5, sure: float
         raw[at : at + (1 << 12)] = np.frombuffer(p.raw, dtype=np.int64)
         target[at : at + (1 << 12)] = np.frombuffer(p.target, dtype=np.int64)
     ratio = log_ratios(raw, target, smooth, sure)
-    scored = own.withColumn("row", row_id(own, "key", "text")).mapInArrow(_weigh(ratio, standard), "row long, doc_id long, log_weight double, noise double")
+    scored = own.withColumn("row", row_id(own, "key", "text")).mapInArrow(tidy_batches(_weigh(ratio, standard)), "row long, doc_id long, log_weight double, noise double")
     return stored(scored, "weights"), 1.0 if share is None else share
 
 

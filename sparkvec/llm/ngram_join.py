@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import blobs, cut, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take
+from sparkvec.llm.common import blobs, cut, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take, tidy_batches, tidy_group
 
 #: Postings that a map task gathers before it writes them out by range.
 FLUSH = 1 << 21
@@ -352,8 +352,8 @@ def matches(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc
     spark = docs.sparkSession
     own = take(docs, key=key, text=text).withColumn("row", row_id(docs, "key", "text")).withColumn("key", F.col("key").cast("long"))
     split = min(60_000, parts(spark))
-    sent = own.mapInArrow(_exchange(n, split), _EXCHANGE)
-    lists = stored(sent.groupBy("part").applyInArrow(_to_lists(split), _LISTS), "lists")
+    sent = own.mapInArrow(tidy_batches(_exchange(n, split)), _EXCHANGE)
+    lists = stored(sent.groupBy("part").applyInArrow(tidy_group(_to_lists(split)), _LISTS), "lists")
     classes = lists.where("kind = 0").select(F.col("list").alias("sig"), "doc_id", "row", "size")
     sizes = classes.groupBy("sig").agg(F.max("size").alias("size"))
     least = F.ceil(F.lit(threshold) * F.col("size") - 1e-9)
@@ -372,7 +372,7 @@ def matches(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc
     heads = posts.where("short").select(F.col("sig").alias("a"), F.min("sig").over(Window.partitionBy("list")).alias("b"))
     label = stored(chains(heads.where("a <> b").distinct()), "chains")
     work = posts.drop("short").join(label, "sig").withColumn("bucket", F.pmod(F.hash("chain"), F.lit(split)))
-    pairs = work.groupBy("bucket").applyInArrow(_search(threshold), "a long, b long, overlap long, size_a long, size_b long")
+    pairs = work.groupBy("bucket").applyInArrow(tidy_group(_search(threshold)), "a long, b long, overlap long, size_a long, size_b long")
     return classes, pairs
 
 

@@ -19,8 +19,6 @@ from __future__ import annotations
 
 import os
 import struct
-import sys
-import types
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import cut, list_array, ranges, take
+from sparkvec.llm.common import cut, list_array, ranges, take, tidy_batches
 
 MODEL = os.environ.get("SPARKVEC_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -137,7 +135,7 @@ def build(model: Model, normalise: bool = True):
 class Codec:
     """Encodes columns of texts; keeps the words that it has met. Without `verify`, exact and parity are not looked at."""
 
-    def __init__(self, raw: bytes, threads: int = 2, keep: int = 2_000_000, verify: bool = True):
+    def __init__(self, raw: bytes, threads: int = 2, keep: int = 1_000_000, verify: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
@@ -291,9 +289,7 @@ class Codec:
 
 def _encode(raw: bytes, threads: int):
     def work(batches):
-        # A worker process serves many tasks; the words it has met stay with it.
-        held = sys.modules.setdefault("_sparkvec_codecs", types.ModuleType("_sparkvec_codecs")).__dict__
-        codec = held.get(raw) or held.setdefault(raw, Codec(raw, threads))
+        codec = Codec(raw, threads)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 piece = batch.slice(lo, 1000)
@@ -318,7 +314,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, key: str = "do
         raw = f.read()
     parse(raw)
     own = take(docs, key=key, text=text).withColumn("key", F.col("key").cast("long"))
-    return own.mapInArrow(_encode(raw, threads), "doc_id long, ids array<int>, n_tokens int, exact boolean, parity boolean")
+    return own.mapInArrow(tidy_batches(_encode(raw, threads)), "doc_id long, ids array<int>, n_tokens int, exact boolean, parity boolean")
 
 
 def _decode(raw: bytes):

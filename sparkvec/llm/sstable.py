@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import longs, new_path, parts, stored, take
+from sparkvec.llm.common import longs, new_path, parts, stored, take, tidy_batches
 from sparkvec.llm.files import Shard, file_size, read_range, settle
 from sparkvec.llm.sentencepiece_codec import MODEL, Codec, parse
 
@@ -190,13 +190,9 @@ class Reader:
 
 def _write(folder: str, raw: bytes, width: int):
     def work(batches):
-        import sys
-        import types
-
         from pyspark import TaskContext
 
-        held = sys.modules.setdefault("_sparkvec_codecs", types.ModuleType("_sparkvec_codecs")).__dict__
-        codec = held.get((raw, "plain")) or held.setdefault((raw, "plain"), Codec(raw, 1, verify=False))
+        codec = Codec(raw, 1, verify=False)
         writer, out = None, []
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
@@ -230,7 +226,7 @@ def write(docs: DataFrame, folder: str, model: str = MODEL, shards: int | None =
     width = 2 if len(parse(raw).pieces) <= 1 << 16 else 4
     own = take(docs, key=key, text=text).withColumn("key", F.col("key").cast("long")).where("key is not null")
     own = own.repartitionByRange(shards or parts(docs.sparkSession), "key").sortWithinPartitions("key", "text")
-    manifest = stored(own.mapInArrow(_write(folder, raw, width), "doc_id long, shard string, block int, n_tokens long"), "manifest")
+    manifest = stored(own.mapInArrow(tidy_batches(_write(folder, raw, width)), "doc_id long, shard string, block int, n_tokens long"), "manifest")
     settle(folder, manifest)
     return manifest
 

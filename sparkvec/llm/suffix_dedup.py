@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import blobs, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take
+from sparkvec.llm.common import blobs, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take, tidy_batches, tidy_group
 
 #: Bytes of words that a map task gathers before it sends them on.
 FLUSH = 12 << 20
@@ -323,11 +323,11 @@ def spans(docs: DataFrame, length: int = 50, gram: int = 8, key: str = "doc_id",
         raise ValueError("gram must be between 1 and length")
     split = 16 * parts(docs.sparkSession)  # a group is what one sort holds
     own = take(docs, key=key, text=text).withColumn("row", row_id(docs, "key", "text")).withColumn("key", F.col("key").cast("long"))
-    anchors = own.select("row", "text").mapInArrow(_anchors(length, gram), "anchor long, row long, at int")
+    anchors = own.select("row", "text").mapInArrow(tidy_batches(_anchors(length, gram)), "anchor long, row long, at int")
     twice = anchors.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
     wanted = stored(twice.groupBy("row").agg(F.collect_list("at").alias("at")), "anchors")
-    sent = own.join(sized(wanted), "row").select("key", "row", "text", "at").mapInArrow(_sent(length, gram, split), "part int, heads binary, words binary")
-    found = sent.groupBy("part").applyInArrow(_sort(length), _SPANS)
+    sent = own.join(sized(wanted), "row").select("key", "row", "text", "at").mapInArrow(tidy_batches(_sent(length, gram, split)), "part int, heads binary, words binary")
+    found = sent.groupBy("part").applyInArrow(tidy_group(_sort(length)), _SPANS)
     whole = found.withColumn("part", F.pmod(F.hash("row"), F.lit(split))).groupBy("part").applyInArrow(_merge, _SPANS)
     return stored(whole, "spans")
 
