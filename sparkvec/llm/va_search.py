@@ -16,7 +16,7 @@ block and a data block is one task's work:
 
 What a query block found carries over to its next data block in the same task.
 The k best of every task are then cut to the k best of each query, so no task
-needs more than two blocks at once and nothing is broadcast but the cell borders.
+needs more than two blocks (and the bounds of some queries) at once and nothing is broadcast but the cell borders.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from sparkvec.llm.common import longs, stored, take
 
-BLOCK = 2048
+BLOCK = 8192
+#: Queries whose bounds are held at once.
+CHUNK = 512
 CELLS = 256
 #: Exact vectors that are read for a query between two looks at the bound.
 GROUP = 8
@@ -70,11 +72,19 @@ class Best:
         self.distance[rows], self.ident[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
 
 
-def search(best: Best, upper: np.ndarray, q: np.ndarray, q_id: np.ndarray, code: np.ndarray, x: np.ndarray, x_id: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> np.ndarray:
-    """One data block for one query block; returns the k least upper bounds of each query so far."""
-    middle = (low + (code + 0.5) * width).astype(np.float32)
-    radius = np.sqrt(exact(x, middle)).astype(np.float32) * np.float32(1 + 1e-5) + np.float32(1e-12)
-    near, far = bounds(q.astype(np.float32), middle, radius)
+class Block:
+    """A data block as the scan needs it: the middles of its cells, and how far its rows are from them."""
+
+    def __init__(self, code: np.ndarray, x: np.ndarray, ids: np.ndarray, low: np.ndarray, width: np.ndarray):
+        self.x, self.ids = x, ids
+        self.middle = (low + (code + 0.5) * width).astype(np.float32)
+        self.radius = np.sqrt(exact(x, self.middle)).astype(np.float32) * np.float32(1 + 1e-5) + np.float32(1e-12)
+
+
+def search(best: Best, upper: np.ndarray, q: np.ndarray, q_id: np.ndarray, data: Block, k: int) -> np.ndarray:
+    """One data block for some queries; returns the k least upper bounds of each query so far."""
+    x, x_id = data.x, data.ids
+    near, far = bounds(q, data.middle, data.radius)
     own = q_id[:, None] == x_id[None, :]
     near[own] = far[own] = np.inf
     if far.shape[1] > k:
@@ -117,27 +127,28 @@ def _pack(low: np.ndarray, width: np.ndarray):
 
 def _scan(low: np.ndarray, width: np.ndarray, k: int):
     def work(batches):
-        held, best, upper, ids = None, None, None, None
+        held, state = None, []
 
         def result():
-            found = np.isfinite(best.distance)
-            n = found.sum(axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best.ident[found]), pa.array(best.distance[found])], names=["query_id", "vec_id", "distance"])
+            for ids, _, best, _ in state:
+                found = np.isfinite(best.distance)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(axis=1))), pa.array(best.ident[found]), pa.array(best.distance[found])], names=["query_id", "vec_id", "distance"])
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in ("q_block", "q_ids", "q_vectors", "ids", "codes", "vectors")}
                 if r["q_block"] != held:
-                    if held is not None:
-                        yield result()
+                    yield from result()
                     held, ids = r["q_block"], np.frombuffer(r["q_ids"], dtype=np.int64)
                     q = np.frombuffer(r["q_vectors"], dtype=np.float32).reshape(len(ids), -1)
-                    best, upper = Best(len(ids), k), np.full((len(ids), k), np.inf, dtype=np.float32)
+                    cuts = [slice(lo, lo + CHUNK) for lo in range(0, len(ids), CHUNK)]
+                    state = [[ids[c], q[c], Best(len(ids[c]), k), np.full((len(ids[c]), k), np.inf, dtype=np.float32)] for c in cuts]
                 x_id = np.frombuffer(r["ids"], dtype=np.int64)
                 x = np.frombuffer(r["vectors"], dtype=np.float32).reshape(len(x_id), -1)
-                code = np.frombuffer(r["codes"], dtype=np.uint8).reshape(len(x_id), -1)
-                upper = search(best, upper, q, ids, code, x, x_id, low, width, k)
-        if held is not None:
-            yield result()
+                data = Block(np.frombuffer(r["codes"], dtype=np.uint8).reshape(len(x_id), -1), x, x_id, low, width)
+                for s in state:
+                    s[3] = search(s[2], s[3], s[1], s[0], data, k)
+        yield from result()
 
     return work
 
@@ -172,7 +183,8 @@ def top_k(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "e
     packed = stored(packed, "blocks")
     q = packed.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     # A query block meets its data blocks in a few tasks, each in one go; the groups of data blocks give the work more tasks than there are query blocks.
-    groups = max(1, min(blocks, 64 // blocks))
+    # They also bound what a task reads: eight data blocks or so.
+    groups = max(1, min(blocks, 64 // blocks), -(-blocks // 8))
     pairs = q.crossJoin(packed.select("block", "ids", "codes", "vectors")).withColumn("group", F.pmod(F.col("block"), F.lit(groups)))
     pairs = pairs.repartition(blocks * groups, "q_block", "group").sortWithinPartitions("q_block", "group")
     found = pairs.select("q_block", "q_ids", "q_vectors", "ids", "codes", "vectors").mapInArrow(_scan(low, width, k), "query_id long, vec_id long, distance double")

@@ -114,6 +114,7 @@ def brute(rows, k):
 
 def test_vector_files_are_exact_with_ties(spark, monkeypatch):
     monkeypatch.setattr(va_search, "BLOCK", 16)
+    monkeypatch.setattr(va_search, "CHUNK", 5)
     random = np.random.default_rng(4)
     rows = [(i, random.integers(0, 3, 5).astype(float).tolist()) for i in range(70)]
     got = va_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4)
