@@ -9,7 +9,7 @@ Features are the shares of the hashed byte 1- to 3-grams of the lower-cased text
 counted over all of it. A machine's output is then the mean of its weights over
 a text's grams, so prediction is a table look-up and a segment sum.
 
-Training takes at most `per_language` rows of each labelled language (least row
+Training takes at most `per_language` different texts of each labelled language (least
 hashes first) and at most `train_bytes` of each, on the driver; this is the only
 thing that doesn't look at all rows.
 """
@@ -159,10 +159,13 @@ class Hierarchy:
 
 def train(docs: DataFrame, per_language: int = 400, train_bytes: int = 4000, text: str = "text", language: str = "lang") -> Hierarchy:
     """A Hierarchy from labelled rows: at most per_language rows a language, of at most train_bytes characters each."""
-    own = take(docs, text=text, language=language).where("language is not null and text is not null and length(text) > 0")
-    own = own.select("language", F.substring("text", 1, train_bytes).alias("text"), F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("language").orderBy("h", "text")
-    rows = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("language", "text", "h").orderBy("h", "text", "language").collect()
+    own = take(docs, text=text, language=language).where("language is not null and text is not null and length(text) > 0").withColumn("h", F.xxhash64("text"))
+    # The hashes alone are ranked; texts are read again, and only those below the last hash that is taken.
+    order = Window.partitionBy("language").orderBy("h")
+    limits = own.select("language", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).groupBy("language").agg(F.max("h").alias("last")).collect()
+    few = F.coalesce(*[F.when((F.col("language") == r.language) & (F.col("h") <= r.last), True) for r in limits], F.lit(False))
+    chosen = own.where(few).select("language", "h", F.substring("text", 1, train_bytes).alias("text")).groupBy("language", "h").agg(F.min("text").alias("text"))
+    rows = chosen.orderBy("language", "h").collect()
     return Hierarchy([r.text for r in rows], [r.language for r in rows])
 
 
