@@ -43,6 +43,8 @@ from sparkvec.llm.common import blobs, cut, list_array, longs, numbered, parts,
 
 #: Postings that a map task gathers before it writes them out by range.
 FLUSH = 1 << 21
+#: Documents of a class that all_pairs() holds in one row; two such rows are one row's work.
+BLOCK = 1000
 
 _EXCHANGE = "part int, signatures binary, counts binary, grams binary, ids binary, rows binary, sizes binary"
 _LISTS = "kind int, list long, weight long, members array<long>, weights binary, doc_id long, row long, size long"
@@ -401,6 +403,34 @@ def jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str =
     return same.unionByName(near)
 
 
+def all_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Every pair of matching documents: doc_id, match_id, overlap, jaccard.
+
+    One row for each two rows of docs that match, lower id first (null ids
+    last): each two members of a class, and each member of a class with each
+    member of every class that matches it. The number of pairs grows with the
+    square of a class; only blocks of its ids are exchanged, pairs are not.
+
+    Texts without words, repeated rows and null ids are as in jaccard_join().
+    """
+    classes, pairs = matches(docs, n, threshold, key, text)
+    ordered = Window.partitionBy("sig").orderBy(F.col("doc_id").asc_nulls_last(), "row")
+    ranked = classes.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id"))).withColumn("n", F.row_number().over(ordered) - 1)
+    members = ranked.withColumn("block", F.floor(F.col("n") / block)).groupBy("sig", "block").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "doc_id"))).alias("ids"))
+    members = stored(members, "members")
+    a, b = members.toDF("a", "block_a", "size_a", "ids_a"), members.toDF("b", "block_b", "size_b", "ids_b")
+    # A class meets itself where two of its documents are in one block, or in two.
+    several = members.where("block > 0 or size(ids) > 1").select(F.col("sig").alias("a")).distinct()
+    same = a.join(several, "a", "left_semi").join(b, (F.col("a") == F.col("b")) & (F.col("block_a") <= F.col("block_b"))).withColumn("overlap", F.col("size_a"))
+    near = pairs.select("a", "b", "overlap").join(a, "a").join(b, "b")
+    names = ["a", "b", "block_a", "block_b", "overlap", "size_a", "size_b", "ids_a", "ids_b"]
+    met = same.select(names).unionByName(near.select(names)).repartition(parts(docs.sparkSession), "a", "b", "block_a", "block_b")
+    met = met.withColumn("x", F.explode("ids_a")).drop("ids_a").withColumn("y", F.explode("ids_b")).where("a <> b or x.n < y.n")
+    x, y = F.col("x.doc_id"), F.col("y.doc_id")
+    swap = F.coalesce(x > y, x.isNull())
+    return met.select(F.when(swap, y).otherwise(x).alias("doc_id"), F.when(swap, x).otherwise(y).alias("match_id"), "overlap", (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("jaccard"))
+
+
 def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose group of matching documents (by chains of matches) holds a lesser (doc_id, row).
 

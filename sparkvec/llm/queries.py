@@ -10,7 +10,7 @@ from sparkvec.llm import language_id, sentencepiece_codec
 from sparkvec.llm.common import table
 from sparkvec.llm.decontaminate import contaminated
 from sparkvec.llm.importance import classify
-from sparkvec.llm.ngram_join import jaccard_join
+from sparkvec.llm.ngram_join import all_pairs, jaccard_join
 from sparkvec.llm.suffix_dedup import repeated_spans
 from sparkvec.llm.sstable import token_shards
 from sparkvec.llm.template import extract
@@ -29,10 +29,15 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents with a Jaccard coefficient of word 3-grams of at least 0.5."""
+    """The matching documents of op3_ngram_pairs by classes of equal n-gram sets: a row for each further member, one for each two classes that match."""
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def op3_ngram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents with a Jaccard coefficient of word 3-grams of at least 0.5."""
+    return all_pairs(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stretches of benchmark items in the documents, from 10 words or 60 % of an item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=10, min_cover=0.6, cover_words=8)
@@ -70,7 +75,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html_extraction, op3_ngram_join, op4_decontamination, op5_sentencepiece, op6_warc, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_html_extraction, op3_ngram_join, op3_ngram_pairs, op4_decontamination, op5_sentencepiece, op6_warc, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
 
 
 OP3_SQL = r"""
@@ -96,6 +101,22 @@ UNION ALL
 SELECT doc_id, match_id, overlap, overlap::DOUBLE / (na + nb - overlap) AS jaccard FROM met WHERE overlap * 2 >= na + nb - overlap
 """
 
+OP3_PAIRS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS s
+  FROM words WHERE len(w) > 0
+), grams AS (
+  SELECT doc_id, n, len(s) AS size, unnest(s) AS g FROM sets
+), met AS (
+  SELECT any_value(a.doc_id) AS doc_id, any_value(b.doc_id) AS match_id, count(*) AS overlap, any_value(a.size) AS na, any_value(b.size) AS nb
+  FROM grams a JOIN grams b ON a.g = b.g AND a.n < b.n GROUP BY a.n, b.n
+)
+SELECT doc_id, match_id, overlap, overlap::DOUBLE / (na + nb - overlap) AS jaccard FROM met WHERE overlap * 2 >= na + nb - overlap
+"""
+
 OP6_SQL = """
 SELECT page_id, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS type, 'sha256:' || sha256(coalesce(html, '')) AS digest,
   CASE WHEN n > 1 THEN head END AS original_page_id
@@ -160,4 +181,4 @@ FROM chosen WHERE end_word - start_word >= 10 OR end_word - start_word >= 0.6 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op3_ngram_pairs": OP3_PAIRS_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_suffix_dedup": OP10_SQL}

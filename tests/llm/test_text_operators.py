@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkvec.llm import decontaminate, importance, language_id, ngram_join, sentencepiece_codec, suffix_dedup, textnp
+from sparkvec.llm import decontaminate, importance, language_id, ngram_join, queries, sentencepiece_codec, suffix_dedup, textnp
 from sparkvec.llm.common import table, take
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +81,35 @@ def test_divide_skip_on_dense_overlaps(spark, threshold):
     assert {(r.doc_id, r.match_id) for r in got if r.jaccard < 1 or sets[r.doc_id] != sets[r.match_id]} == want
 
 
+def test_all_pairs_match_brute_force(spark):
+    documents = table(spark, SF, "documents")
+    texts = [r.text for r in documents.collect()]
+    texts = texts[:120] + [t for t in texts[:6] for _ in range(7)] + [texts[0] + " and a tail"] * 3
+    sets = [grams(t, 3) for t in texts]
+    want = sorted((a, b, len(x & y)) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and x & y and 2 * len(x & y) >= len(x | y))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (3, ngram_join.BLOCK):
+        got = ngram_join.all_pairs(rows, block=block).collect()
+        assert sorted((r.doc_id, r.match_id, r.overlap) for r in got) == want
+        assert all(r.jaccard == r.overlap / len(sets[r.doc_id] | sets[r.match_id]) for r in got)
+    # Copies that are no heads meet each other, and near copies of their class.
+    assert (121, 122, len(sets[0])) in want and any(a == 121 and b >= len(texts) - 3 for a, b, _ in want)
+
+
+def test_all_pairs_on_odd_rows(spark, odd):
+    got = sorted(((r.doc_id, r.match_id) for r in ngram_join.all_pairs(odd).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 2), (1, 2), (1, None), (1, None), (2, None), (6, 7), (8, 9)], key=str)
+    assert ngram_join.all_pairs(odd.limit(0)).count() == 0
+
+
+def test_ngram_pairs_agree_with_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sorted(db.execute(queries.OP3_PAIRS_SQL).fetchall())
+    assert sorted(map(tuple, queries.op3_ngram_pairs(spark, SF).collect())) == want and len(want) > 5
+
+
 def test_chains_agree_for_any_number_of_rounds(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7)], "a long, b long")
     few, many = (sorted(map(tuple, ngram_join.chains(edges, n).collect())) for n in (10**6, 0))
