@@ -10,8 +10,8 @@ counted over all of it. A machine's output is then the mean of its weights over
 a text's grams, so prediction is a table look-up and a segment sum.
 
 Training takes at most `per_language` different texts of each labelled language (least
-hashes first) and at most `train_bytes` of each, on the driver; this is the only
-thing that doesn't look at all rows.
+hashes first), each as a whole: the tasks count the grams, and the counts go to the
+driver; this is the only thing that doesn't look at all rows.
 """
 
 from __future__ import annotations
@@ -77,13 +77,24 @@ def pieces(column: pa.Array):
         lo = hi
 
 
-def vectors(texts: list[str]) -> np.ndarray:
-    """Dense feature rows of a few texts, for training."""
-    out = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
-    for lo, data, offsets in pieces(pa.array(texts, pa.large_string())):
-        for first, count, h in grams(data, offsets):
-            doc = lo + np.repeat(np.arange(len(count)), count)
-            np.add.at(out, (doc, h), 1)
+def counted(column: pa.Array) -> tuple[list[bytes], list[bytes]]:
+    """The buckets (uint16) that each whole text has grams in, and how many (int64)."""
+    buckets, counts = [], []
+    for _, data, offsets in pieces(column):
+        keys = [np.repeat(np.arange(len(count)), count) << BITS | h for _, count, h in grams(data, offsets)]
+        key, number = np.unique(np.concatenate(keys), return_counts=True)
+        ends = np.searchsorted(key, np.arange(len(offsets)) << BITS)
+        key = (key & ((1 << BITS) - 1)).astype(np.uint16)
+        buckets += [key[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        counts += [number[a:b].astype(np.int64).tobytes() for a, b in zip(ends, ends[1:])]
+    return buckets, counts
+
+
+def vectors(buckets: list[bytes], counts: list[bytes]) -> np.ndarray:
+    """Dense feature rows of a few texts, for training, from their counted()."""
+    out = np.zeros((len(buckets), 1 << BITS), dtype=np.float32)
+    for row, at, number in zip(out, buckets, counts):
+        row[np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(number, dtype=np.int64)
     return out / np.maximum(out.sum(axis=1), 1)[:, None] * SCALE
 
 
@@ -106,8 +117,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, c: float = 1.0) ->
 class Hierarchy:
     """The trained machines: families against the rest, then pairs of languages within each family."""
 
-    def __init__(self, texts: list[str], languages: list[str]):
-        x = vectors(texts)
+    def __init__(self, x: np.ndarray, languages: list[str]):
         lang = np.array(languages, dtype=object)
         family = np.array([family_of(v) for v in languages], dtype=object)
         self.families = sorted(set(family))
@@ -157,16 +167,22 @@ class Hierarchy:
         return family, language, margin
 
 
-def train(docs: DataFrame, per_language: int = 400, train_bytes: int = 4000, text: str = "text", language: str = "lang") -> Hierarchy:
-    """A Hierarchy from labelled rows: at most per_language rows a language, of at most train_bytes characters each."""
+def _counted(batches):
+    for batch in batches:
+        buckets, counts = counted(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("language"), batch.column("h"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["language", "h", "buckets", "counts"])
+
+
+def train(docs: DataFrame, per_language: int = 400, text: str = "text", language: str = "lang") -> Hierarchy:
+    """A Hierarchy from labelled rows: at most per_language rows a language, whole texts, whose grams are counted in the tasks."""
     own = take(docs, text=text, language=language).where("language is not null and text is not null and length(text) > 0").withColumn("h", F.xxhash64("text"))
     # The hashes alone are ranked; texts are read again, and only those below the last hash that is taken.
     order = Window.partitionBy("language").orderBy("h")
     limits = own.select("language", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).groupBy("language").agg(F.max("h").alias("last")).collect()
     few = F.coalesce(*[F.when((F.col("language") == r.language) & (F.col("h") <= r.last), True) for r in limits], F.lit(False))
-    chosen = own.where(few).select("language", "h", F.substring("text", 1, train_bytes).alias("text")).groupBy("language", "h").agg(F.min("text").alias("text"))
-    rows = chosen.orderBy("language", "h").collect()
-    return Hierarchy([r.text for r in rows], [r.language for r in rows])
+    chosen = own.where(few).select("language", "h", "text").mapInArrow(_counted, "language string, h long, buckets binary, counts binary")
+    rows = chosen.groupBy("language", "h").agg(F.min(F.struct("buckets", "counts")).alias("grams")).orderBy("language", "h").collect()
+    return Hierarchy(vectors([r.grams.buckets for r in rows], [r.grams.counts for r in rows]), [r.language for r in rows])
 
 
 def _predict(model: Hierarchy):

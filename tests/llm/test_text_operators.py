@@ -318,6 +318,16 @@ def test_languages_on_held_out_rows(spark):
     assert got.where("language = lang").count() > 0.97 * test.count()
 
 
+def test_languages_are_learnt_from_whole_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").where("lang in ('de', 'en') and length(text) > 300").orderBy("doc_id").limit(200).collect()
+    head = "Terms of use, all rights reserved. " * 200  # the same in each text
+    rows = [(r.doc_id, head + r.text * 40, r.lang) for r in docs[:100]]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in docs[100:]], "doc_id long, text string, lang string")
+    got = language_id.identify(test, model).join(test.select("doc_id", "lang"), "doc_id")
+    assert got.where("language = lang").count() > 0.95 * test.count() and test.select("lang").distinct().count() == 2
+
+
 def test_scores_are_means_of_weights():
     random = np.random.default_rng(2)
     weights = random.normal(size=(1 << language_id.BITS, 3))
