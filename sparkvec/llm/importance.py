@@ -15,8 +15,8 @@ by Gumbel top-k: Gumbel noise, a function of the row, is added to each log weigh
 and the k largest sums stay.
 
 Both models have a fixed number of buckets, whatever the input. The labels are
-read up to `max_labels` rows (least hashes of doc_id first); every other count
-covers all documents.
+read up to `max_labels` rows (least hashes of doc_id first) to fit the models; the
+share to keep is that of all labels, and every other count covers all documents.
 """
 
 from __future__ import annotations
@@ -127,9 +127,9 @@ def weights(docs: DataFrame, labels: DataFrame, smooth: float = 0.5, sure: float
     known = take(labels, doc_id="doc_id", quality="quality", toxic="toxic")
     good = (F.col("quality") > 0) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = known.select(F.col("doc_id").cast("long").alias("id"), good.cast("int").alias("good")).where("id is not null and good is not null")
-    known = known.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id")).limit(max_labels)
-    known = stored(known, "labels")
-    share = known.agg(F.avg("good")).first()[0]
+    known = stored(known.groupBy("id").agg(F.min("good").alias("good")), "labels")
+    share = known.agg(F.avg("good")).first()[0]  # of all labels; only the models are fitted to at most max_labels
+    known = stored(known.orderBy(F.xxhash64("id")).limit(max_labels), "fitted")
     own = take(docs, key=key, text=text).withColumn("key", F.col("key").cast("long"))
     marked = own.join(sized(known.where("good = 1").select("id", "good"), 64 << 20), F.col("key") == F.col("id"), "left")
     counted = marked.select("text", "good").mapInArrow(tidy_batches(_count), "piece int, raw binary, target binary")

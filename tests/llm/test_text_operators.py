@@ -300,6 +300,13 @@ def test_weights_are_ratios_of_counts(spark):
         assert r.log_weight == pytest.approx(ratio[b].astype(float).sum() * 1000 / (len(b) + importance.PRIOR), rel=1e-6, abs=1e-6)
 
 
+def test_the_kept_share_is_that_of_all_labels(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    assert importance.weights(docs, labels, max_labels=3)[1] == 0.87
+    assert importance.select(docs, labels, max_labels=3).where("kept").count() == 174
+
+
 def test_quality_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, None), (2, None, 1), (None, 1, 0), (8, 0, 1), (8, 0, 1)], "doc_id long, quality int, toxic int")
     kept = importance.keep_good(odd, labels, fraction=1.0)
