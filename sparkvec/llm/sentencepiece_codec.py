@@ -99,7 +99,7 @@ def parse(raw: bytes) -> Model:
             model.dummy_prefix, model.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
     if model.kind not in (1, 2):
         raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
-    if any(p[2] == NORMAL and MARK in p[0].lstrip(MARK) for p in model.pieces):
+    if any(p[2] in (NORMAL, USER) and MARK in p[0].lstrip(MARK) for p in model.pieces):
         raise ValueError("a piece goes on behind white space; texts can't be cut at it")
     return model
 
@@ -169,7 +169,9 @@ class Codec:
 
     def _alone(self, word: str) -> tuple[np.ndarray, bool]:
         ids = self.core.encode(word.replace(" ", MARK), add_special_tokens=False).ids
-        return np.array(ids, dtype=np.int32), word == " " * len(word) or ids == self.reference.encode(word[int(self.model.dummy_prefix) :])
+        if word == " " and self.model.dummy_prefix:  # alone it would be the prefix: compared behind a letter
+            return np.array(ids, dtype=np.int32), self.reference.encode("a") + ids == self.reference.encode("a ")
+        return np.array(ids, dtype=np.int32), ids == self.reference.encode(word[int(self.model.dummy_prefix) :])
 
     def _tokens(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids of each word, whether sentencepiece has the same ids) of the words data[start:end]."""

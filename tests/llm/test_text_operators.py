@@ -269,6 +269,25 @@ def test_a_piece_beyond_white_space_is_refused():
         sentencepiece_codec.parse(b"\x0a\x07\x0a\x05a\xe2\x96\x81b")
 
 
+def test_a_user_piece_beyond_white_space_is_refused():
+    with pytest.raises(ValueError):
+        sentencepiece_codec.parse(b"\x0a\x09\x0a\x05a\xe2\x96\x81b\x18\x04")
+
+
+def test_parity_of_words_of_spaces_is_looked_at():
+    codec = sentencepiece_codec.Codec(unigram_model())
+    real, texts = codec.reference, pa.array(["hello", "hello ", "hello   ", "   ", " "])
+    assert codec.encode(texts)[3].all()
+
+    class Other:
+        def encode(self, x, **options):
+            return [0] if isinstance(x, str) and x != "a" else real.encode(x, **options)
+
+    codec.clear()
+    codec.reference = Other()
+    assert codec.encode(texts)[3].tolist() == [True, False, False, False, False]
+
+
 def test_quality_keeps_good_text(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     got = importance.select(docs, labels).join(labels.withColumnRenamed("doc_id", "id"), importance.F.col("doc_id") == importance.F.col("id"))
