@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset and everything runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = f"file://{tempfile.mkdtemp(prefix='sparkvec-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     # With its file system named: tasks that write files of their own must not take it for a local path.
@@ -38,9 +42,12 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: what follows survives the loss of any executor."""
-    path = new_path(df.sparkSession, what)
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    place_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place_.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place_)  # what no drop_stored() has removed goes with the driver
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:

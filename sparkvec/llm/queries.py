@@ -15,7 +15,7 @@ from sparkvec.llm.suffix_dedup import repeated_spans
 from sparkvec.llm.sstable import token_shards
 from sparkvec.llm.template import extract
 from sparkvec.llm.va_search import top_k
-from sparkvec.llm.warc import deduplicated_pages
+from sparkvec.llm.warc import deduplicated_pages, deduplicated_recrawl
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all pages with repeated responses, revisits by digest and revisits by id that are derived from them."""
+    return deduplicated_recrawl(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest other embeddings of every embedding."""
     return top_k(table(spark, sf_dir, "embeddings"), k=10)
@@ -75,7 +80,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html_extraction, op3_ngram_join, op3_ngram_pairs, op4_decontamination, op5_sentencepiece, op6_warc, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_html_extraction, op3_ngram_join, op3_ngram_pairs, op4_decontamination, op5_sentencepiece, op6_warc, op6_warc_revisits, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
 
 
 OP3_SQL = r"""
@@ -123,6 +128,23 @@ SELECT page_id, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS type, 'sha
 FROM (SELECT page_id, html, row_number() OVER w AS n, first(page_id) OVER w AS head FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id))
 """
 
+OP6_REVISITS_SQL = """
+WITH first AS (
+  SELECT page_id AS n, 'page-' || lpad(page_id::VARCHAR, 20, '0') AS id, 'sha256:' || sha256(coalesce(html, '')) AS digest FROM pages
+), records AS (
+  SELECT id AS record_id, 'response' AS type, digest, 1 AS seen, id AS target FROM first
+  UNION ALL SELECT id || '-second', 'response', digest, 2, id FROM first WHERE n % 3 = 0
+  UNION ALL SELECT id || '-digest', 'revisit', digest, 3, id FROM first WHERE n % 5 = 0
+  UNION ALL SELECT id || '-id', 'revisit', NULL, 3, id FROM first WHERE n % 7 = 0
+), best AS (
+  SELECT digest, arg_min(record_id, (seen, record_id)) AS head FROM records WHERE type = 'response' GROUP BY digest
+), heads AS (
+  SELECT f.id AS target, head FROM first f JOIN best USING (digest)
+)
+SELECT record_id, CASE WHEN record_id = head THEN 'response' ELSE 'revisit' END AS type, digest, CASE WHEN record_id <> head THEN head END AS original
+FROM records JOIN heads USING (target)
+"""
+
 OP7_SQL = """
 SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id)::INTEGER AS rank, d AS distance
@@ -181,4 +203,4 @@ FROM chosen WHERE end_word - start_word >= 10 OR end_word - start_word >= 0.6 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op3_ngram_pairs": OP3_PAIRS_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op7_exact_topk": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op3_ngram_pairs": OP3_PAIRS_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op6_warc_revisits": OP6_REVISITS_SQL, "op7_exact_topk": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
