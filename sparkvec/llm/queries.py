@@ -188,17 +188,21 @@ WITH items AS (
   SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], ' ') AS g FROM doc_places
 ), met AS (
   SELECT doc_id, number, i, j - i AS diagonal, i - row_number() OVER (PARTITION BY doc_id, number, j - i ORDER BY i) AS island FROM doc_grams JOIN item_grams USING (g)
+), sizes AS (
+  SELECT DISTINCT len(w) AS size FROM items WHERE len(w) BETWEEN 1 AND 7
+), short_places AS (
+  SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS i FROM docs, sizes WHERE len(w) >= size
 ), stretches AS (
   SELECT doc_id, number, min(i) AS start_word, max(i) + 8 AS end_word FROM met GROUP BY doc_id, number, diagonal, island
-), longest AS (
-  SELECT * FROM stretches s WHERE NOT EXISTS (
-    SELECT 1 FROM stretches o WHERE o.doc_id = s.doc_id AND o.start_word <= s.start_word AND o.end_word >= s.end_word AND o.end_word - o.start_word > s.end_word - s.start_word)
-), chosen AS (
-  SELECT doc_id, start_word, end_word, item_id, len(w) AS size FROM longest JOIN items USING (number)
-  QUALIFY row_number() OVER (PARTITION BY doc_id, start_word, end_word ORDER BY len(w), number) = 1
+  UNION ALL SELECT doc_id, number, i, i + size FROM short_places p JOIN items ON len(items.w) = size AND array_to_string(p.w[i + 1 : i + size], ' ') = array_to_string(items.w, ' ')
+), leaking AS (
+  SELECT doc_id, start_word, end_word, item_id, number, len(w) AS size FROM stretches JOIN items USING (number)
+  WHERE end_word - start_word >= 10 OR end_word - start_word >= greatest(ceil(0.6 * len(w)), least(8, len(w)))
 )
 SELECT doc_id, start_word::BIGINT AS start_word, end_word::BIGINT AS end_word, (end_word - start_word)::BIGINT AS n_words, item_id
-FROM chosen WHERE end_word - start_word >= 10 OR end_word - start_word >= 0.6 * size
+FROM leaking s WHERE NOT EXISTS (
+  SELECT 1 FROM leaking o WHERE o.doc_id = s.doc_id AND o.start_word <= s.start_word AND o.end_word >= s.end_word AND o.end_word - o.start_word > s.end_word - s.start_word)
+QUALIFY row_number() OVER (PARTITION BY doc_id, start_word, end_word ORDER BY size, number) = 1
 """
 
 

@@ -182,24 +182,64 @@ def test_passages_on_odd_rows(spark, odd):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
-def matching(words, items):
-    """(end, length) of the stretches that the next word doesn't lengthen."""
+def longest(words, items):
+    """(end, length) of the longest stretch of some item that ends at each word."""
     subs = {tuple(it[a:b]) for it in items for a in range(len(it)) for b in range(a + 1, len(it) + 1)}
     lengths = [max((n for n in range(1, e + 1) if tuple(words[e - n : e]) in subs), default=0) for e in range(1, len(words) + 1)]
-    return [(e, n) for e, n in enumerate(lengths, 1) if n and (e == len(words) or lengths[e] != n + 1)]
+    return [(e, n) for e, n in enumerate(lengths, 1) if n]
+
+
+def leaking(words, items, limits):
+    """(start, end, words of the item, number of the item) of what leaks and lies in no other such stretch, by trying all stretches."""
+    found = {}
+    for a in range(len(words)):
+        for b in range(a + 1, len(words) + 1):
+            for number, it in enumerate(items):
+                n, size = b - a, len(it)
+                enough = n >= limits[0] or (n >= limits[1] * size and n >= min(limits[2], size))
+                if enough and any(it[j : j + n] == words[a:b] for j in range(size - n + 1)):
+                    found[a, b] = min(found.get((a, b), (99, 99)), (size, number))
+    return sorted((a, b, *who) for (a, b), who in found.items() if not any(c <= a and b <= d and (c, d) != (a, b) for c, d in found))
 
 
 def test_automaton_matches_brute_force():
     random = np.random.default_rng(5)
-    for _ in range(40):
+    for limits in [(5, 0.6, 3), (4, 0.3, 9), (9, 1.0, 1)] * 15:
         items = [random.integers(0, 3, random.integers(1, 9)).tolist() for _ in range(4)]
-        words = random.integers(0, 4, 40).tolist()
+        words = random.integers(0, 4, 30).tolist()
         a = decontaminate.SuffixAutomaton(list(enumerate(items)))
         got = list(a.stretches(words))
-        assert [(e, n) for e, n, _, _ in got] == matching(words, items)
-        for e, n, total, number in got:
+        assert [(e, n) for e, n, _ in got] == longest(words, items)
+        for e, n, state in got:
             inside = [(len(it), i) for i, it in enumerate(items) if any(it[j : j + n] == words[e - n : e] for j in range(len(it)))]
-            assert (total, number) == min(inside)
+            assert a.item[state] == min(inside)
+        a.limit(lambda n: decontaminate.needs(n, *limits))
+        assert [(x, y, *a.item[state]) for x, y, state in a.leaking(words)] == leaking(words, items, limits)
+
+
+@pytest.mark.parametrize("part_words", [7, 10**6])
+def test_leaks_match_brute_force_in_any_number_of_parts(spark, part_words):
+    """Items of one word up to many, over several parts."""
+    random = np.random.default_rng(8)
+    for least, limits in [(1, (6, 0.6, 3)), (2, (5, 0.5, 4)), (3, (4, 0.6, 3))]:
+        items = [random.integers(0, 5, random.integers(least, 10)).tolist() for _ in range(9)]
+        docs = [random.integers(0, 6, random.integers(0, 25)).tolist() for _ in range(30)]
+        frame = lambda rows, name: spark.createDataFrame([(i, " ".join(f"w{x}" for x in r)) for i, r in enumerate(rows)], f"{name} long, text string")
+        got = sorted(map(tuple, decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id"), *limits, part_words=part_words).collect()))
+        want = sorted((d, a, b, b - a, who) for d, words in enumerate(docs) for a, b, _, who in leaking(words, items, limits))
+        assert got == want and got
+
+
+def test_leaks_agree_with_their_sql_on_short_items(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    items = spark.createDataFrame([(1, "what is the capital of france"), (2, "tell me: what is the capital of france and of no other country in the whole wide world"), (3, "Paris!")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So what is the capital of France, I ask"), (2, "is the capital of france"), (3, "paris, paris"), (4, "ask: What is the capital of France and of no country")], "doc_id long, text string")
+    got = sorted(map(tuple, decontaminate.contaminated(docs, items, min_words=10, min_cover=0.6, cover_words=8).collect()))
+    assert got == [(1, 1, 7, 6, 1), (3, 0, 1, 1, 3), (3, 1, 2, 1, 3), (4, 1, 10, 9, 2)] or got == [(1, 1, 7, 6, 1), (3, 0, 1, 1, 3), (3, 1, 2, 1, 3), (4, 1, 7, 6, 1)]
+    db = duckdb.connect()
+    for name, df in (("benchmark", items), ("documents", docs)):
+        db.register(name, df.toArrow())
+    assert sorted(db.execute(queries.OP4_SQL).fetchall()) == got
 
 
 def test_contamination_limits(spark):
