@@ -165,17 +165,57 @@ def test_vector_files_are_exact_with_ties(spark, monkeypatch):
     rows = [(i, random.integers(0, 3, 5).astype(float).tolist()) for i in range(70)]
     got = va_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4)
     assert sorted(map(tuple, got.collect())) == brute(rows, 4)
+    assert va_search.top_k(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"), k=4).count() == 6
 
 
-def test_bounds_hold():
+@pytest.mark.parametrize("dim,scale", [(9, 1.0), (700, 1e3), (5, 1e30), (3, 1e-25)])
+def test_bounds_hold(dim, scale):
     random = np.random.default_rng(0)
-    x = random.normal(size=(300, 9)).astype(np.float32)
-    low, width = x.min(axis=0).astype(float), np.maximum((x.max(axis=0) - x.min(axis=0)) / va_search.CELLS, 1e-30).astype(float)
-    middle = (low + (va_search.cells(x, low, width) + 0.5) * width).astype(np.float32)
-    radius = np.sqrt(va_search.exact(x, middle)).astype(np.float32) * np.float32(1 + 1e-5)
-    near, far = va_search.bounds(x, middle, radius)
-    true = np.sqrt(((x[:, None, :].astype(float) - x[None, :, :]) ** 2).sum(axis=2))
-    assert (near <= true + 1e-12).all() and (far >= true - 1e-12).all()
+    x = (random.normal(size=(200, dim)) * scale + scale * 50).astype(np.float32)
+    grid = va_search.Grid(x.min(axis=0).astype(float), x.max(axis=0).astype(float))
+    code = grid.cells(x)
+    radius = grid.radii(x, code)
+    p = va_search.Products(x, grid, code)
+    row, col = (i.ravel() for i in np.indices((200, 200)))
+    near, far = p.bounds(row, col, radius)
+    true = np.sqrt(va_search.exact(x[row], x[col]))
+    assert (near <= true * (1 + 1e-12)).all() and (far >= true * (1 - 1e-12)).all()
+    limit = np.sort(true.reshape(200, 200), axis=1)[:, 5]
+    r, c = p.within(limit, radius)
+    met = set(zip(r.tolist(), c.tolist()))
+    assert all((i, j) in met for i, j in zip(*np.nonzero(true.reshape(200, 200) <= limit[:, None])))
+
+
+def test_few_exact_vectors_are_read():
+    """Two blocks: the scan sees cells alone, and what it leaves is little more than the k nearest."""
+    random = np.random.default_rng(6)
+    x = random.normal(size=(2, 2000, 16)).astype(np.float32)
+    both = x.reshape(-1, 16)
+    grid = va_search.Grid(both.min(axis=0).astype(float), both.max(axis=0).astype(float))
+    scan = va_search.Scan(x[0, :300], 10, grid)
+    for b in range(2):
+        code = grid.cells(x[b])
+        scan.block(b, code, grid.radii(x[b], code), 0 if b == 0 else None)
+    pairs = len(scan.survivors()[0])
+    reads = []
+
+    def vectors(b, rows):
+        reads.append(len(rows))
+        return x[b][rows]
+
+    best = scan.finish(vectors, [np.arange(2000), np.arange(2000, 4000)])
+    d = ((x[0, :300, None, :].astype(float) - both[None]) ** 2).sum(axis=2)
+    d[np.arange(300), np.arange(300)] = np.inf
+    assert (best.ident == np.argsort(d, axis=1)[:, :10]).all()
+    assert pairs < 2 * 300 * 10 and sum(reads) <= pairs < 0.01 * d.size
+
+
+def test_exact_vectors_are_read_at_their_places(tmp_path):
+    x = np.random.default_rng(2).normal(size=(5000, 3)).astype(np.float32)
+    (tmp_path / "v").write_bytes(x.tobytes())
+    with va_search._open(f"file://{tmp_path}", "v") as f:
+        for rows in ([0], [4999], [1, 2, 3, 2000, 4990, 4999], list(range(5000))):
+            assert (va_search.read_vectors(f, 3, np.array(rows)) == x[rows]).all()
 
 
 def test_vectors_on_odd_rows(spark):
@@ -183,6 +223,8 @@ def test_vectors_on_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS vector", "3 AS block")
     assert sorted(map(tuple, va_search.top_k(df, 5).collect())) == [(1, 2, 1, 0.0), (1, 7, 2, 16.0), (2, 1, 1, 0.0), (2, 7, 2, 16.0), (7, 1, 1, 16.0), (7, 2, 2, 16.0)]
     assert va_search.top_k(df.limit(0)).count() == 0
+    several = spark.createDataFrame([(1, [3.0, 0.0]), (1, [1.0, 9.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, va_search.top_k(several).collect())) == [(1, 2, 1, 5.0), (2, 1, 1, 5.0)]
     with pytest.raises(ValueError):
         va_search.top_k(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"))
 
