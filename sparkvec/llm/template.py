@@ -3,31 +3,34 @@
 The pages of a host are tokens: tags and words, each in the role that its path
 of open tags gives it. A token's occurrence vector has its number of occurrences in
 every page of the host. Tokens of equal vectors form an equivalence class; a
-class is *large and frequent* with at least `min_size` tokens in at least `support`
-of the host's pages, and *valid* if its tokens come in one order in every page
-that has them, tuple after tuple, all of a page's tuples within one gap of the
-root class (the largest class whose tokens come once a page). The root class with the
-valid classes nested in its gaps is the host's template. What its tokens leave
-in the gaps are the slots.
-
-Vectors are compared by random projections: the sum over pages of count times
-page hash, modulo 2**64, which adds up by partial sums; so no host's pages have to
-meet, and a host with most of all pages is not special. Passes over the pages:
-
-A. roles frequent within a partition's share of a host: any role frequent in
-   the host is so in some partition;
-B. sums for these roles, and from them the classes;
-C. order and gap of each class, page by page, and from them the template;
-D. extraction.
-
-Between passes only per-host tables are exchanged; they are sent to all tasks
-while small, and joined by host beyond that.
+class is *large and frequent* with at least `min_size` tokens, a tag among them, in at least `support`
+of the pages (and two of them; words that are to be template count in three or more), and *valid* if its
+tokens come in one order, tuple after tuple, in every page that has them. Of a class that comes once a page those tokens count that
+keep one order everywhere; so one page out of order doesn't cost the others their template.
+
+The valid class of most pages (then one that comes once a page, then the largest) is the root. Its tokens cut each
+page into gaps; a token in two different gaps is two different tokens from there on,
+and within every gap classes are found in the same way, so templates nest to any depth: lists of tuples, and lists within them.
+What the tokens of the nested classes leave in the gaps are the slots, named by the gaps that lead there
+and by the tuples, if it lies in lists.
+
+1. Pages are dealt to tasks by host, large hosts in groups of PAGES pages. The roles frequent in some group are the host's
+   candidates: any role that is frequent in the host is so in some group. Nothing but them goes on.
+2. Each page becomes its *shape*, the sequence of its candidates, and the texts between them.
+3. Equal shapes are counted, and the classes of a host are found from its distinct shapes,
+   which have the same equal vectors and orders as its pages.
+4. A page's slots follow from its shape; no page is parsed again.
+
+Hosts never meet as pages. One task holds the distinct shapes of a host (4 bytes a candidate).
+Candidates and templates go to all tasks while small, and are joined by host beyond that.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import cut, longs, ranges, row_id, runs, sized, stored, take
+from sparkvec.llm.common import BROADCAST_BYTES, blobs, bytes_of, cut, parts, ranges, row_id, runs, sized, stored, take, tidy_batches
 
 TAG = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S | re.I)
 CLASS = re.compile(rb"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -149,6 +152,12 @@ def steps(column: pa.Array):
         lo = hi
 
 
+#: Pages of a host that look for its candidates together.
+PAGES = 1024
+#: Pages that a word must be in to be part of a template.
+WORD_PAGES = 3
+
+
 class Hosts:
     """Numbers for host names within a task."""
 
@@ -169,15 +178,14 @@ class Hosts:
         return pa.DictionaryArray.from_arrays(pa.array(numbers.astype(np.int32)), pa.array(self.names, pa.string())).cast(pa.string())
 
 
-def _grouped(host: np.ndarray, role: np.ndarray, *sums: np.ndarray):
-    """host, role and the sums, once for each (host, role)."""
+def _grouped(host: np.ndarray, role: np.ndarray, count: np.ndarray):
+    """host, role and the sum of the counts, once for each (host, role)."""
     order = np.lexsort((role, host))
     host, role = host[order], role[order]
     start, _ = runs(host, role)
     if not len(start):
-        return (host, role, *sums)
-    with np.errstate(over="ignore"):
-        return (host[start], role[start], *[np.add.reduceat(s[order], start) for s in sums])
+        return host, role, count
+    return host[start], role[start], np.add.reduceat(count[order], start)
 
 
 def _frequent(support: float):
@@ -203,183 +211,266 @@ def _frequent(support: float):
     return work
 
 
+def _lists(table: pa.Table) -> pa.Table:
+    """The candidates of a host as one row of bytes, sorted."""
+    roles = np.unique(np.array(table.column("role").to_numpy(), dtype=np.int64).view(np.uint64))
+    return pa.table({"host": table.column("host").slice(0, 1), "roles": pa.array([roles.tobytes()], pa.binary())})
+
+
 def _member(host: np.ndarray, role: np.ndarray, of: dict[int, np.ndarray]) -> np.ndarray:
-    """For each token, its place in its host's sorted roles, or -1."""
+    """For each token, its place in its host's sorted candidates, or -1."""
     out = np.full(len(role), -1, dtype=np.int64)
-    for h in np.unique(host).tolist():
-        mine = np.flatnonzero(host == h)
-        known = of.get(h)
-        if known is not None and len(known):
+    order = np.argsort(host, kind="stable")
+    start, count = runs(host[order])
+    for s, c in zip(start.tolist(), count.tolist()):
+        mine = order[s : s + c]
+        known = of[int(host[mine[0]])]
+        if len(known):
             p = np.minimum(np.searchsorted(known, role[mine]), len(known) - 1)
             out[mine] = np.where(known[p] == role[mine], p, -1)
     return out
 
 
-def _lists(batch, own: np.ndarray, column: str, of: dict[int, np.ndarray], kind=np.uint64) -> None:
-    """Reads each host's list once."""
+def beside(df: DataFrame, side: DataFrame, column: str) -> tuple[DataFrame, dict | None]:
+    """df with its host's value of side (stored) as a column, or, while side is small, that as a dict and a column of nulls."""
+    if bytes_of(side) <= BROADCAST_BYTES:
+        return df.withColumn(column, F.lit(None).cast(side.schema[column].dataType)), {r.host: r[column] for r in side.collect()}
+    return df.join(side, "host", "left"), None
+
+
+def _values(batch, own: np.ndarray, column: str, known: dict | None, hosts: Hosts, of: dict, read) -> None:
+    """Reads the value of each new host of a batch once."""
     for i in np.unique(own, return_index=True)[1].tolist():
-        if own[i] not in of:
-            v = batch.column(column)[i].values
-            of[int(own[i])] = np.zeros(0, dtype=kind) if v is None else v.to_numpy(zero_copy_only=False).view(kind)
-
-
-def _sums(batches):
-    hosts, of, held = Hosts(), {}, []
-    for batch in batches:
-        own, rows = hosts(batch.column("host")), textnp.mix64(longs(batch.column("row")).view(np.uint64))
-        _lists(batch, own, "roles", of)
-        for lo, n, t in steps(batch.column("html")):
-            host = own[lo + t.page]
-            use = _member(host, t.role, of) >= 0
-            page, role = t.page[use], t.role[use]
-            order = np.lexsort((role, page))
-            start, count = runs(page[order], role[order])
-            at = order[start]
-            with np.errstate(over="ignore"):
-                held.append(_grouped(own[lo + page[at]], role[at], rows[lo + page[at]] * count.astype(np.uint64), np.ones(len(at), dtype=np.int64), count))
-            if len(held) > 16:
-                held = [_grouped(*[np.concatenate(x) for x in zip(*held)])]
-    if held:
-        host, role, vector, pages, total = _grouped(*[np.concatenate(x) for x in zip(*held)])
-        yield pa.RecordBatch.from_arrays([hosts.array(host), pa.array(role.view(np.int64)), pa.array(vector.view(np.int64)), pa.array(pages), pa.array(total)], names=["host", "role", "vector", "pages", "total"])
-
-
-def _classes(support: float, min_size: int):
+        h = int(own[i])
+        if h not in of:
+            of[h] = read(batch.column(column)[i].as_py() if known is None else known.get(hosts.names[h]))
+
+
+def _shapes(known: dict | None):
+    def work(batches):
+        hosts, of = Hosts(), {}
+        for batch in batches:
+            own = hosts(batch.column("host"))
+            _values(batch, own, "roles", known, hosts, of, lambda raw: np.frombuffer(raw or b"", dtype=np.uint64))
+            for lo, n, t in steps(batch.column("html")):
+                host = own[lo + t.page]
+                place = _member(host, t.role, of)
+                fixed = place >= 0
+                count = np.bincount(t.page[fixed], minlength=n)
+                # Texts of a page: before its first candidate, that one (if it is a word), behind it, and so on.
+                size = 2 * count + 1
+                first = np.cumsum(size) - size
+                seen = np.cumsum(fixed) - fixed  # candidates before each token
+                before = np.cumsum(count) - count
+                group = first[t.page] + 2 * (seen - before[t.page]) + fixed
+                use = np.flatnonzero(t.word)
+                start, end, group = t.start[use], t.end[use], group[use]
+                last = np.append(group[1:] != group[:-1], True) if len(use) else np.zeros(0, dtype=bool)
+                wide = end - start + ~last
+                data = np.frombuffer(t.raw, dtype=np.uint8)[np.minimum(ranges(start, wide), len(t.raw) - 1)].copy()
+                stop = np.cumsum(wide)
+                data[stop[~last] - 1] = 32
+                total = int(size.sum())
+                offsets = np.zeros(total + 1, dtype=np.int64)
+                np.add.at(offsets, group + 1, wide)
+                texts = pa.LargeStringArray.from_buffers(total, pa.py_buffer(np.cumsum(offsets)), pa.py_buffer(data)).cast(pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, total).astype(np.int32)), texts)
+                shape = blobs(place[fixed].astype(np.int32), count)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, n), batch.column("host").slice(lo, n), pa.array(shape, pa.binary()), lists], names=["key", "host", "shape", "texts"])
+
+    return work
+
+
+class Deduction:
+    """The template of some shapes, each there as often as its weight."""
+
+    def __init__(self, shapes: list[np.ndarray], weights: np.ndarray, tag: np.ndarray, support: float, min_size: int):
+        self.shapes, self.weights, self.tag, self.support, self.min_size = shapes, np.asarray(weights, dtype=np.int64), tag, support, min_size
+        self.root = self.grow(np.arange(len(shapes)), np.zeros(len(shapes), dtype=np.int64), np.array([len(x) for x in shapes], dtype=np.int64))
+
+    def grow(self, shape: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict | None:
+        """The class that cuts these pieces of shapes, as {"tokens": in order, "gaps": {gap: the class within it}}."""
+        size = hi - lo
+        has = size > 0
+        if not has.any():
+            return None
+        weight = self.weights[shape]
+        token = np.concatenate([self.shapes[i][a:b] for i, a, b in zip(shape[has].tolist(), lo[has].tolist(), hi[has].tolist())]).astype(np.int64)
+        piece = np.repeat(np.arange(len(shape)), size)
+        at = ranges(lo, size)
+        found = self.best(token, piece, at, weight, int(weight.sum()))
+        if found is None:
+            return None
+        tokens, mine = found
+        m = len(tokens)
+        # Cut every piece at the class's tokens.
+        p, x = piece[mine], at[mine]
+        count = np.bincount(p, minlength=len(shape))
+        nth = np.arange(len(p)) - (np.cumsum(count) - count)[p]
+        begin = np.concatenate([lo, x + 1])
+        stop = np.concatenate([hi, hi[p]])
+        none = count == 0
+        first = np.cumsum(count) - count
+        stop[: len(lo)][~none] = x[first[~none]]
+        follows = np.flatnonzero(np.append(p[1:] == p[:-1], False)) if len(p) else np.zeros(0, dtype=np.int64)
+        stop[len(lo) + follows] = x[follows + 1]
+        gap = np.concatenate([np.zeros(len(lo), dtype=np.int64), nth % m + 1])
+        of = np.concatenate([shape, shape[p]])
+        kids = {}
+        for g in range(m + 1):
+            pick = np.flatnonzero((gap == g) & (stop > begin))
+            if len(pick):
+                # Empty pieces of a gap are pieces too: what is in few of them is not frequent.
+                every = np.flatnonzero(gap == g)
+                kid = self.grow(of[every], begin[every], stop[every])
+                if kid is not None:
+                    kids[g] = kid
+        return {"tokens": tokens.tolist(), "gaps": kids}
+
+    def best(self, token: np.ndarray, piece: np.ndarray, at: np.ndarray, weight: np.ndarray, total: int):
+        """(tokens in order, which of the given tokens are theirs) of the first valid class, or None."""
+        order = np.lexsort((piece, token))
+        start, count = runs(token[order], piece[order])
+        tok, pc_ = token[order][start], piece[order][start]
+        with np.errstate(over="ignore"):
+            vector = textnp.mix64(pc_.astype(np.uint64) + np.uint64(1)) * count.astype(np.uint64)
+        s, _ = runs(tok)
+        with np.errstate(over="ignore"):
+            name, vec = tok[s], np.add.reduceat(vector, s)
+        present = np.add.reduceat(weight[pc_], s)
+        several = np.maximum.reduceat(count, s) > 1
+        good = (present >= self.support * total) & (present >= np.where(self.tag[name], 2, WORD_PAGES))
+        name, vec, present, several = name[good], vec[good], present[good], several[good]
+        order = np.lexsort((name, vec))
+        s, c = runs(vec[order])
+        classes = [order[a : a + n] for a, n in zip(s.tolist(), c.tolist()) if n >= self.min_size and self.tag[name[order[a : a + n]]].any()]
+        classes.sort(key=lambda x: (-present[x[0]], several[x[0]], -len(x), name[x[0]]))
+        for x in classes:
+            valid = self.valid(name[x], bool(several[x[0]]), token, piece, at)
+            if valid is not None:
+                return valid
+        return None
+
+    def valid(self, names: np.ndarray, several: bool, token: np.ndarray, piece: np.ndarray, at: np.ndarray):
+        mine = np.flatnonzero(np.isin(token, names))
+        m = len(names)
+        seq = token[mine]
+        if several:
+            tokens = seq[:m]
+            if len(np.unique(tokens)) < m or not (seq.reshape(-1, m) == tokens).all():  # counts are equal: tuples never cross pieces
+                return None
+            return tokens, mine
+        # Once a piece: a row of places for each piece that has the class, in the order of the first.
+        tokens = seq[:m]
+        rank = np.argsort(np.argsort(tokens, kind="stable"), kind="stable")
+        by = np.argsort(token[mine].reshape(-1, m), axis=1, kind="stable")
+        places = np.take_along_axis(at[mine].reshape(-1, m), by, axis=1)[:, rank]
+        keep, last = [0], places[:, 0]
+        if (places[:, 1:] > places[:, :-1]).all():
+            return tokens, mine
+        for j in range(1, m):
+            if (places[:, j] > last).all():
+                keep.append(j)
+                last = places[:, j]
+        tokens = tokens[keep]
+        if len(tokens) < self.min_size or not self.tag[tokens].any():
+            return None
+        return tokens, mine[np.isin(seq, tokens)]
+
+
+def slots_of(root: dict | None, shape: np.ndarray) -> list[tuple[str, list[int], int, int]]:
+    """(slot, tuples, first, last) of the gaps of a page in order; its texts from 2 * first to 2 * last are theirs."""
+    out: list[tuple[str, list[int], int, int]] = []
+
+    def walk(node: dict | None, lo: int, hi: int, path: tuple, tuples: tuple) -> None:
+        if node is None:
+            out.append((".".join(map(str, path)), list(tuples), lo, hi))
+            return
+        own = node.get("set")
+        if own is None:
+            own = node["set"] = frozenset(node["tokens"])
+            node["gaps"] = {int(g): kid for g, kid in node["gaps"].items()}
+        m, n, begin, gap = len(own), 0, lo, 0
+        for i in range(lo, hi):
+            if listed[i] in own:
+                walk(node["gaps"].get(gap), begin, i, (*path, gap), (*tuples, -(-n // m)))
+                n, begin, gap = n + 1, i + 1, n % m + 1
+        walk(node["gaps"].get(gap), begin, hi, (*path, gap), (*tuples, -(-n // m)))
+
+    listed = shape.tolist()
+    walk(root, 0, len(listed), (), ())
+    return out
+
+
+def _deduce(support: float, min_size: int, tags: dict | None):
     def work(table: pa.Table) -> pa.Table:
-        """One host: its classes as parallel lists, sorted by role; class 0 is the root."""
-        role = np.array(table.column("role").to_numpy(), dtype=np.int64).view(np.uint64)
-        parts_ = table.column("vector").to_pylist()
-        vector = np.array([sum(x) & textnp.MASK for x in parts_], dtype=np.uint64)
-        pages, total, n = longs(table.column("pages")), longs(table.column("total")), longs(table.column("n"))
-        good = np.flatnonzero(pages >= support * n)
-        order = good[np.lexsort((role[good], vector[good], total[good], pages[good]))]
-        start, count = runs(pages[order], total[order], vector[order])
-        keep = count >= min_size
-        start, count = start[keep], count[keep]
-        once = total[order][start] == pages[order][start] if len(start) else np.zeros(0, dtype=bool)
-        # The root: of the classes that come once a page the one in most pages, then the largest.
-        rank = np.lexsort((role[order][start], -count, -pages[order][start], ~once)) if len(start) else start
-        roles, numbers = [], []
-        if len(rank) and once[rank[0]]:
-            for i, r in enumerate(rank.tolist()):
-                roles.append(role[order[start[r] : start[r] + count[r]]])
-                numbers.append(np.full(count[r], i, dtype=np.int64))
-        r = np.concatenate(roles) if roles else np.zeros(0, dtype=np.uint64)
-        c = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
-        o = np.argsort(r)
-        return pa.table({"host": table.column("host").slice(0, 1), "roles": pa.array([r[o].view(np.int64)], pa.list_(pa.int64())), "classes": pa.array([c[o]], pa.list_(pa.int64()))})
+        raw = table.column("roles")[0].as_py() if tags is None else tags[table.column("host")[0].as_py()]
+        roles = np.frombuffer(raw or b"", dtype=np.uint64)
+        shapes = [np.frombuffer(x, dtype=np.int32) for x in table.column("shape").to_pylist()]
+        order = sorted(range(len(shapes)), key=lambda i: shapes[i].tobytes())  # whatever order they come in
+        n = table.column("n").to_numpy()
+        root = Deduction([shapes[i] for i in order], n[order], (roles & np.uint64(1)) == 1, support, min_size).root
+        return pa.table({"host": table.column("host").slice(0, 1), "template": pa.array([json.dumps(root)], pa.string())})
 
     return work
 
 
-def _orders(batches):
-    """For each host and class, the orders and gaps that its pages show (order 0: none)."""
-    hosts, roles_of, class_of = Hosts(), {}, {}
-    seen: set[tuple[int, int, int, int]] = set()
-    example: dict[tuple[int, int, int], list[int]] = {}
-    done: set[tuple[int, bytes]] = set()
-    for batch in batches:
-        own = hosts(batch.column("host"))
-        _lists(batch, own, "roles", roles_of)
-        _lists(batch, own, "classes", class_of, np.int64)
-        for lo, n, t in steps(batch.column("html")):
-            host = own[lo + t.page]
-            place = _member(host, t.role, roles_of)
-            use = np.flatnonzero(place >= 0)
-            page, place, host = t.page[use], place[use], host[use]
-            start, count = runs(page)
-            for s, c in zip(start.tolist(), count.tolist()):
-                h = int(host[s])
-                mine = place[s : s + c]
-                same = (h, mine.tobytes())  # pages of one shape show the same
-                if same in done:
-                    continue
-                if len(done) > 50_000:
-                    done.clear()
-                done.add(same)
-                cls = class_of[h][mine]
-                gap = np.cumsum(cls == 0)
-                by = np.argsort(cls, kind="stable")
-                a, m = runs(cls[by])
-                for x, y in zip(a.tolist(), m.tolist()):
-                    at = by[x : x + y]
-                    k, seq = int(cls[at[0]]), mine[at]
-                    size = int((class_of[h] == k).sum())
-                    order = 0
-                    if y % size == 0 and (seq.reshape(-1, size) == seq[:size]).all() and len(set(seq[:size].tolist())) == size:
-                        order = number(seq[:size].tobytes()) >> 1 | 1
-                    g = -1 if k == 0 else int(gap[at[0]]) if (gap[at] == gap[at[0]]).all() else -2
-                    if (h, k, order, g) not in seen:
-                        seen.add((h, k, order, g))
-                        example[(h, k, order)] = seq[:size].tolist() if order else []
-    if seen:
-        found = sorted(seen)
-        yield pa.RecordBatch.from_arrays([hosts.array(np.array([x[0] for x in found])), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64()), pa.array([example[x[:3]] for x in found], pa.list_(pa.int64()))], names=["host", "class", "order", "gap", "seq"])
-
-
-def _extract(batches):
-    hosts, roles_of, class_of = Hosts(), {}, {}
-    for batch in batches:
-        own = hosts(batch.column("host"))
-        _lists(batch, own, "roles", roles_of)
-        _lists(batch, own, "classes", class_of, np.int64)
-        out: list[list[dict]] = []
-        for lo, n, t in steps(batch.column("html")):
-            host = own[lo + t.page]
-            place = _member(host, t.role, roles_of)
-            first = np.searchsorted(t.page, np.arange(n + 1))
-            for p in range(n):
-                a, b = first[p], first[p + 1]
-                slots: list[dict] = []
-                mine = place[a:b]
-                cls = np.where(mine >= 0, class_of[int(own[lo + p])][mine], -1) if len(class_of[int(own[lo + p])]) else np.full(b - a, -1)
-                fixed = cls >= 0
-                # A slot is named by its gap in the root, and within that counted from template token to template token.
-                gap = np.cumsum(cls == 0)
-                piece = np.cumsum(fixed)
-                free = np.flatnonzero(~fixed & t.word[a:b])
-                s, c = runs(gap[free], piece[free])
-                last, part = -1, 0
-                for i, k in zip(s.tolist(), c.tolist()):
-                    g = int(gap[free[i]])
-                    part = part + 1 if g == last else 0
-                    last = g
-                    w = free[i : i + k] + a
-                    text = b" ".join([t.raw[x:y] for x, y in zip(t.start[w].tolist(), t.end[w].tolist())])
-                    slots.append({"slot": g, "part": part, "text": text.decode("utf-8", "replace")})
+def _fill(known: dict | None):
+    def work(batches):
+        hosts, of = Hosts(), {}
+        done: dict[tuple[int, bytes], list] = {}
+        kind = pa.list_(pa.struct([("slot", pa.string()), ("tuple", pa.list_(pa.int32())), ("text", pa.string())]))
+        for batch in batches:
+            own = hosts(batch.column("host"))
+            _values(batch, own, "template", known, hosts, of, lambda raw: json.loads(raw) if raw else None)
+            out = []
+            for h, shape, texts in zip(own.tolist(), batch.column("shape").to_pylist(), batch.column("texts").to_pylist()):
+                found = done.get((h, shape))
+                if found is None:
+                    if len(done) > 20_000:
+                        done.clear()
+                    found = done[h, shape] = slots_of(of[h], np.frombuffer(shape, dtype=np.int32))
+                slots = []
+                for slot, tuples, a, b in found:
+                    text = " ".join(x for x in texts[2 * a : 2 * b + 1] if x)
+                    if text:
+                        slots.append({"slot": slot, "tuple": tuples, "text": text})
                 out.append(slots)
-        kind = pa.list_(pa.struct([("slot", pa.int32()), ("part", pa.int32()), ("text", pa.string())]))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), pa.array(out, kind)], names=["page_id", "host", "slots"])
+            name = pa.array([hosts.names[h] or None for h in own.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), name, pa.array(out, kind)], names=["page_id", "host", "slots"])
+
+    return work
 
 
 def extract(pages: DataFrame, support: float = 0.5, min_size: int = 2, min_pages: int = 2, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, host, slots of every page: slots is a list of (slot, part, text) in page order.
+    """page_id, host, slots of every page: slots is a list of (slot, tuple, text) in page order.
 
-    slot is the gap of the host's root class (0: before its first token), part
-    counts the pieces of a gap that nested template tokens separate; only pieces with
+    slot is the path of gaps that leads to the text: "3" is gap 3 of the host's root class (0: before its first token),
+    "3.1" gap 1 of the class within that, and so on. tuple has, for each class of the path, the number of its tuple that the
+    text is in or behind (from 1; 0: before the first), so (slot, tuple) names a piece of a page. Only slots with
     words are there. Comments, scripts and styles are no tokens; entities stay as they are.
     Pages of hosts with fewer than min_pages pages or without a template are one
-    slot with all their words. A null or malformed url has the host null,
+    slot "" with all their words. A null or malformed url has the host null,
     whose pages make one group; null and empty html has no slots. Rows repeated
     with page_id and html weigh as often as they are there. Other columns are ignored.
     """
+    spark = pages.sparkSession
     own = take(pages, key=key, url=url, html=html)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     own = own.select(F.col("key").cast("long").alias("key"), host.alias("host"), F.col("html").cast("string").alias("html"), row_id(own, "key", "html").alias("row"))
-    sizes = stored(own.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages), "hosts")
-    found = own.select("host", "html").mapInArrow(_frequent(support), "host string, role long").distinct()
-    roles = stored(found.join(sizes, "host").groupBy("host").agg(F.sort_array(F.collect_list(F.col("role"))).alias("roles")), "roles")
-    # Spark sorts roles as signed numbers, look-ups need them as unsigned ones.
-    roles = roles.withColumn("roles", F.concat(F.filter("roles", lambda r: r >= 0), F.filter("roles", lambda r: r < 0)))
-    sums = own.join(sized(roles), "host").select("host", "row", "html", "roles").mapInArrow(_sums, "host string, role long, vector long, pages long, total long")
-    # Sums of vectors wrap around; they are added up as lists of partial sums, one a task.
-    whole = sums.groupBy("host", "role").agg(F.collect_list("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total")).join(sizes, "host")
-    classes = stored(whole.groupBy("host").applyInArrow(_classes(support, min_size), "host string, roles array<long>, classes array<long>"), "classes")
-    orders = own.join(sized(classes), "host").select("host", "html", "roles", "classes").mapInArrow(_orders, "host string, class long, order long, gap long, seq array<long>")
-    valid = orders.groupBy("host", "class").agg(F.count_distinct("order", "gap").alias("n"), F.min("order").alias("order"), F.min("gap").alias("gap")).where("n = 1 and order > 0 and gap > -2")
-    good = valid.groupBy("host").agg(F.collect_list("class").alias("good"))
-    # Without a valid root nothing is nested.
-    kept = F.filter(F.arrays_zip("roles", "classes"), lambda x: F.array_contains(F.col("good"), F.lit(0).cast("long")) & F.array_contains(F.col("good"), x["classes"]))
-    template = classes.join(good, "host", "left").withColumn("kept", F.coalesce(kept, F.array().cast("array<struct<roles:bigint,classes:bigint>>")))
-    template = stored(template.select("host", F.col("kept.roles").alias("roles"), F.col("kept.classes").alias("classes")), "templates")
-    return own.join(sized(template), "host", "left").select("key", F.when(F.col("host") != "", F.col("host")).alias("host"), "html", "roles", "classes").mapInArrow(_extract, "page_id long, host string, slots array<struct<slot:int,part:int,text:string>>")
+    sizes = stored(own.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages), "hosts")
+    group = F.pmod(F.xxhash64("row"), F.ceil(F.col("pages") / PAGES)).alias("group")
+    dealt = own.join(sized(sizes), "host").select("host", "html", group).repartition(parts(spark), "host", "group")
+    found = dealt.select("host", "html").mapInArrow(tidy_batches(_frequent(support)), "host string, role long").distinct()
+    roles = stored(found.groupBy("host").applyInArrow(_lists, "host string, roles binary"), "roles")
+    with_roles, known = beside(own.select("key", "host", "html"), roles, "roles")
+    pieces = stored(with_roles.mapInArrow(tidy_batches(_shapes(known)), "key long, host string, shape binary, texts array<string>"), "shapes")
+    counted = pieces.where(F.length("shape") > 0).groupBy("host", "shape").agg(F.count("*").alias("n"))
+    # A page without candidates counts as one all the same: what is frequent is so among all pages.
+    bare = pieces.where(F.length("shape") == 0).join(sized(roles.select("host")), "host", "left_semi").groupBy("host", "shape").agg(F.count("*").alias("n"))
+    counted = counted.unionByName(bare)
+    if known is None:
+        counted = counted.join(roles, "host")
+    templates = stored(counted.groupBy("host").applyInArrow(_deduce(support, min_size, known), "host string, template string"), "templates")
+    with_templates, ready = beside(pieces, templates, "template")
+    return with_templates.mapInArrow(tidy_batches(_fill(ready)), "page_id long, host string, slots array<struct<slot:string,tuple:array<int>,text:string>>")
