@@ -3,13 +3,11 @@
 Two generative models over hashed word unigrams and bigrams are counted: one of
 the target text (labelled documents of good quality that are not toxic) and one
 of the raw text (all documents). The target model is smoothed towards the raw
-one, so that a bucket with a expected and t seen target n-grams has the ratio
-(t + s) / (a + s): rare n-grams count as neutral, and
-a ratio counts only by what it exceeds its standard error. A document's log
-importance weight is the sum of the log ratios of its n-grams, scaled to a
-document of `standard` n-grams, so that long and short documents compare;
-n-grams that the target model prefers are as good as typical ones, so that they
-never make up for junk. The
+one, so that a bucket with e expected and t seen target n-grams has the ratio
+(t + s) / (e + s). The logarithm of the ratio is drawn towards 0 by `sure` standard
+errors of it, so rare n-grams count as neutral, and both what the target prefers and what it avoids counts by what is certain.
+A document's log importance weight is the sum of the log ratios of its n-grams, scaled to a
+document of `standard` n-grams, so that long and short documents compare. The
 documents to keep are drawn without replacement in proportion to their weights
 by Gumbel top-k: Gumbel noise, a function of the row, is added to each log weight
 and the k largest sums stay.
@@ -17,6 +15,8 @@ and the k largest sums stay.
 Both models have a fixed number of buckets, whatever the input. The labels are
 read up to `max_labels` rows (least hashes of doc_id first) to fit the models; the
 share to keep is that of all labels, and every other count covers all documents.
+Tasks send their counts in pieces, which are added up in two rounds, so that no task
+adds more than about the square root of their number.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BITS = 20
 MAX_LABELS = 500_000
 #: Log weights are ordered with this many steps to one.
 STEPS = 1 << 10
+#: Buckets that are sent and added up together.
+PIECE = 1 << 12
 #: N-grams of average target text that are added to every document: short ones have less to show.
 PRIOR = 20
 
@@ -48,41 +50,43 @@ def features(words: textnp.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches):
+    from pyspark import TaskContext
+
     raw, target = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
+    seen = False
     for batch in batches:
         good = longs(batch.column("good")) > 0
         for lo, words in textnp.steps(batch.column("text"), "punct"):
+            seen = True
             doc, bucket = features(words)
             raw += np.bincount(bucket, minlength=len(raw))
             mine = good[lo + doc]
             if mine.any():
                 target += np.bincount(bucket[mine], minlength=len(raw))
+    if not seen:
+        return
     # Counts leave in pieces of the bucket range, which are added up apart from each other.
-    size = 1 << 12
-    at = np.arange(0, len(raw), size)
-    yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), *[pa.array([c[i : i + size].astype(np.uint32).tobytes() for i in at], pa.binary()) for c in (raw, target)]], names=["piece", "raw", "target"])
+    at = np.arange(0, len(raw), PIECE)
+    task = np.full(len(at), TaskContext.get().partitionId(), dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array((at // PIECE).astype(np.int32)), pa.array(task), *[pa.array([c[i : i + PIECE].tobytes() for i in at], pa.binary()) for c in (raw, target)]], names=["piece", "task", "raw", "target"])
 
 
 def _add(table: pa.Table) -> pa.Table:
-    out = {"piece": table.column("piece").slice(0, 1)}
+    out = {"piece": table.column("piece").slice(0, 1), "task": table.column("task").slice(0, 1)}
     for name in ("raw", "target"):
-        out[name] = pa.array([sum(np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in table.column(name).to_pylist()).tobytes()], pa.binary())
+        out[name] = pa.array([sum(np.frombuffer(x, dtype=np.int64) for x in table.column(name).to_pylist()).tobytes()], pa.binary())
     return pa.table(out)
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, smooth: float, sure: float) -> np.ndarray:
-    """The log ratio of the target model to the raw model by bucket."""
+    """The log ratio of the target model to the raw model by bucket, `sure` standard errors nearer to 0."""
     total, good = raw.sum(), target.sum()
     if not good or not total:
         return np.zeros(len(raw), dtype=np.float32)
-    # What typical target n-grams have: the median over the target's n-grams. Junk takes mass from the raw model only.
-    have = np.flatnonzero(target)
-    order = have[np.argsort(target[have] / np.maximum(raw[have], 1), kind="stable")]
-    middle = order[np.searchsorted(np.cumsum(target[order]), good / 2)]
-    expected = raw * (target[middle] / max(raw[middle], 1))
+    expected = raw * (good / total)
     ratio = np.log((target + smooth) / (expected + smooth))
     doubt = sure * np.sqrt(1 / (target + smooth) + 1 / (expected + smooth))
-    return np.minimum(ratio + doubt, 0).astype(np.float32)
+    return (np.sign(ratio) * np.maximum(np.abs(ratio) - doubt, 0)).astype(np.float32)
 
 
 def _weigh(ratio: np.ndarray, standard: float):
@@ -132,13 +136,17 @@ def weights(docs: DataFrame, labels: DataFrame, smooth: float = 0.5, sure: float
     known = stored(known.orderBy(F.xxhash64("id")).limit(max_labels), "fitted")
     own = take(docs, key=key, text=text).withColumn("key", F.col("key").cast("long"))
     marked = own.join(sized(known.where("good = 1").select("id", "good"), 64 << 20), F.col("key") == F.col("id"), "left")
-    counted = marked.select("text", "good").mapInArrow(tidy_batches(_count), "piece int, raw binary, target binary")
-    pieces = counted.groupBy("piece").applyInArrow(_add, "piece int, raw binary, target binary").collect()
+    kind = "piece int, task long, raw binary, target binary"
+    counted = marked.select("text", "good").mapInArrow(tidy_batches(_count), kind)
+    teams = int(np.ceil(np.sqrt(max(1, marked.rdd.getNumPartitions()))))
+    if teams > 8:
+        counted = counted.withColumn("task", F.pmod("task", F.lit(teams))).groupBy("piece", "task").applyInArrow(_add, kind)
+    pieces = counted.groupBy("piece").applyInArrow(_add, kind).collect()
     raw, target = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
     for p in pieces:  # a fixed number of pieces, whatever the input
-        at = p.piece << 12
-        raw[at : at + (1 << 12)] = np.frombuffer(p.raw, dtype=np.int64)
-        target[at : at + (1 << 12)] = np.frombuffer(p.target, dtype=np.int64)
+        at = p.piece * PIECE
+        raw[at : at + PIECE] = np.frombuffer(p.raw, dtype=np.int64)
+        target[at : at + PIECE] = np.frombuffer(p.target, dtype=np.int64)
     ratio = log_ratios(raw, target, smooth, sure)
     scored = own.withColumn("row", row_id(own, "key", "text")).mapInArrow(tidy_batches(_weigh(ratio, standard)), "row long, doc_id long, log_weight double, noise double")
     return stored(scored, "weights"), 1.0 if share is None else share
@@ -149,9 +157,10 @@ def select(docs: DataFrame, labels: DataFrame, fraction: float | None = None, sm
 
     kept: the row is among the k largest scores, with k = fraction of all rows
     (rounded up; by default the share of good documents among the labels). The
-    score is log_weight / temperature plus Gumbel noise; ties (to 1/1024) go by row.
-    Null and empty texts have the weight of average target text, 0.
-    Rows repeated with doc_id and text have one score, and stay or go together.
+    score is log_weight / temperature plus Gumbel noise; scores are ordered in steps of 1/1024, then by 30 bits of
+    the row, and rows that tie in both stay or go together. Rows repeated with doc_id and text have one score and one fate too,
+    so where the k-th score is theirs more than k rows stay.
+    Null and empty texts have the log weight 0, that of average raw text; a very long text counts as a whole.
     Without any labelled target document all weights are equal. Null ids stay null.
     """
     scored, share = weights(docs, labels, smooth, sure, standard, max_labels, key, text)
