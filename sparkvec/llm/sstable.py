@@ -17,6 +17,7 @@ the index, and one block (more where a key repeats).
 
 from __future__ import annotations
 
+import array
 import bisect
 import struct
 import zlib
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import longs, new_path, parts, stored, take, tidy_batches
+from sparkvec.llm.common import longs, new_path, parts, sized, stored, take, tidy_batches
 from sparkvec.llm.files import Shard, file_size, read_range, settle
 from sparkvec.llm.sentencepiece_codec import MODEL, Codec, parse
 
 MAGIC = b"SVTOKEN1"
 BLOCK_BYTES = 64 << 10
+#: Characters of text that a shard is made for.
+SHARD_CHARS = 64 << 20
 RESTART = 16
 FOOTER = "<QQQQQQBB6x8s"  # index, its size, filter, its size, entries, bits, hashes, token width, magic
 BITS_A_KEY = 10
@@ -83,7 +86,7 @@ class Writer:
         self.file, self.width = Shard(folder, stem, ".sst"), width
         self.block, self.restarts, self.entries, self.last = bytearray(), [], 0, b""
         self.index: list[tuple[bytes, int, int]] = []
-        self.ids: list[int] = []
+        self.ids = array.array("q")
 
     def add(self, doc_id: int, tokens: bytes) -> int:
         """Returns the number of the block that the entry is in."""
@@ -115,8 +118,8 @@ class Writer:
         index_at = self.file.write(index)
         bits = max(64, BITS_A_KEY * len(self.ids))
         bloom = np.zeros(bits, dtype=bool)
-        if self.ids:
-            bloom[bloom_places(np.array(self.ids, dtype=np.int64), bits).ravel().astype(np.int64)] = True
+        if len(self.ids):
+            bloom[bloom_places(np.frombuffer(self.ids, dtype=np.int64), bits).ravel().astype(np.int64)] = True
         raw = np.packbits(bloom, bitorder="little").tobytes()
         bloom_at = self.file.write(raw)
         self.file.write(struct.pack(FOOTER, index_at, len(index), bloom_at, len(raw), len(self.ids), bits, HASHES, self.width, MAGIC))
@@ -219,13 +222,16 @@ def write(docs: DataFrame, folder: str, model: str = MODEL, shards: int | None =
 
     Null and empty texts are entries without tokens. Rows with a null doc_id have
     no key and are left out. Repeated doc_ids are as many entries under one key,
-    in the order of their texts. Other columns are ignored.
+    in the order of their texts. Other columns are ignored. Without `shards`, there are so many that one is
+    made of about SHARD_CHARS characters at most; one document is never divided.
     """
     with open(model, "rb") as f:
         raw = f.read()
     width = 2 if len(parse(raw).pieces) <= 1 << 16 else 4
     own = take(docs, key=key, text=text).withColumn("key", F.col("key").cast("long")).where("key is not null")
-    own = own.repartitionByRange(shards or parts(docs.sparkSession), "key").sortWithinPartitions("key", "text")
+    # As many shards as there are partitions of exchanged data, more where they would get too large.
+    shards = shards or max(parts(docs.sparkSession), -(-(own.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS))
+    own = own.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
     manifest = stored(own.mapInArrow(tidy_batches(_write(folder, raw, width)), "doc_id long, shard string, block int, n_tokens long"), "manifest")
     settle(folder, manifest)
     return manifest
@@ -248,9 +254,18 @@ def _look_up(folder: str):
 
 def look_up(keys: DataFrame, manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
     """doc_id and ids of the entries of the distinct keys; absent and null keys have no rows."""
-    spans = manifest.groupBy("shard").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    own = take(keys, key=key).select(F.col("key").cast("long").alias("key")).distinct()
-    hit = own.join(F.broadcast(spans), F.col("key").between(F.col("low"), F.col("high")))  # a row a shard
+    spans = stored(manifest.groupBy("shard").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "spans")  # a row a shard
+    own = take(keys, key=key).select(F.col("key").cast("long").alias("key")).where("key is not null").distinct()
+    # Ranges are disjoint but for keys that end one shard and begin the next, so a few rows of `spans` hold a key.
+    near = sized(spans)
+    if near is spans:  # very many shards: keys and ranges meet by the cells of an even grid
+        ends = spans.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).first()
+        step = F.lit((ends.high - ends.low) / max(1, ends.n) + 1)
+        cell = lambda c: F.floor((F.col(c).cast("double") - F.lit(float(ends.low))) / step).cast("long")
+        grid = spans.withColumn("cell", F.explode(F.sequence(cell("low") - 1, cell("high") + 1)))
+        hit = own.withColumn("cell", cell("key")).join(grid, "cell").where(F.col("key").between(F.col("low"), F.col("high"))).drop("cell")
+    else:
+        hit = own.join(near, F.col("key").between(F.col("low"), F.col("high")))
     return hit.groupBy("shard").applyInArrow(_look_up(folder), "doc_id long, ids array<int>")
 
 
