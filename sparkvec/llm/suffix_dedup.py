@@ -20,7 +20,8 @@ that can share `length` words with another need to meet:
    the length finds their longest common extension in O(log length) steps, and
    the word behind it decides. All runs of one level are merged at once.
    Neighbours with an extension of `length` words are repeats; their words are
-   then compared themselves, which settles hash collisions.
+   then compared themselves. Where that shows a hash collision, the suffixes of that anchor and
+   offset are matched by their words instead, so a collision neither makes nor hides a repeat.
 4. Repeats are merged into spans by document.
 
 A hot passage is not special: its suffixes are sorted like any others, and what
@@ -270,13 +271,20 @@ def repeats(heads: np.ndarray, raw: bytes, length: int) -> tuple[np.ndarray, ...
     e = np.append(s[1:], len(x)) - 1 if len(s) else s
     xa, ya = words.start[item[x[s]]].tolist(), words.start[item[y[s]]].tolist()
     xb, yb = words.end[item[x[e]] + length - 1].tolist(), words.end[item[y[e]] + length - 1].tolist()
-    true = np.ones(len(x), dtype=bool)
-    for i, (a, b, c, d) in enumerate(zip(xa, xb, ya, yb)):
-        if raw[a:b] != raw[c:d]:
-            for j in range(int(s[i]), int(e[i]) + 1):
-                u, v = int(item[x[j]]), int(item[y[j]])
-                true[j] = raw[words.start[u] : words.end[u + length - 1]] == raw[words.start[v] : words.end[v + length - 1]]
-    x, y = x[true], y[true]
+    wrong = {int(bucket[x[j]]) for i, (a, b, c, d) in enumerate(zip(xa, xb, ya, yb)) if raw[a:b] != raw[c:d] for j in range(int(s[i]), int(e[i]) + 1)}
+    if wrong:  # hashes collided: these suffixes are compared by their words alone, and what a collision hid is found again
+        redo = np.isin(bucket, np.fromiter(wrong, dtype=np.uint64))
+        use = ~redo[x]
+        first: dict[tuple[int, bytes], int] = {}
+        more = []
+        for z in np.flatnonzero(redo).tolist():
+            u = int(item[z])
+            window = raw[words.start[u] : words.end[u + length - 1]]
+            leader = first.setdefault((int(bucket[z]), window), z)
+            if leader != z:
+                more.append((z, leader))
+        x = np.concatenate([x[use], np.array([m[0] for m in more], dtype=x.dtype)])
+        y = np.concatenate([y[use], np.array([m[1] for m in more], dtype=y.dtype)])
     row_x, row_y = head[seg[x], 2], head[seg[y], 2]
     at_x, at_y = head[seg[x], 3] + step[x], head[seg[y], 3] + step[y]
     apart = (row_x != row_y) | (at_x >= at_y + length)
@@ -338,7 +346,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 8, key: str =
     Words are numbered from 0; end_word is the first word behind the span;
     source_doc_id is the least document that holds some window of the span
     first. Null, empty and shorter texts have no windows. Null doc_ids come
-    before all others and stay null. Rows repeated with doc_id and text are one
+    before all others and stay null; the doc_id -2**63 reads as null. Rows repeated with doc_id and text are one
     document. Other columns are ignored.
     """
     own = take(docs, key=key, text=text)
