@@ -25,7 +25,16 @@ from pyspark.sql import functions as F
 from sparkvec.llm import textnp
 from sparkvec.llm.common import cut, take
 
-FAMILIES = {"germanic": ("da", "de", "en", "nl", "no", "sv"), "romance": ("ca", "es", "fr", "it", "pt", "ro")}
+#: Families of closely related languages, by the codes that labels may use.
+FAMILIES = {
+    "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
+    "romance": ("ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"),
+    "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "baltic": ("lt", "lv"), "celtic": ("br", "cy", "ga", "gd"), "uralic": ("et", "fi", "hu", "se"),
+    "turkic": ("az", "ba", "kk", "ky", "tk", "tr", "tt", "ug", "uz"), "iranian": ("fa", "ku", "ps", "tg"),
+    "indic": ("as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "sa", "sd", "si", "ur"), "dravidian": ("kn", "ml", "ta", "te"),
+    "semitic": ("am", "ar", "he", "mt"), "malayic": ("fil", "id", "jv", "mg", "ms", "su", "tl"), "bantu": ("ny", "rw", "sn", "st", "sw", "xh", "zu"), "sinitic": ("yue", "zh"),
+}
 BITS = 14
 #: Factor of the shares, which the machines' bias and step sizes are made for.
 SCALE = 30.0
@@ -33,9 +42,10 @@ UNKNOWN = "und"
 STEP_BYTES = 1 << 20
 
 
-def family_of(language: str) -> str:
-    """The family of a language; one that no family lists is its own."""
-    return next((f for f, members in FAMILIES.items() if language in members), language)
+def family_of(language: str, families: dict[str, tuple[str, ...]] | None = None) -> str:
+    """The family of a language; a variety ("pt-BR") has that of its language, and a language that no family lists is one of its own."""
+    plain = language.lower().replace("_", "-").split("-")[0]
+    return next((f for f, members in (FAMILIES if families is None else families).items() if language in members or plain in members), language)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray):
@@ -117,9 +127,9 @@ def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, c: float = 1.0) ->
 class Hierarchy:
     """The trained machines: families against the rest, then pairs of languages within each family."""
 
-    def __init__(self, x: np.ndarray, languages: list[str]):
+    def __init__(self, x: np.ndarray, languages: list[str], families: dict[str, tuple[str, ...]] | None = None):
         lang = np.array(languages, dtype=object)
-        family = np.array([family_of(v) for v in languages], dtype=object)
+        family = np.array([family_of(v, families) for v in languages], dtype=object)
         self.families = sorted(set(family))
         self.members = {f: sorted(set(lang[family == f])) for f in self.families}
         columns: list[np.ndarray] = []
@@ -173,8 +183,8 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([batch.column("language"), batch.column("h"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["language", "h", "buckets", "counts"])
 
 
-def train(docs: DataFrame, per_language: int = 400, text: str = "text", language: str = "lang") -> Hierarchy:
-    """A Hierarchy from labelled rows: at most per_language rows a language, whole texts, whose grams are counted in the tasks."""
+def train(docs: DataFrame, per_language: int = 400, text: str = "text", language: str = "lang", families: dict[str, tuple[str, ...]] | None = None) -> Hierarchy:
+    """A Hierarchy from labelled rows: at most per_language rows a language, whole texts, whose grams are counted in the tasks; families: instead of FAMILIES."""
     own = take(docs, text=text, language=language).where("language is not null and text is not null and length(text) > 0").withColumn("h", F.xxhash64("text"))
     # The hashes alone are ranked; texts are read again, and only those below the last hash that is taken.
     order = Window.partitionBy("language").orderBy("h")
@@ -182,7 +192,7 @@ def train(docs: DataFrame, per_language: int = 400, text: str = "text", language
     few = F.coalesce(*[F.when((F.col("language") == r.language) & (F.col("h") <= r.last), True) for r in limits], F.lit(False))
     chosen = own.where(few).select("language", "h", "text").mapInArrow(_counted, "language string, h long, buckets binary, counts binary")
     rows = chosen.groupBy("language", "h").agg(F.min(F.struct("buckets", "counts")).alias("grams")).orderBy("language", "h").collect()
-    return Hierarchy(vectors([r.grams.buckets for r in rows], [r.grams.counts for r in rows]), [r.language for r in rows])
+    return Hierarchy(vectors([r.grams.buckets for r in rows], [r.grams.counts for r in rows]), [r.language for r in rows], families)
 
 
 def _predict(model: Hierarchy):
@@ -205,8 +215,8 @@ def identify(docs: DataFrame, model: Hierarchy, key: str = "doc_id", text: str =
     """doc_id, family, language, margin of every row.
 
     Null and empty texts are "und" with margin 0; so is everything where no
-    language was trained. Null ids and repeated rows stay as they are, and other
-    columns (the labels too) are ignored.
+    language was trained. Null and repeated ids and repeated rows stay as they are, very long texts count as a whole, and other
+    columns (the labels too) are ignored. The margin of the only language of a family is 0.
     """
     own = take(docs, key=key, text=text).withColumn("key", F.col("key").cast("long"))
     return own.mapInArrow(_predict(model), "doc_id long, family string, language string, margin double")

@@ -5,7 +5,7 @@ n-grams (lower case; words are runs of letters and digits). Two documents match
 when the Jaccard coefficient of their sets is at least `threshold`; that is so
 exactly when they share at least T = threshold / (1 + threshold) * (|x| + |y|)
 n-grams, so the join looks for documents which occur T times on the query's
-inverted lists. Nothing is approximate and nothing is capped:
+inverted lists. Nothing is capped, and but for the hash collisions below nothing is approximate:
 
 1. One pass cuts each document into its n-gram hashes and sends them, packed
    in binary rows, to as many hash ranges as there are shuffle partitions.
@@ -388,7 +388,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str =
 
     Null, empty and word-less texts have no n-grams and match nothing. Rows
     repeated with the same doc_id and text are members like any other, so a
-    doc_id may match itself. Null ids stay null. Other columns are ignored.
+    doc_id may match itself. Null ids stay null; the doc_id -2**63 reads as null. Other columns are ignored.
     """
     classes, pairs = matches(docs, n, threshold, key, text)
     ordered = Window.partitionBy("sig").orderBy(F.col("doc_id").asc_nulls_last(), "row")
@@ -411,7 +411,7 @@ def all_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "d
     member of every class that matches it. The number of pairs grows with the
     square of a class; only blocks of its ids are exchanged, pairs are not.
 
-    Texts without words, repeated rows and null ids are as in jaccard_join().
+    Texts without words, repeated rows and null ids are as in jaccard_join(); the doc_id -2**63 reads as null.
     """
     classes, pairs = matches(docs, n, threshold, key, text)
     ordered = Window.partitionBy("sig").orderBy(F.col("doc_id").asc_nulls_last(), "row")

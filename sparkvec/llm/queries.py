@@ -29,15 +29,15 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matching documents of op3_ngram_pairs by classes of equal n-gram sets: a row for each further member, one for each two classes that match."""
-    return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
-
-
-def op3_ngram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents with a Jaccard coefficient of word 3-grams of at least 0.5."""
     return all_pairs(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def op3_ngram_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by classes of equal n-gram sets: a row for each further member, one for each two classes that match."""
+    return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stretches of benchmark items in the documents, from 10 words or 60 % of an item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=10, min_cover=0.6, cover_words=8)
@@ -80,10 +80,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html_extraction, op3_ngram_join, op3_ngram_pairs, op4_decontamination, op5_sentencepiece, op6_warc, op6_warc_revisits, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_html_extraction, op3_ngram_join, op3_ngram_classes, op4_decontamination, op5_sentencepiece, op6_warc, op6_warc_revisits, op7_exact_topk, op8_language_id, op9_token_shards, op10_suffix_dedup)}
 
 
-OP3_SQL = r"""
+OP3_CLASSES_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+') AS w FROM documents
 ), sets AS (
@@ -106,7 +106,7 @@ UNION ALL
 SELECT doc_id, match_id, overlap, overlap::DOUBLE / (na + nb - overlap) AS jaccard FROM met WHERE overlap * 2 >= na + nb - overlap
 """
 
-OP3_PAIRS_SQL = r"""
+OP3_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+') AS w FROM documents
 ), sets AS (
@@ -207,4 +207,4 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, start_word, end_word ORDER BY si
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3_SQL, "op3_ngram_pairs": OP3_PAIRS_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op6_warc_revisits": OP6_REVISITS_SQL, "op7_exact_topk": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op3_ngram_classes": OP3_CLASSES_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op6_warc_revisits": OP6_REVISITS_SQL, "op7_exact_topk": OP7_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -106,8 +106,8 @@ def test_ngram_pairs_agree_with_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = sorted(db.execute(queries.OP3_PAIRS_SQL).fetchall())
-    assert sorted(map(tuple, queries.op3_ngram_pairs(spark, SF).collect())) == want and len(want) > 5
+    want = sorted(db.execute(queries.OP3_SQL).fetchall())
+    assert sorted(map(tuple, queries.op3_ngram_join(spark, SF).collect())) == want and len(want) > 5
 
 
 def test_chains_agree_for_any_number_of_rounds(spark):
@@ -164,12 +164,17 @@ def test_mergesort_by_hashes():
 
 
 def test_collisions_are_verified(monkeypatch):
-    real = textnp.span_hash
+    """All hashes collide: repeats are found by their words, those behind a collision too."""
     monkeypatch.setattr(textnp, "mix64", lambda x: x & np.uint64(1) if x.dtype == np.uint64 else x)
-    heads = np.array([[5, i, i, 0, 1, 0, 1] for i in range(3)], dtype=np.int64)
-    found = suffix_dedup.repeats(heads, b"a b c\nx y z\na b c\n", 3)
-    assert [x.tolist() for x in found] == [[2], [0], [3], [0]]
-    assert real is textnp.span_hash
+    heads = np.array([[5, i, i, 0, 1, 0, 1] for i in range(5)], dtype=np.int64)
+    found = suffix_dedup.repeats(heads, b"a b c\nx y z\na b c\nx y z\nq q q\n", 3)
+    assert [x.tolist() for x in found] == [[2, 3], [0, 0], [3, 3], [0, 1]]
+
+
+def test_spans_on_odd_rows(spark, odd):
+    got = sorted(map(tuple, suffix_dedup.repeated_spans(odd, length=10, gram=3).collect()), key=str)
+    assert got == sorted([(1, 0, 12, 12, None), (2, 0, 12, 12, None), (7, 0, 60_000, 60_000, 6)], key=str)
+    assert suffix_dedup.repeated_spans(odd.limit(0)).count() == 0
 
 
 def test_passages_on_odd_rows(spark, odd):
@@ -342,21 +347,45 @@ def test_quality_is_the_exact_top_k(spark):
     assert len(kept) == 120 and kept[0] >= max(r.score for r in rows if not r.kept) - 1 / importance.STEPS
 
 
-def test_weights_are_ratios_of_counts(spark):
+def plain_weights(texts, good, smooth=0.5, sure=1.0, standard=1000.0, prior=20):
+    """Log weights by counting the n-grams themselves."""
+    import math
+    from collections import Counter
+
+    lists = []
+    for t in texts:
+        w = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+|[^\sa-z0-9\x80-\U0010ffff]+", (t or "").lower())
+        lists.append(w + [("same",) if a == b else (a, b) for a, b in zip(w, w[1:])])
+    raw = Counter(g for x in lists for g in x)
+    target = Counter(g for i, x in enumerate(lists) if i in good for g in x)
+    part = sum(target.values()) / sum(raw.values())
+
+    def ratio(g):
+        t, e = target[g] + smooth, raw[g] * part + smooth
+        r, doubt = math.log(t / e), sure * math.sqrt(1 / t + 1 / e)
+        return math.copysign(max(abs(r) - doubt, 0), r)
+
+    return [sum(map(ratio, x)) * standard / (len(x) + prior) for x in lists]
+
+
+def test_weights_match_brute_force(spark):
+    """Good and bad text of few words, so that no two n-grams share a bucket."""
+    random = np.random.default_rng(9)
+    fine, bad = "the of and river stone, quiet".split(), "BUY now!! win cash the, of".split()
+    texts = [" ".join(random.choice(bad if i % 3 == 0 else fine, size=random.integers(0, 120))) for i in range(60)] + ["so so so so", "", None, "é!é?"]
+    good = {i for i in range(60) if i % 3}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.log_weight for r in importance.weights(docs, labels)[0].collect()}
+    want = plain_weights(texts, good)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    assert max(want) > 50 and min(want) < -50  # what the target prefers counts as well
+
+
+def test_counts_add_up_in_two_rounds(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
-    good = {r.doc_id for r in labels.collect() if r.quality and not r.toxic}
-    raw, target, features = np.zeros(1 << importance.BITS, int), np.zeros(1 << importance.BITS, int), {}
-    for r in docs.collect():
-        for _, w in textnp.steps(pa.array([r.text]), "punct"):
-            _, b = importance.features(w)
-            np.add.at(raw, b, 1)
-            if r.doc_id in good:
-                np.add.at(target, b, 1)
-            features[r.doc_id] = b
-    ratio = importance.log_ratios(raw, target, 0.5, 1.0)
-    for r in importance.weights(docs, labels)[0].collect():
-        b = features[r.doc_id]
-        assert r.log_weight == pytest.approx(ratio[b].astype(float).sum() * 1000 / (len(b) + importance.PRIOR), rel=1e-6, abs=1e-6)
+    few, many = (sorted((r.row, r.log_weight) for r in importance.weights(d, labels)[0].collect()) for d in (docs, docs.repartition(70)))
+    assert few == many
 
 
 def test_the_kept_share_is_that_of_all_labels(spark):
@@ -407,6 +436,56 @@ def test_scores_are_means_of_weights():
         assert row == pytest.approx(weights[all_].mean(axis=0) if len(all_) else np.zeros(3))
 
 
+def test_votes_match_brute_force():
+    """Families and one-versus-one wins by counting grams and machines one by one, ties included."""
+    random = np.random.default_rng(3)
+    texts = [bytes(random.integers(97, 104, random.integers(1, 60)).astype(np.uint8)) for _ in range(90)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    names = ["da", "de", "en", "es", "fr", "it", "xx"]
+    model = language_id.Hierarchy(language_id.vectors(*language_id.counted(pa.array([t.decode() for t in texts]))), [names[i % 7] for i in range(90)])
+
+    def bucket(gram):
+        h = (int.from_bytes(gram, "big") + (len(gram) << 24)) * 2654435761 % 2**32
+        return (h ^ h >> 15) * 2246822519 % 2**32 >> 18
+
+    families = {"germanic": names[:3], "romance": names[3:6], "xx": ["xx"]}
+    assert model.members == families
+    for shift in (0.0, None):  # None: all machines undecided
+        if shift is None:
+            model.table, model.bias = model.table * 0, model.bias * 0
+        got = model.predict(data, offsets)
+        for t, family, language in zip(texts, got[0], got[1]):
+            grams = [bucket(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+            out = lambda c: sum(model.table[g, c] for g in grams) / len(grams) + model.bias[c]  # noqa: B023, E731
+            best = max(range(3), key=lambda i: (round(out(model.of_family[i]), 9), -i))
+            assert family == sorted(families)[best]
+            mine = families[family]
+            wins, sums = dict.fromkeys(mine, 0), dict.fromkeys(mine, 0.0)
+            for i, j, c in model.pairs[family]:
+                s = out(c)
+                wins[mine[i] if s >= 0 else mine[j]] += 1
+                sums[mine[i]] += s
+                sums[mine[j]] -= s
+            assert language == max(mine, key=lambda m: (wins[m], round(sums[m], 9), -mine.index(m)))
+    assert language_id.family_of("pt-BR") == "romance" and language_id.family_of("tlh") == "tlh" and language_id.family_of("tlh", {"klingon": ("tlh",)}) == "klingon"
+
+
+def test_machines_reach_the_least_loss():
+    """The primal objective against that of projected gradient ascent on the dual."""
+    random = np.random.default_rng(1)
+    x = random.normal(size=(60, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * random.normal(size=60) > 0, 1.0, -1.0)
+    wide = np.hstack([x, np.ones((60, 1))])
+    gram = (wide @ wide.T) * np.outer(y, y)
+    alpha, step = np.zeros(60), 1 / np.linalg.norm(gram, 2)
+    for _ in range(20_000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, 1)
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (wide @ w)).sum()
+    best = loss((alpha * y) @ wide)
+    assert loss(language_id.train_svm(x, y, rounds=200).astype(float)) < best * 1.01 and loss(language_id.train_svm(x, y).astype(float)) < best * 1.2
+
+
 def test_language_on_odd_rows(spark, odd):
     model = language_id.train(odd.toDF(*[f"x{i}" for i in range(len(odd.columns))]).selectExpr("x1 AS text", "x2 AS lang"))
     rows = language_id.identify(odd, model).collect()
