@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkvec.llm import decontaminate, importance, ngram_join, sentencepiece_codec, suffix_dedup
-from sparkvec.llm.common import stored, table
+from sparkvec.llm.common import STORED, drop_stored, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +53,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: Hashed models, Gumbel noise and token ids are beyond SQL: tests hold the stages against brute-force versions.
+#: Hashed models, Gumbel noise and token ids are beyond SQL: tests/llm/test_pipeline.py holds each stage's rows and texts against a version of its own.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage stored besides its result goes, and so does the result once the next one is there."""
+    docs, before = table(spark, sf_dir, "documents"), len(STORED)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop_stored(spark, STORED[before:-1])
     return docs
 
 
