@@ -40,6 +40,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Folders of stored() tables, in the order of their making.
+STORED: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: what follows survives the loss of any executor."""
     spark = df.sparkSession
@@ -47,15 +51,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     place_ = spark._jvm.org.apache.hadoop.fs.Path(path)
     place_.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place_)  # what no drop_stored() has removed goes with the driver
     df.write.option("compression", "zstd").parquet(path)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Removes the files of a stored() table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Removes stored() tables that nothing reads any more."""
+    for where in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        STORED.remove(where)
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from sparkvec.llm import queries, sentencepiece_codec, sstable, template, va_search, warc
 from sparkvec.llm.common import new_path, table, take
 
@@ -382,29 +381,3 @@ def test_filter_and_damage(tmp_path):
     (tmp_path / "x.sst").write_bytes(b"short")
     with pytest.raises(ValueError):
         sstable.Reader(folder, "x.sst")
-
-
-# pipeline
-def test_pipeline_stages(spark):
-    docs = table(spark, SF, "documents")
-    out = {}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, SF), name)
-        out[name] = docs
-    names = table(spark, SF, "documents").columns
-    assert all(out[n].columns == names for n, _ in corpus_pipeline.STAGES[:-1])
-    sizes = [out[n].count() for n, _ in corpus_pipeline.STAGES]
-    assert 0 < sizes[-1] == sizes[-2] <= sizes[2] <= sizes[1] <= sizes[0] < table(spark, SF, "documents").count()
-    assert out["benchmark_leaks"].where("n_chars <> length(text)").count() == 0
-    assert out["tokens"].where("not exact").count() == 0
-
-
-def test_pipeline_on_odd_rows(spark):
-    rows = [(1, None, None, None, None), (None, None, None, None, None), (2, "", "en", "a", 0), (3, "some words here", "en", "a", 15), (3, "some words here", "en", "a", 15)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS row", "2 AS TEXT2")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.limit(0), SF).count() == 0
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns[-2:] == ["row", "TEXT2"]
-    assert docs.count() == 4
