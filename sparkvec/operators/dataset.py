@@ -5,14 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvec.functions import codec as C
+from sparkvec.functions import distance as D
 from sparkvec.operators import search
 from sparkvec.schema import Codec, Layout, Meta, Metric, require, valid_dense, valid_sparse
 
 
+#: Ids whose sizes one task adds up.
+RANGE = 1 << 16
+
+
 class Index(Protocol):
     """What a first stage offers."""
 
@@ -62,13 +67,13 @@ class VectorDataset:
         if self.meta.layout is Layout.DENSE:  # fixed stride: no running sum
             at = F.col(self.key) * self.meta.dim
             return self.df.select(self.key, at.alias("start"), (at + self.meta.dim).alias("end"))
-        # A running sum over ranges of ids: partition totals first, then within partitions.
-        sizes = self.sizes().repartitionByRange(self.key).sortWithinPartitions(self.key).withColumn("p", F.spark_partition_id())
+        # A running sum over ranges of ids: the ranges' totals first, then within them.
+        sizes = self.sizes().withColumn("p", F.floor(F.col(self.key) / RANGE).cast("long"))
         own = Window.partitionBy("p").orderBy(self.key).rowsBetween(Window.unboundedPreceding, 0)
         totals = sizes.groupBy("p").agg(F.sum("size").alias("total"))
-        before = totals.select("p", (F.sum("total").over(Window.orderBy("p")) - F.col("total")).alias("before"))
+        before = totals.select("p", (F.sum("total").over(Window.orderBy("p")) - F.col("total")).alias("before"))  # a row for RANGE ids
         end = F.col("before") + F.sum("size").over(own)
-        return sizes.join(F.broadcast(before), "p").select(self.key, (end - F.col("size")).alias("start"), end.alias("end"))
+        return sizes.join(before, "p").select(self.key, (end - F.col("size")).alias("start"), end.alias("end"))
 
     def id_of_range(self, start: int, end: int) -> int:
         """The id whose range this is."""
@@ -110,7 +115,9 @@ class VectorDataset:
             return replace(self, df=require(self.df, valid_dense(F.col("vector"), self.meta.dim), "not a valid dense vector"))
         if self.meta.layout is Layout.SPARSE:
             return replace(self, df=require(self.df, valid_sparse(F.col("components"), F.col("values"), self.meta.dim), "not a valid sparse vector"))
-        return self
+        if self.meta.layout is Layout.MULTIVEC:
+            return replace(self, df=require(self.df, F.col("tokens").isNotNull() & F.forall("tokens", lambda t: valid_dense(t, self.meta.dim)), "not valid token vectors"))
+        return replace(self, df=require(self.df, (F.length("packed") > 0) & (F.length("packed") % 8 == 0), "not a packed vector"))
 
     def append(self, rows: DataFrame) -> VectorDataset:
         """More rows; their ids 0, 1, ... go on behind the largest one."""
@@ -118,8 +125,12 @@ class VectorDataset:
         moved = rows.withColumn(self.key, F.col(self.key) + F.lit(0 if last is None else last + 1))
         return replace(self, df=self.df.unionByName(moved))
 
-    def convert(self, codec: Codec | str) -> VectorDataset:
-        """The values as another codec keeps them."""
+    def convert(self, codec: Codec | str, **options):
+        """The values as another codec keeps them, or as an encoder (pq, packed, token_pq, two_level) trained on them with these options."""
+        if codec not in [c.value for c in Codec] and not isinstance(codec, Codec):
+            from sparkvec.operators import encoded
+
+            return encoded.EncodedDataset.of(self, encoded.fit(self, codec, **options))
         codec = Codec(codec)
         column, how = {Layout.DENSE: ("vector", C.store_all), Layout.SPARSE: ("values", C.store_all), Layout.MULTIVEC: ("tokens", C.store_tokens)}[self.meta.layout]
         return VectorDataset(self.df.withColumn(column, how(F.col(column), codec)), replace(self.meta, codec=codec))
@@ -142,11 +153,33 @@ class VectorDataset:
             from sparkvec.operators.multivec import maxsim_top_k
 
             return maxsim_top_k(self.df, queries, k)
-        raise ValueError("packed collections are searched with operators.packed.top_k")
+        raise ValueError("packed rows are searched as an EncodedDataset, which knows their mapping")
 
     def nearest(self, queries: DataFrame) -> DataFrame:
         return self.search(queries, 1).drop("rank")
 
+    def decoded(self) -> VectorDataset:
+        return self
+
+    def as_queries(self, ids: Column | None = None) -> DataFrame:
+        """Stored vectors (those whose ids meet the condition) as queries."""
+        chosen = self.df if ids is None else self.df.where(ids)
+        return chosen.withColumnRenamed(self.key, "query_id")
+
+    def pairwise(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+        """(queries, documents, the score over the columns of both), for search.top_k_by() and rerank."""
+        layout, c = self.meta.layout, F.col
+        if layout is Layout.DENSE:
+            score = D.checked_distance(c("qv"), c("dv"), self.meta.metric)
+            return queries.select("query_id", c("vector").alias("qv")), self.df.select(c("vec_id").alias("doc_id"), c("vector").alias("dv")), score
+        if layout is Layout.SPARSE:
+            q, d = queries.select("query_id", c("components").alias("qc"), c("values").alias("qv")), self.df.select(c("vec_id").alias("doc_id"), c("components").alias("dc"), c("values").alias("dv"))
+            dot = D.sparse_dot(c("qc"), c("qv"), c("dc"), c("dv"))
+            return q, d, dot if self.meta.metric is Metric.DOT else D.sparse_l2(dot, D.norm(c("qv")), D.norm(c("dv")))
+        if layout is Layout.MULTIVEC:
+            return queries.select("query_id", c("tokens").alias("qt")), self.df.select("doc_id", c("tokens").alias("dt")), D.maxsim(c("qt"), c("dt"))
+        raise ValueError("packed rows have no score of their own")
+
 
 def sparse_dim(docs: DataFrame) -> int:
     """The largest component plus 1."""
@@ -158,7 +191,7 @@ def sparse_dim(docs: DataFrame) -> int:
 class ExhaustiveIndex:
     """An Index that scores everything."""
 
-    data: VectorDataset
+    data: VectorDataset  # or an EncodedDataset
 
     def n_elements(self) -> int:
         return len(self.data)
@@ -171,3 +204,8 @@ class ExhaustiveIndex:
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return self.data.search(queries, k)
+
+    @staticmethod
+    def build(data, encoder: str | None = None, **options) -> ExhaustiveIndex:
+        """An index over a collection, encoded first if an encoder is named."""
+        return ExhaustiveIndex(data if encoder is None else data.convert(encoder, **options))

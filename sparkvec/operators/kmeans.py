@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvec.functions import distance as D
-from sparkvec.operators.common import BROADCAST_BYTES, bytes_of, matrix
+from sparkvec.operators.common import matrix, small, task_number, tree_sum
 
 #: A copied centroid and its original move apart by this share.
 NUDGE = 1 / 1024
@@ -18,7 +18,7 @@ NUDGE = 1 / 1024
 
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """vec_id, cluster, distance: the nearest centroid (cluster, centroid), the lowest of equals."""
-    if bytes_of(centroids) > BROADCAST_BYTES:
+    if not small(centroids):
         d = D.checked_distance(F.col("vector"), F.col("centroid"), "euclidean")
         joined = points.select("vec_id", "vector").crossJoin(centroids.select("cluster", "centroid"))
         near = joined.groupBy("vec_id").agg(F.min(F.struct(d.alias("distance"), F.col("cluster").alias("cluster"))).alias("n"))
@@ -31,16 +31,35 @@ def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def update(points: DataFrame, assigned: DataFrame, weight: str | None = None) -> DataFrame:
-    """cluster, dim, mean, weight: the (weighted) mean of every dimension, long form, exact up to the order of sums."""
+    """cluster, dim, mean, weight: the (weighted) mean of every dimension, long form; each task adds up its own points of a cluster."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    wide = points.join(assigned.select("vec_id", "cluster"), "vec_id").select("cluster", w.alias("w"), F.posexplode("vector").alias("dim", "x"))
-    return wide.groupBy("cluster", "dim").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("mean"), F.sum("w").alias("weight"))
+    wide = points.join(assigned.select("vec_id", F.col("cluster").cast("long").alias("cluster")), "vec_id").select("cluster", w.alias("w"), "vector")
 
-
-def objective(assigned: DataFrame) -> DataFrame:
-    """objective: the sum of distances; imbalance: k * sum(h^2) / sum(h)^2 over the clusters that have points."""
+    def work(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, w_ = batch.column("cluster").to_numpy(), np.asarray(batch.column("w").to_numpy(zero_copy_only=False), dtype=np.float64)
+            x = matrix(batch.column("vector")).astype(np.float64)
+            names, at = np.unique(c, return_inverse=True)
+            part = np.zeros((len(names), x.shape[1] + 1))
+            np.add.at(part, at, np.hstack([x * w_[:, None], w_[:, None]]))
+            for n, row in zip(names.tolist(), part):
+                sums[n] = sums[n] + row if n in sums else row
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["cluster", "sums"])
+
+    parts = wide.mapInArrow(work, "cluster long, sums array<double>").select("cluster", F.posexplode("sums").alias("dim", "x"), F.element_at("sums", -1).alias("w"), (F.size("sums") - 1).alias("n"))
+    means = parts.where(F.col("dim") < F.col("n")).groupBy("cluster", "dim").agg((F.sum("x") / F.sum("w")).alias("mean"), F.sum("w").alias("weight"))
+    return means.withColumn("cluster", F.col("cluster").cast(assigned.schema["cluster"].dataType))
+
+
+def objective(assigned: DataFrame, k: int | None = None) -> DataFrame:
+    """objective: the sum of distances; imbalance: k * sum(h^2) / sum(h)^2, over the clusters that have points unless their number k is given."""
     sizes = assigned.groupBy("cluster").agg(F.count("*").cast("double").alias("h"), F.sum("distance").alias("d"))
-    return sizes.agg(F.sum("d").alias("objective"), (F.count("*") * F.sum(F.col("h") * F.col("h")) / (F.sum("h") * F.sum("h"))).alias("imbalance"))
+    number = F.count("*") if k is None else F.lit(k)
+    return sizes.agg(F.sum("d").alias("objective"), (number * F.sum(F.col("h") * F.col("h")) / (F.sum("h") * F.sum("h"))).alias("imbalance"))
 
 
 def imbalance(histogram: np.ndarray) -> float:
@@ -131,7 +150,7 @@ class KMeans:
 
 
 def step(points: DataFrame, centroids: np.ndarray, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """One assignment and update: every task adds up its own points, the driver k rows a task."""
+    """One assignment and update: every task adds up its own points, and the sums are added up in a tree, in the order of tasks."""
     k, dim = centroids.shape
 
     def work(batches):
@@ -145,17 +164,12 @@ def step(points: DataFrame, centroids: np.ndarray, weight: str | None = None) ->
             np.add.at(total, at, x.astype(np.float64) * w[:, None])
             h += np.bincount(at, weights=w, minlength=k)
             loss += float(d.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary()), pa.array([loss])], names=["total", "h", "loss"])
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = [sum(np.frombuffer(x, dtype=np.float64) for x in table.column(c).to_pylist()).tobytes() for c in ("total", "h")]
-        return pa.table({"total": pa.array([sums[0]], pa.binary()), "h": pa.array([sums[1]], pa.binary()), "loss": pa.array([sum(table.column("loss").to_pylist())])})
+        yield pa.RecordBatch.from_arrays([task_number(), *[pa.array([np.asarray(x, dtype=np.float64).tobytes()], pa.binary()) for x in (total, h, loss)]], names=["task", "total", "h", "loss"])
 
-    kind = "total binary, h binary, loss double"
-    partial = points.mapInArrow(work, kind)
-    r = partial.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: add(t), kind).first()
+    partial = points.mapInArrow(work, "task long, total binary, h binary, loss binary")
+    r = tree_sum(partial, ("total", "h", "loss"), points.rdd.getNumPartitions())
     total, h = np.frombuffer(r.total, dtype=np.float64).reshape(k, dim), np.frombuffer(r.h, dtype=np.float64)
-    return np.where(h[:, None] > 0, total / np.maximum(h, 1e-300)[:, None], centroids), h, r.loss
+    return np.where(h[:, None] > 0, total / np.maximum(h, 1e-300)[:, None], centroids), h, float(np.frombuffer(r.loss)[0])
 
 
 def as_frame(spark, centroids: np.ndarray) -> DataFrame:

@@ -8,13 +8,16 @@ together, so that most gaps take a byte; it changes no score.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkvec.operators.pq import local_best
-from sparkvec.operators.search import rank, result
+from sparkvec.operators.common import scores
+from sparkvec.operators.search import SPARSE_BLOCK, SparseQueries, local_best, rank, result
 from sparkvec.schema import Metric
 
 MOST = 65_534
@@ -22,20 +25,33 @@ MOST = 65_534
 SAMPLE_LEAST = 50_000
 
 
-def train_mapping(docs: DataFrame, dim: int) -> np.ndarray:
-    """new number of each component below dim: by falling frequency, then by component; a permutation."""
+def train_mapping(docs: DataFrame, dim: int, order: str = "frequency") -> np.ndarray:
+    """new number of each component below dim; a permutation.
+
+    frequency: by falling frequency, then by component. cooccurrence: components that occur in the same documents get
+    close numbers: they are ordered by two min-hashes of the documents that they are in, then by falling frequency.
+    """
+    if order not in ("frequency", "cooccurrence"):
+        raise ValueError("the order is frequency or cooccurrence")
     if dim > 1 << 16:
         raise ValueError("packed vectors have 16-bit components")
     n = docs.count()
     if n // 20 >= SAMPLE_LEAST:
         docs = docs.where(F.pmod(F.xxhash64("vec_id"), F.lit(20)) == 0)
-    seen = docs.select(F.explode("components").alias("c")).groupBy("c").count().collect()  # at most 65,536 rows
-    count = np.zeros(dim, dtype=np.int64)
-    for r in seen:
-        count[r.c] = r["count"]
-    order = np.lexsort((np.arange(dim), -count))
+    hashes = [F.min(F.xxhash64(F.lit(i), "vec_id")).alias(f"h{i}") for i in (0, 1)]
+    per = docs.select("vec_id", F.explode("components").alias("c")).groupBy("c").agg(F.count("*").alias("n"), *(hashes if order == "cooccurrence" else []))
+    t = per.toArrow()  # at most 65,536 rows
+    at = t.column("c").to_numpy().astype(np.int64)
+    count, keys = np.zeros(dim, dtype=np.int64), [np.arange(dim)]
+    count[at] = t.column("n").to_numpy()
+    keys.append(-count)
+    for name in ("h1", "h0") if order == "cooccurrence" else ():
+        h = np.full(dim, np.iinfo(np.int64).max)
+        h[at] = t.column(name).to_numpy()
+        keys.append(h)
+    order_ = np.lexsort(keys)
     mapping = np.empty(dim, dtype=np.int64)
-    mapping[order] = np.arange(dim)
+    mapping[order_] = np.arange(dim)
     return mapping
 
 
@@ -45,34 +61,77 @@ def inverse(mapping: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack_one(components: np.ndarray, values: np.ndarray, mapping: np.ndarray) -> bytes:
-    if len(components) > MOST:
+def _within(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each row of `count` entries."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def pack_rows(components: np.ndarray, values: np.ndarray, count: np.ndarray, mapping: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, n+1 offsets) of packed vectors whose components and values stand one after another, `count` of each."""
+    if (count > MOST).any():
         raise ValueError("too many components to pack")
+    row, j = np.repeat(np.arange(len(count)), count), _within(count)
     new = mapping[components]
-    order = np.argsort(new)
-    gaps = np.diff(new[order], prepend=0)
-    wide = gaps > 255
-    low = gaps.astype("<u2").view(np.uint8).reshape(-1, 2)
-    gap_bytes = low[np.stack([np.ones_like(wide), wide], axis=1)]
-    codes = np.clip(np.rint(values[order].astype(np.float64) * 64), 0, 255).astype(np.uint8)
-    raw = np.array([len(new)], dtype="<u2").tobytes() + np.packbits(wide, bitorder="little").tobytes() + gap_bytes.tobytes() + codes.tobytes()
-    return raw + bytes(-len(raw) % 8)
+    order = np.lexsort((new, row))
+    new = new[order]
+    gaps = np.where(j == 0, new, new - np.concatenate([[0], new[:-1]]))
+    wide = (gaps > 255).astype(np.int64)
+    wides = np.bincount(row, weights=wide, minlength=len(count)).astype(np.int64)
+    bits = (count + 7) // 8
+    size = 2 + bits + 2 * count + wides
+    size += -size % 8
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    base, out = offsets[:-1], np.zeros(offsets[-1], dtype=np.uint8)
+    out[base], out[base + 1] = count & 255, count >> 8
+    np.add.at(out, (base + 2)[row] + j // 8, (wide << (j & 7)).astype(np.uint8))
+    before = np.cumsum(wide) - wide  # bytes of gaps that are second ones, so far and within the row
+    before -= np.repeat(np.concatenate([[0], np.cumsum(wides)])[:-1], count)
+    at = (base + 2 + bits)[row] + j + before
+    out[at] = gaps & 255
+    out[at[wide == 1] + 1] = gaps[wide == 1] >> 8
+    out[(base + 2 + bits + count + wides)[row] + j] = np.clip(np.rint(values[order].astype(np.float64) * 64), 0, 255)
+    return out, offsets
+
+
+def unpack_rows(data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(renumbered components, values, number of each row's) of packed vectors that begin at `base`."""
+    count = data[base].astype(np.int64) | data[base + 1].astype(np.int64) << 8
+    row, j = np.repeat(np.arange(len(count)), count), _within(count)
+    wide = (data[(base + 2)[row] + j // 8].astype(np.int64) >> (j & 7)) & 1
+    wides = np.bincount(row, weights=wide, minlength=len(count)).astype(np.int64)
+    before = np.cumsum(wide) - wide - np.repeat(np.concatenate([[0], np.cumsum(wides)])[:-1], count)
+    bits = (count + 7) // 8
+    at = (base + 2 + bits)[row] + j + before
+    gaps = data[at].astype(np.int64)
+    gaps[wide == 1] |= data[at[wide == 1] + 1].astype(np.int64) << 8
+    total = np.cumsum(gaps)
+    first = np.cumsum(count) - count
+    new = total - np.repeat(np.concatenate([[0], total])[first], count)
+    return new, data[(base + 2 + bits + count + wides)[row] + j].astype(np.float32) / 64, count
+
+
+def pack_one(components: np.ndarray, values: np.ndarray, mapping: np.ndarray) -> bytes:
+    return pack_rows(np.asarray(components), np.asarray(values), np.array([len(components)]), mapping)[0].tobytes()
 
 
 def unpack_one(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(renumbered components, values)."""
-    data = np.frombuffer(raw, dtype=np.uint8)
-    n = int(data[0]) | int(data[1]) << 8
-    at = 2 + (n + 7) // 8
-    wide = np.unpackbits(data[2:at], bitorder="little")[:n].astype(np.int64)
-    start = at + np.cumsum(wide + 1) - (wide + 1)
-    end = at + n + int(wide.sum())
-    gaps = data[start].astype(np.int64) + np.where(wide == 1, data[np.minimum(start + 1, len(data) - 1)].astype(np.int64) << 8, 0)
-    return np.cumsum(gaps), data[end : end + n].astype(np.float32) / 64
+    return unpack_rows(np.frombuffer(raw, dtype=np.uint8), np.zeros(1, dtype=np.int64))[:2]
+
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
 
-def _lists(batch, name):
-    return [np.asarray(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else np.zeros(0, dtype=np.int64) for x in batch.column(name)]
+
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """unpack_rows() of a binary column; nulls are refused."""
+    if column.null_count:
+        raise ValueError("a packed vector is null")
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    return unpack_rows(data, offsets[:-1])
 
 
 def pack(docs: DataFrame, mapping: np.ndarray) -> DataFrame:
@@ -80,10 +139,14 @@ def pack(docs: DataFrame, mapping: np.ndarray) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            c, v = _lists(batch, "components"), _lists(batch, "values")
-            if any(len(x) and (x.min() < 0 or x.max() >= len(mapping)) for x in c):
+            (c, count), (v, n) = _flat(batch.column("components")), _flat(batch.column("values"))
+            if (count != n).any():
+                raise ValueError("components and values differ in number")
+            if len(c) and (c.min() < 0 or c.max() >= len(mapping)):
                 raise ValueError("component out of range")
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([pack_one(a, b, mapping) for a, b in zip(c, v)], pa.binary()), pa.array([len(a) for a in c], pa.int32())], names=["vec_id", "packed", "n_components"])
+            raw, offsets = pack_rows(c, v, count, mapping)
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), packed.cast(pa.binary()), pa.array(count, pa.int32())], names=["vec_id", "packed", "n_components"])
 
     return docs.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("components").cast("array<long>").alias("components"), "values").mapInArrow(work, "vec_id long, packed binary, n_components int")
 
@@ -94,33 +157,60 @@ def unpack(packed: DataFrame, mapping: np.ndarray) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            c, v = [], []
-            for raw in batch.column("packed").to_pylist():
-                new, values = unpack_one(raw)
-                old = back[new]
-                order = np.argsort(old)
-                c.append(old[order])
-                v.append(values[order])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(c, pa.list_(pa.int64())), pa.array(v, pa.list_(pa.float32()))], names=["vec_id", "components", "values"])
+            if not batch.num_rows:
+                continue
+            new, values, count = _packed(batch.column("packed"))
+            old = back[new]
+            order = np.lexsort((old, np.repeat(np.arange(len(count)), count)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.ListArray.from_arrays(offsets, pa.array(old[order], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(values[order], pa.float32()))], names=["vec_id", "components", "values"])
 
     return packed.select("vec_id", "packed").mapInArrow(work, "vec_id long, components array<long>, values array<float>")
 
 
 def top_k(packed: DataFrame, queries: DataFrame, mapping: np.ndarray, k: int) -> DataFrame:
     """query_id, doc_id, rank, score by dot product; queries are sparse and not packed."""
-    rows = queries.select("query_id", "components", "values").collect()
-    q_id, dense = np.array([r.query_id for r in rows], dtype=np.int64), np.zeros((len(mapping), len(rows)))
-    for i, r in enumerate(rows):
-        if r.components and not 0 <= min(r.components) <= max(r.components) < len(mapping):
-            raise ValueError("component out of range")
-        dense[mapping[np.array(r.components, dtype=np.int64)], i] = r["values"]
+    own = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("components").cast("array<long>").alias("components"), F.col("values").cast("array<float>").alias("values"))
+    if own.where((F.array_min("components") < 0) | (F.array_max("components") >= len(mapping))).limit(1).count():
+        raise ValueError("component out of range")
 
-    def work(batches):
-        for batch in batches:
-            score = np.zeros((batch.num_rows, len(q_id)))
-            for i, raw in enumerate(batch.column("packed").to_pylist()):
-                c, v = unpack_one(raw)
-                score[i] = v.astype(np.float64) @ dense[c]
-            yield from local_best(score, np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False)), q_id, k, Metric.DOT)
+    def prepare(table):
+        c = table.column("components").combine_chunks()
+        new = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(_flat(c)[1])]).astype(np.int32)), pa.array(mapping[c.flatten().to_numpy(zero_copy_only=False)], pa.int64()))
+        return SparseQueries(table.column("query_id").to_numpy(), new, table.column("values").combine_chunks())
+
+    def score(state, batch):
+        yield from local_best(state.products(*_packed(batch.column("packed"))), np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False)), state.q_id, k, Metric.DOT)
+
+    return result(rank(scores(packed.select(F.col("vec_id").cast("long").alias("vec_id"), "packed"), own, SPARSE_BLOCK, prepare, score), k, Metric.DOT))
+
+
+@dataclass(frozen=True)
+class PackedEncoder:
+    """The mapping of components, as an encoder of sparse collections; dot product only."""
+
+    mapping: np.ndarray
+
+    @staticmethod
+    def fit(docs: DataFrame, dim: int, order: str = "frequency") -> PackedEncoder:
+        return PackedEncoder(train_mapping(docs, dim, order))
+
+    def encode(self, docs: DataFrame) -> DataFrame:
+        return pack(docs, self.mapping)
+
+    def decode(self, packed: DataFrame) -> DataFrame:
+        return unpack(packed, self.mapping)
+
+    def top_k(self, packed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        return top_k(packed, queries, self.mapping, k)
+
+    def space_bytes(self) -> int:
+        """The mapping in 16 bits a component, and the dimension."""
+        return 16 + 2 * len(self.mapping) + 8
+
+    def state(self) -> dict[str, np.ndarray]:
+        return {"mapping": self.mapping}
 
-    return result(rank(packed.select("vec_id", "packed").mapInArrow(work, "query_id long, doc_id long, score double"), k, Metric.DOT))
+    @staticmethod
+    def from_state(state: dict[str, np.ndarray]) -> PackedEncoder:
+        return PackedEncoder(state["mapping"])

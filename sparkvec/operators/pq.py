@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkvec.operators.common import matrix
+from sparkvec.operators.common import matrix, scores, task_number, tree_sum
 from sparkvec.operators.kmeans import KMeans, nearest_rows, split_empty
-from sparkvec.operators.search import QUERY_BLOCK, rank, result
+from sparkvec.operators.search import QUERY_BLOCK, local_best, rank, result
 from sparkvec.schema import Metric
 
 CENTROIDS = 256
@@ -144,40 +144,31 @@ class ProductQuantizer:
 
     def top_k(self, encoded: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """query_id, doc_id, rank, score by asymmetric distance: exact queries, coded documents."""
-        found = queries.select("query_id", "vector").toArrow()
-        q_id, q = found.column("query_id").to_numpy(), matrix(found.column("vector"))
         metric = self.metric
 
-        def work(batches):
-            tables = self.tables(q)
-            for batch in batches:
-                codes = matrix(batch.column("codes")).astype(np.int64)
-                ids = np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False))
-                for lo in range(0, len(q), QUERY_BLOCK):
-                    score = np.zeros((len(codes), min(QUERY_BLOCK, len(q) - lo)))
-                    for j in range(self.m if len(codes) else 0):
-                        score += tables[lo : lo + QUERY_BLOCK, j, :].T[codes[:, j]]
-                    yield from local_best(score, ids, q_id[lo : lo + QUERY_BLOCK], k, metric)
-
-        scored = encoded.select("vec_id", "codes").mapInArrow(work, "query_id long, doc_id long, score double")
-        return result(rank(scored, k, metric))
-
-
-def local_best(score: np.ndarray, ids: np.ndarray, q_id: np.ndarray, k: int, metric: Metric):
-    """The k best rows of each column as a batch; ties go to the lower id."""
-    if not score.size or k <= 0:
-        return
-    good = score if metric.larger_is_better else -score
-    if len(good) > k:
-        kth = np.partition(good, len(good) - k, axis=0)[len(good) - k]
-        row, col = np.nonzero(good >= kth[None, :])
-    else:
-        row, col = (x.ravel() for x in np.indices(good.shape))
-    order = np.lexsort((ids[row], -good[row, col], col))
-    row, col = row[order], col[order]
-    keep = np.arange(len(col)) - np.searchsorted(col, col) < k
-    row, col = row[keep], col[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(q_id[col], pa.int64()), pa.array(ids[row], pa.int64()), pa.array(score[row, col])], names=["query_id", "doc_id", "score"])
+        def prepare(table):
+            return table.column("query_id").to_numpy(), self.tables(matrix(table.column("vector")))
+
+        def score(state, batch):
+            q_id, tables = state
+            codes = matrix(batch.column("codes")).astype(np.int64)
+            total = np.zeros((len(codes), len(q_id)))
+            for j in range(self.m):
+                total += tables[:, j, :].T[codes[:, j]]
+            yield from local_best(total, np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False)), q_id, k, metric)
+
+        return result(rank(scores(encoded.select("vec_id", "codes"), queries.select("query_id", "vector"), QUERY_BLOCK, prepare, score), k, metric))
+
+    def space_bytes(self) -> int:
+        """Two sizes and the centroids."""
+        return 16 + 4 * self.codebook.size
+
+    def state(self) -> dict[str, np.ndarray]:
+        return {"codebook": self.codebook, "metric": np.array(self.metric.value)}
+
+    @staticmethod
+    def from_state(state: dict[str, np.ndarray]) -> ProductQuantizer:
+        return ProductQuantizer(state["codebook"], Metric(str(state["metric"])))
 
 
 def _train(points: DataFrame, books: np.ndarray, n_iter: int, seed: int) -> np.ndarray:
@@ -197,13 +188,10 @@ def _train(points: DataFrame, books: np.ndarray, n_iter: int, seed: int) -> np.n
                     np.add.at(total[j], at, part.astype(np.float64))
                     h[j] += np.bincount(at, minlength=k)
                     loss[j] += d.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (total, h, loss)], names=["total", "h", "loss"])
-
-        def add(table: pa.Table) -> pa.Table:
-            return pa.table({c: pa.array([sum(np.frombuffer(x, dtype=np.float64) for x in table.column(c).to_pylist()).tobytes()], pa.binary()) for c in ("total", "h", "loss")})
+            yield pa.RecordBatch.from_arrays([task_number(), *[pa.array([x.tobytes()], pa.binary()) for x in (total, h, loss)]], names=["task", "total", "h", "loss"])
 
-        kind = "total binary, h binary, loss binary"
-        r = points.select("vector").mapInArrow(work, kind).groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: add(t), kind).first()
+        partial = points.select("vector").mapInArrow(work, "task long, total binary, h binary, loss binary")
+        r = tree_sum(partial, ("total", "h", "loss"), points.rdd.getNumPartitions())
         total, h, loss = np.frombuffer(r.total).reshape(m, k, width), np.frombuffer(r.h).reshape(m, k), np.frombuffer(r.loss)
         means = np.where(h[:, :, None] > 0, total / np.maximum(h, 1e-300)[:, :, None], books)
         books = np.stack([split_empty(means[j], h[j], float(h[j].sum()), random[j])[0] for j in range(m)])

@@ -20,10 +20,18 @@ def prune(candidates: DataFrame, k_final: int, alpha: float, metric: Metric | st
     return candidates.withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("score") >= F.col("limit"))).drop("limit")
 
 
-def rescore(candidates: DataFrame, queries: DataFrame, docs: DataFrame, score: Column) -> DataFrame:
-    """query_id, doc_id, first_rank, score: `score` is over the columns of queries (query_id, ...) and docs (doc_id, ...)."""
+#: Bytes of a candidate: its ids and its rank.
+CANDIDATE = 24
+
+
+def rescore(candidates: DataFrame, queries: DataFrame, docs: DataFrame, score: Column, most: int | None = None) -> DataFrame:
+    """query_id, doc_id, first_rank, score: `score` is over the columns of queries (query_id, ...) and docs (doc_id, ...).
+
+    most: candidates that there are at most; while these are small they go to the documents, which are never shuffled.
+    """
     found = candidates.select("query_id", "doc_id", F.col("rank").alias("first_rank"))
-    return docs.join(sized(found), "doc_id").join(sized(queries), "query_id").select("query_id", "doc_id", "first_rank", score.alias("score"))
+    small = sized(found, most=None if most is None else most * CANDIDATE)
+    return docs.join(small, "doc_id").join(sized(queries), "query_id").select("query_id", "doc_id", "first_rank", score.alias("score"))
 
 
 def plain(scored: DataFrame, k_final: int, metric: Metric | str) -> DataFrame:
@@ -59,5 +67,27 @@ def two_stage(candidates: DataFrame, queries: DataFrame, docs: DataFrame, score:
     candidates = candidates.where(F.col("rank") <= (k_candidates if k_final > 0 else 0))
     if alpha is not None:
         candidates = prune(candidates, k_final, alpha, first_metric)
-    scored = rescore(candidates, queries, docs, score)
+    scored = rescore(candidates, queries, docs, score, queries.count() * k_candidates)  # the first stage isn't run to be measured
     return plain(scored, k_final, metric) if beta is None else early_exit(scored, k_final, beta, metric)
+
+
+class RerankIndex:
+    """A first stage and a collection with the same ids that scores its candidates again."""
+
+    def __init__(self, first, second):
+        """first: an Index or a collection; second: a collection, plain or encoded."""
+        self.first_stage_index, self.rerank_dataset = first, second
+
+    def __len__(self) -> int:
+        return len(self.rerank_dataset)
+
+    def is_empty(self) -> bool:
+        return self.rerank_dataset.is_empty()
+
+    def search(self, first_queries: DataFrame, queries: DataFrame, k_candidates: int, k_final: int, alpha: float | None = None, beta: int | None = None) -> DataFrame:
+        """query_id, doc_id, rank, score; first_queries are in the form of the first stage, queries in that of the second (plain)."""
+        second = self.rerank_dataset.decoded()
+        metric = second.meta.metric
+        first = getattr(self.first_stage_index, "data", self.first_stage_index)
+        q, d, score = second.pairwise(queries)
+        return two_stage(self.first_stage_index.search(first_queries, k_candidates), q, d, score, k_candidates, k_final, metric, alpha, beta, first.meta.metric)

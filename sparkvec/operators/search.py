@@ -8,7 +8,8 @@ expr   a join of queries and documents on nothing, the distance as an
 block  for dense vectors: documents stream through Arrow batches, a block of
        queries is scored by one matrix product, the rows that may be among the k
        best are scored again in the order of the expression, and what
-       remains, k rows a query and task, goes through the same row_number().
+       remains, k rows a query and task, goes through the same row_number(). Sparse
+       vectors are scored in blocks too.
 
 Ties go to the lower document id.
 """
@@ -17,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvec.functions import distance as D
-from sparkvec.operators.common import BROADCAST_BYTES, best_rows, bytes_of, fold_dot, fold_l2, matrix, sized
+from sparkvec.operators.common import best_rows, fold_dot, fold_l2, matrix, scores, sized
 from sparkvec.schema import Metric
 
 #: Queries that one matrix product takes.
@@ -56,28 +58,14 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Me
 
 def block_scores(docs: DataFrame, queries: DataFrame, k: int, metric: Metric) -> DataFrame:
     """query_id, doc_id, score of at least the k best documents of each query in every task."""
-    docs, queries = docs.select("vec_id", "vector"), queries.select("query_id", "vector")
-    if bytes_of(queries) <= BROADCAST_BYTES:
-        found = queries.toArrow()
-        q_id, q = found.column("query_id").to_numpy(), matrix(found.column("vector"))
-        blocks = [(q_id[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK]) for i in range(0, len(q), QUERY_BLOCK)]
-        return docs.mapInArrow(_score_blocks(blocks, k, metric), "query_id long, doc_id long, score double")
-    # Many queries: blocks of them are rows of their own, and meet the documents' blocks pair by pair.
-    packed = pack(queries.withColumnRenamed("query_id", "vec_id")).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    return packed.crossJoin(pack(docs)).mapInArrow(_score_pairs(k, metric), "query_id long, doc_id long, score double")
 
+    def prepare(table):
+        return table.column("query_id").to_numpy(), matrix(table.column("vector"))
 
-def pack(vectors: DataFrame, rows: int = 4096) -> DataFrame:
-    """ids, vectors: some thousand vectors a row, as bytes."""
+    def score(state, batch):
+        yield _batch(_candidates(*state, np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False)), matrix(batch.column("vector")), k, metric))
 
-    def work(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                piece = batch.slice(lo, rows)
-                ids = np.asarray(piece.column("vec_id").to_numpy(zero_copy_only=False), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([matrix(piece.column("vector")).tobytes()], pa.binary())], names=["ids", "vectors"])
-
-    return vectors.select("vec_id", "vector").mapInArrow(work, "ids binary, vectors binary")
+    return scores(docs.select("vec_id", "vector"), queries.select("query_id", "vector"), QUERY_BLOCK, prepare, score)
 
 
 def _candidates(q_id, q, d_id, d, k, metric):
@@ -106,29 +94,6 @@ def _batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "doc_id", "score"])
 
 
-def _score_blocks(blocks, k: int, metric: Metric):
-    def work(batches):
-        for batch in batches:
-            d_id, d = np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False)), matrix(batch.column("vector"))
-            for q_id, q in blocks:
-                yield _batch(_candidates(q_id, q, d_id, d, k, metric))
-
-    return work
-
-
-def _score_pairs(k: int, metric: Metric):
-    def work(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_id, d_id = np.frombuffer(r["q_ids"], dtype=np.int64), np.frombuffer(r["ids"], dtype=np.int64)
-                q = np.frombuffer(r["q_vectors"], dtype=np.float32).reshape(len(q_id), -1)
-                d = np.frombuffer(r["vectors"], dtype=np.float32).reshape(len(d_id), -1)
-                for lo in range(0, len(q), QUERY_BLOCK):
-                    yield _batch(_candidates(q_id[lo : lo + QUERY_BLOCK], q[lo : lo + QUERY_BLOCK], d_id, d, k, metric))
-
-    return work
-
-
 def nearest(docs: DataFrame, queries: DataFrame, metric: Metric | str = Metric.DOT, strategy: str = "block") -> DataFrame:
     """query_id, doc_id, score of the best document; no row where there are no documents."""
     return top_k(docs, queries, 1, metric, strategy).drop("rank")
@@ -158,15 +123,67 @@ def sparse_scores(docs: DataFrame, queries: DataFrame, metric: Metric | str = Me
     return from_docs.join(sized(from_queries), "c").groupBy("query_id", "doc_id").agg(F.sum(F.col("dv") * F.col("qv")).alias("score"))
 
 
-def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.DOT) -> DataFrame:
+#: Sparse queries that are scored at once, and products that are held at once.
+SPARSE_BLOCK, PRODUCTS = 128, 1 << 22
+
+
+class SparseQueries:
+    """Some sparse queries as a dense matrix over the components that they have."""
+
+    def __init__(self, q_id: np.ndarray, components: pa.Array, values: pa.Array):
+        count = np.asarray(pc.fill_null(pc.list_value_length(components), 0))
+        c, v = components.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.q_id, row = q_id, np.repeat(np.arange(len(count)), count)
+        self.used, at = np.unique(c, return_inverse=True)
+        self.dense = np.zeros((len(self.used), len(count)))
+        self.dense[at, row] = v
+        self.norm = np.bincount(row, weights=v * v, minlength=len(count))
+
+    def products(self, c: np.ndarray, v: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """(documents, queries) from documents' components and values one after another."""
+        out = np.zeros((len(count), len(self.q_id)))
+        if not len(self.used) or not len(c):
+            return out
+        at = np.minimum(np.searchsorted(self.used, c), len(self.used) - 1)
+        hit = np.flatnonzero(self.used[at] == c)
+        at, row, v = at[hit], np.repeat(np.arange(len(count)), count)[hit], v[hit].astype(np.float64)
+        step = max(1, PRODUCTS // max(1, len(self.q_id)))
+        for lo in range(0, len(hit), step):
+            part = self.dense[at[lo : lo + step]] * v[lo : lo + step, None]
+            mine = row[lo : lo + step]
+            first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            out[mine[first]] += np.add.reduceat(part, first, axis=0)
+        return out
+
+
+def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.DOT, strategy: str = "block") -> DataFrame:
     """Top-k of sparse docs (vec_id, components, values) and queries (query_id, components, values).
 
-    Every document competes: one that shares no component with a query has the
-    product 0. For the dot product at most k of those, the ones with the lowest ids,
-    can matter to a query, so only the join on components is large. For L2 the
-    norms of all documents are needed, and all pairs are scored.
+    Every document competes: one that shares no component with a query has the product 0. By "block", documents stream past
+    the queries, each task cuts them to k a query, and nothing else is shuffled. By "join", they meet on components by a
+    shuffle, which pays where few documents share any component with a query; for the dot product only the k documents of the lowest ids
+    among those that don't can matter then, for L2 all pairs are scored.
     """
     metric = Metric(metric)
+    if strategy not in ("block", "join"):
+        raise ValueError("the strategy is block or join")
+    if strategy == "block":
+
+        def prepare(table):
+            return SparseQueries(table.column("query_id").to_numpy(), table.column("components").combine_chunks(), table.column("values").combine_chunks())
+
+        def score(state, batch):
+            count = np.asarray(pc.fill_null(pc.list_value_length(batch.column("components")), 0))
+            c, v = (batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("components", "values"))
+            found = state.products(c, v, count)
+            if metric is Metric.L2:
+                norm = np.bincount(np.repeat(np.arange(len(count)), count), weights=v.astype(np.float64) ** 2, minlength=len(count))
+                found = state.norm[None, :] + norm[:, None] - 2.0 * found
+            yield from local_best(found, np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False)), state.q_id, k, metric)
+
+        columns = [F.col("components").cast("array<long>").alias("components"), F.col("values").cast("array<float>").alias("values")]
+        found = scores(docs.select(F.col("vec_id").cast("long").alias("vec_id"), *columns), queries.select(F.col("query_id").cast("long").alias("query_id"), *columns), SPARSE_BLOCK, prepare, score)
+        return result(rank(found, k, metric))
     met = sparse_scores(docs, queries)
     if metric is Metric.L2:
         d = docs.select(F.col("vec_id").alias("doc_id"), D.norm(F.col("values")).alias("dn"))
@@ -177,11 +194,28 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, metric: Metric | s
     ranked = rank(met, k, metric)
     have = ranked.where("score > 0").groupBy("query_id").agg(F.count("*").alias("have"))
     open_ = queries.select("query_id").join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < max(k, 0)).select("query_id")
-    others = docs.select(F.col("vec_id").alias("doc_id")).crossJoin(sized(open_)).join(met.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    others = docs.select(F.col("vec_id").alias("doc_id")).crossJoin(open_).join(met.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     zeros = rank(others.withColumn("score", F.lit(0.0)), k, metric)
     return result(rank(ranked.drop("rank").unionByName(zeros.drop("rank")), k, metric))
 
 
+def local_best(score: np.ndarray, ids: np.ndarray, q_id: np.ndarray, k: int, metric: Metric):
+    """The k best rows of each column as a batch; ties go to the lower id."""
+    if not score.size or k <= 0:
+        return
+    good = score if metric.larger_is_better else -score
+    if len(good) > k:
+        kth = np.partition(good, len(good) - k, axis=0)[len(good) - k]
+        row, col = np.nonzero(good >= kth[None, :])
+    else:
+        row, col = (x.ravel() for x in np.indices(good.shape))
+    order = np.lexsort((ids[row], -good[row, col], col))
+    row, col = row[order], col[order]
+    keep = np.arange(len(col)) - np.searchsorted(col, col) < k
+    row, col = row[keep], col[keep]
+    yield _batch((q_id[col], ids[row], score[row, col]))
+
+
 def relaxed(scored: DataFrame, threshold: Column, slack: float, metric: Metric | str) -> DataFrame:
     """The rows whose score is within the relaxed threshold."""
     return scored.where(D.within_relaxation(F.col("score"), threshold, slack, metric))

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
+import io
 import json
 from dataclasses import asdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.operators.dataset import VectorDataset
+from sparkvec.operators.encoded import ENCODERS, EncodedDataset
 from sparkvec.schema import Codec, Layout, Meta, Metric
 
 
-def save(data: VectorDataset, path: str, mode: str = "errorifexists") -> None:
-    """Parquet beside a one-row table of what it is."""
+def save(data: VectorDataset | EncodedDataset, path: str, mode: str = "errorifexists") -> None:
+    """Parquet beside a one-row table of what it is, and one of its encoder's arrays, if it has one."""
     data.df.write.mode(mode).parquet(f"{path}/rows")
     spark = data.df.sparkSession
-    spark.createDataFrame([(json.dumps(asdict(data.meta)),)], "meta string").coalesce(1).write.mode(mode).json(f"{path}/meta")
+    about = asdict(data.meta)
+    if isinstance(data, EncodedDataset):
+        about["encoder"] = {"kind": data.kind}
+        arrays = io.BytesIO()
+        np.savez(arrays, **data.encoder.state())
+        spark.createDataFrame([(bytearray(arrays.getvalue()),)], "arrays binary").coalesce(1).write.mode(mode).parquet(f"{path}/encoder")
+    spark.createDataFrame([(json.dumps(about),)], "meta string").coalesce(1).write.mode(mode).json(f"{path}/meta")
 
 
-def load(spark: SparkSession, path: str) -> VectorDataset:
+def load(spark: SparkSession, path: str) -> VectorDataset | EncodedDataset:
     """What save() wrote; a damaged or missing file raises."""
     rows = spark.read.json(f"{path}/meta", schema="meta string").collect()
     if len(rows) != 1 or not rows[0].meta:
         raise ValueError(f"{path} holds no collection")
     m = json.loads(rows[0].meta)
-    meta = Meta(Layout(m["layout"]), m["dim"], Codec(m["codec"]), Metric(m["metric"]), m["encoder"])
-    return VectorDataset(spark.read.parquet(f"{path}/rows"), meta)
+    kind = m["encoder"].get("kind")
+    meta = Meta(Layout(m["layout"]), m["dim"], Codec(m["codec"]), Metric(m["metric"]), {} if kind else m["encoder"])
+    df = spark.read.parquet(f"{path}/rows")
+    if not kind:
+        return VectorDataset(df, meta)
+    raw = bytes(spark.read.parquet(f"{path}/encoder").first().arrays)
+    with np.load(io.BytesIO(raw), allow_pickle=False) as arrays:
+        return EncodedDataset(df, ENCODERS[kind].from_state(dict(arrays)), meta)
 
 
 def shortest(score: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkvec import cli
 
-from sparkvec.operators import evaluate, kmeans, multivec, packed, pq, rerank, search
+from sparkvec.operators import common, evaluate, kmeans, multivec, packed, pq, rerank, search
 from sparkvec.operators.dataset import VectorDataset
 from sparkvec.schema import Layout, Meta
 from sparkvec.sources import binary, store
@@ -26,7 +26,7 @@ def test_kmeans_steps(spark, monkeypatch):
     assert tuple(kmeans.objective(a).first()) == (2.0, 1.0)
     tie = kmeans.assign(dense(spark, [(1, 1)]), kmeans.as_frame(spark, [(0, 1), (2, 1)]))
     assert tie.first().cluster == 0
-    monkeypatch.setattr(kmeans, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, kmeans.assign(points, centroids).collect())) == [(0, 0, 0.0), (1, 1, 2.0)]
     assert kmeans.imbalance([1, 3]) == 2 * 10 / 16
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.functions import codec as C
 from sparkvec.functions import distance as D
-from sparkvec.operators import search
+from sparkvec.operators import common, search
 from sparkvec.operators.dataset import ExhaustiveIndex, VectorDataset, sparse_dim
 from sparkvec.schema import Codec, Layout, Meta, Metric, finite, strictly_sorted, valid_sparse
 
@@ -138,7 +138,7 @@ def test_strategies_agree_bit_for_bit(spark, metric, monkeypatch):
     queries = docs.where("vec_id < 9").withColumnRenamed("vec_id", "query_id")
     want = sorted(map(tuple, search.top_k(docs, queries, 7, metric, "expr").collect()))
     assert sorted(map(tuple, search.top_k(docs, queries, 7, metric, "block").collect())) == want
-    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)  # many queries: blocks meet pair by pair
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)  # many queries: blocks meet pair by pair
     assert sorted(map(tuple, search.top_k(docs, queries, 7, metric, "block").collect())) == want
 
 
