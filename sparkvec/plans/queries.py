@@ -7,19 +7,23 @@ documents are four embeddings in a row.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkvec import cli
 from sparkvec.functions import codec as C
 from sparkvec.functions import distance as D
 from sparkvec.operators import evaluate, kmeans, multivec, packed, rerank, search
 from sparkvec.operators.common import matrix
-from sparkvec.operators.dataset import VectorDataset, sparse_dim
+from sparkvec.operators.dataset import ExhaustiveIndex, VectorDataset, sparse_dim
+from sparkvec.operators.encoded import EncodedDataset
 from sparkvec.operators.pq import ProductQuantizer
 from sparkvec.schema import Codec, Layout, Meta, Metric, strictly_sorted
+from sparkvec.sources import binary, store
 
 K = 10
 CODECS = ("f16", "bf16", "fixedu8", "fixedu16")
@@ -335,12 +339,24 @@ def kmeans_objective_imbalance(spark, sf_dir):
     return kmeans.objective(_clusters(spark, sf_dir)[1]).select(F.round("objective", 6).alias("objective"), F.round("imbalance", 9).alias("imbalance"))
 
 
-@query()
+def lloyd_sql(k: int, rounds: int, vector: str = "embedding", source: str = "embeddings") -> str:
+    """CTEs c0 (the points of the least md5), then a1, c1, a2, c2, ...: assignments to the last centroids and their means."""
+    out = [f"c0 AS (SELECT row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS cluster, list_transform({vector}, lambda x: x::DOUBLE) AS c FROM {source} QUALIFY cluster < {k})"]
+    for i in range(1, rounds + 1):
+        out.append(f"a{i} AS (SELECT e.vec_id, b.cluster FROM {source} e, c{i - 1} b QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY {l2_sql('e.' + vector, 'b.c')}, b.cluster) = 1)")
+        out.append(f"m{i} AS (SELECT cluster, dim, avg(x) AS x FROM (SELECT cluster, unnest({vector})::DOUBLE AS x, generate_subscripts({vector}, 1) AS dim FROM a{i} JOIN {source} USING (vec_id)) GROUP BY 1, 2)")
+        out.append(f"c{i} AS (SELECT cluster, list(x ORDER BY dim) AS c FROM m{i} GROUP BY 1)")
+    return ", ".join(out)
+
+
+@query(f"""WITH {lloyd_sql(10, 4)}, f AS (SELECT cluster, list_transform(c, lambda x: x::FLOAT) AS c FROM c4),
+a AS (SELECT e.vec_id, f.cluster, {l2_sql('e.embedding', 'f.c')} AS d FROM embeddings e, f QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY d, f.cluster) = 1)
+SELECT cluster::INTEGER AS cluster, count(*) AS size, round(sum(d), 6) AS loss FROM a GROUP BY 1""")
 def kmeans_train(spark, sf_dir):
-    """cluster, size after ten iterations from md5-chosen points."""
+    """cluster, size, loss after four iterations from md5-chosen points."""
     d = spread(dense(spark, sf_dir))
-    c = kmeans.KMeans(n_iter=10).train(d, 10)
-    return kmeans.assign(d, kmeans.as_frame(spark, c)).groupBy("cluster").agg(F.count("*").alias("size"))
+    c = kmeans.KMeans(n_iter=4).train(d, 10)
+    return kmeans.assign(d, kmeans.as_frame(spark, c)).groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.sum("distance"), 6).alias("loss"))
 
 
 # product quantization
@@ -381,11 +397,43 @@ _pq_query("pq_topk_dot", "dotproduct")
 _pq_query("pq_topk_l2", "euclidean")
 
 
-@query()
+FIT_SQL = f"""parts AS (SELECT vec_id, j, {_part('embedding', 'j')} AS p FROM embeddings, range(8) r(j)),
+i AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS code FROM embeddings QUALIFY code < 256),
+start AS (SELECT j, code, p AS c FROM i JOIN parts USING (vec_id)),
+near AS (SELECT x.vec_id, x.j, s.code FROM parts x JOIN start s USING (j) QUALIFY row_number() OVER (PARTITION BY x.vec_id, x.j ORDER BY {l2_sql('x.p', 's.c')}, s.code) = 1),
+sums AS (SELECT j, code, dim, avg(x) AS x FROM (SELECT j, code, unnest(p)::DOUBLE AS x, generate_subscripts(p, 1) AS dim FROM near JOIN parts USING (vec_id, j)) GROUP BY 1, 2, 3),
+book AS (SELECT j, code, list(x::FLOAT ORDER BY dim) AS c FROM sums GROUP BY 1, 2),
+codes AS (SELECT x.vec_id, x.j, b.code, b.c FROM parts x JOIN book b USING (j) QUALIFY row_number() OVER (PARTITION BY x.vec_id, x.j ORDER BY {l2_sql('x.p', 'b.c')}, b.code) = 1)"""
+
+
+@query(f"WITH {FIT_SQL}, q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 20) " + top_sql(f"SELECT query_id, vec_id AS doc_id, round(list_sum(list({dot_sql(_part('q.v', 'j'), 'c')} ORDER BY j)), 6) AS score FROM q, codes GROUP BY 1, 2", "dotproduct").replace("SELECT query_id, doc_id, rank, score", "SELECT query_id, doc_id, score", 1))
 def pq_fit_topk(spark, sf_dir):
-    d = spread(dense(spark, sf_dir))
-    pq = ProductQuantizer.fit(d, 8, "dotproduct", n_iter=5)
-    return pq.top_k(pq.encode(d), dense_queries(spark, sf_dir), K)
+    """A collection converted to a codebook of its own (one iteration, in which no cluster is empty)."""
+    data = VectorDataset(spread(dense(spark, sf_dir)), Meta(Layout.DENSE, 64)).convert("pq", m=8, n_iter=1)
+    return data.search(dense_queries(spark, sf_dir), K).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _pq_data(spark, sf_dir) -> EncodedDataset:
+    return EncodedDataset.of(VectorDataset(spread(dense(spark, sf_dir)), Meta(Layout.DENSE, 64)), fixed_pq(spark, sf_dir))
+
+
+PQ_DECODED = f"{BOOK_SQL}, d AS (SELECT vec_id AS doc_id, flatten(list(c ORDER BY j)) AS v FROM codes GROUP BY 1)"
+
+
+@query(f"WITH {PQ_DECODED}, q AS (SELECT doc_id AS query_id, v FROM d WHERE doc_id BETWEEN 300 AND 309) " + top_sql(f"SELECT query_id, doc_id, round({dot_sql('q.v', 'd.v')}, 9) AS score FROM q, d", "dotproduct"))
+def pq_vectors_as_queries(spark, sf_dir):
+    """Coded vectors search their own collection."""
+    data = _pq_data(spark, sf_dir)
+    return _rounded(data.search(data.as_queries(F.col("vec_id").between(300, 309)), K))
+
+
+@query(f"WITH {BOOK_SQL} SELECT vec_id, j::INTEGER AS part, code::INTEGER AS code FROM codes")
+def pq_from_codebook_rows(spark, sf_dir):
+    """The codebook as rows and back, then the collection saved and loaded."""
+    pq = ProductQuantizer.from_frame(fixed_pq(spark, sf_dir).to_frame(spark))
+    path = f"{store.shared_folder(spark)}/pq"
+    store.save(EncodedDataset.of(VectorDataset(dense(spark, sf_dir), Meta(Layout.DENSE, 64)), pq), path)
+    return store.load(spark, path).df.select("vec_id", F.posexplode("codes").alias("part", "code")).withColumn("code", F.col("code").cast("int"))
 
 
 # several vectors a document
@@ -430,12 +478,210 @@ def maxsim_two_level_topk(spark, sf_dir):
     return _rounded(tl.top_k(tl.encode(spread(tokens(spark, sf_dir))), token_queries(spark, sf_dir), K))
 
 
-@query()
+NORMS_SQL = f"""rests AS (SELECT e.vec_id, c.vec_id AS coarse_id, c.embedding AS coarse, list_transform(list_zip(e.embedding, c.embedding), lambda z: (z[1] - z[2])::FLOAT) AS raw FROM embeddings e, embeddings c WHERE c.vec_id < 16
+QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY {l2_sql('e.embedding', 'c.embedding')}, c.vec_id) = 1),
+lengths AS (SELECT *, greatest(sqrt({dot_sql('raw', 'raw')}), 1e-12)::FLOAT AS length FROM rests),
+near AS (SELECT vec_id, coarse_id, coarse, {stored_sql('length', 'f16')}::DOUBLE AS norm, list_transform(list_zip(raw, list_transform(raw, lambda x: length)), lambda z: (z[1]::DOUBLE / z[2]::DOUBLE)::FLOAT) AS rest FROM lengths),
+book AS (SELECT j, vec_id AS code, {_part('embedding', 'j')} AS c FROM embeddings, range(8) r(j) WHERE vec_id < 256),
+codes AS (SELECT n.vec_id, n.coarse_id, n.coarse, n.norm, b.j, b.code, b.c FROM near n, book b QUALIFY row_number() OVER (PARTITION BY n.vec_id, b.j ORDER BY {l2_sql(_part('n.rest', 'b.j'), 'b.c')}, b.code) = 1), """
+
+
+def _two_level(spark, sf_dir, norms: bool) -> multivec.TwoLevelQuantizer:
+    return multivec.TwoLevelQuantizer(first_rows(spark, sf_dir, 16), fixed_pq(spark, sf_dir), norms)
+
+
+@query(maxsim_sql(f"SELECT query_id, doc_id, q_token, any_value({dot_sql('q.v', 'coarse')}) + any_value(norm) * list_sum(list({dot_sql(_part('q.v', 'j'), 'c')} ORDER BY j)) AS s FROM q, t JOIN codes ON codes.vec_id = t.token GROUP BY query_id, doc_id, q_token, token", NORMS_SQL))
 def maxsim_two_level_norms_topk(spark, sf_dir):
-    tl = multivec.TwoLevelQuantizer.fit_from_coarse(tokens(spark, sf_dir), first_rows(spark, sf_dir, 16), 8, True, n_iter=3)
+    tl = _two_level(spark, sf_dir, True)
     return _rounded(tl.top_k(tl.encode(spread(tokens(spark, sf_dir))), token_queries(spark, sf_dir), K))
 
 
+@query(f"WITH {NORMS_SQL.rstrip(', ')} SELECT vec_id // 4 AS doc_id, (vec_id % 4)::INTEGER AS token, coarse_id::INTEGER AS coarse, j::INTEGER AS part, code::INTEGER AS code, norm FROM codes")
+def two_level_encode(spark, sf_dir):
+    """The codes of all tokens, with the nearest centroids handed in as ids."""
+    tl = _two_level(spark, sf_dir, True)
+    docs = spread(tokens(spark, sf_dir))
+    ids = tl.encode(docs).select("doc_id", F.col("tokens.coarse").alias("coarse"))
+    e = tl.encode_with_ids(docs.join(ids, "doc_id")).select("doc_id", F.posexplode("tokens").alias("token", "t"))
+    return e.select("doc_id", "token", F.col("t.coarse").alias("coarse"), F.col("t.norm").cast("double").alias("norm"), F.posexplode("t.codes").alias("part", "code")).withColumn("code", F.col("code").cast("int"))
+
+
+@query(f"WITH {NORMS_SQL.rstrip(', ')}, d AS (SELECT vec_id, any_value(coarse) AS coarse, any_value(norm) AS norm, flatten(list(c ORDER BY j)) AS v FROM codes GROUP BY 1), x AS (SELECT vec_id, norm, unnest(coarse)::FLOAT AS a, unnest(v)::DOUBLE AS b, generate_subscripts(v, 1) - 1 AS dim FROM d) SELECT vec_id // 4 AS doc_id, (vec_id % 4)::INTEGER AS token, dim::INTEGER AS dim, (a + (norm * b)::FLOAT)::FLOAT::DOUBLE AS value FROM x")
+def two_level_decode(spark, sf_dir):
+    tl = _two_level(spark, sf_dir, True)
+    path = f"{store.shared_folder(spark)}/two"
+    store.save(EncodedDataset.of(VectorDataset(spread(tokens(spark, sf_dir)), Meta(Layout.MULTIVEC, 64)), tl), path)
+    back = store.load(spark, path).decoded().df.select("doc_id", F.posexplode("tokens").alias("token", "v"))
+    return back.select("doc_id", "token", F.posexplode("v").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"WITH {BOOK_SQL}, x AS (SELECT vec_id, j, unnest(c)::DOUBLE AS value, generate_subscripts(c, 1) AS i FROM codes) SELECT vec_id // 4 AS doc_id, (vec_id % 4)::INTEGER AS token, (j * 8 + i - 1)::INTEGER AS dim, value FROM x")
+def multivec_pq_decode(spark, sf_dir):
+    data = EncodedDataset.of(VectorDataset(spread(tokens(spark, sf_dir)), Meta(Layout.MULTIVEC, 64)), multivec.TokenQuantizer(fixed_pq(spark, sf_dir)))
+    back = data.decoded().df.select("doc_id", F.posexplode("tokens").alias("token", "v"))
+    return back.select("doc_id", "token", F.posexplode("v").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+@query(maxsim_sql(f"SELECT query_id, doc_id, q_token, {dot_sql('q.v', 't.v')} AS s FROM q, t").replace("WHERE doc_id < 5", "WHERE doc_id BETWEEN 50 AND 54"))
+def maxsim_stored_as_queries(spark, sf_dir):
+    data = VectorDataset(spread(tokens(spark, sf_dir)), Meta(Layout.MULTIVEC, 64)).checked()
+    return _rounded(data.search(data.as_queries(F.col("doc_id").between(50, 54)), K))
+
+
+@query(f"SELECT vec_id // 4 AS doc_id, (vec_id % 4)::INTEGER AS token, dim::INTEGER AS dim, {stored_sql('x', 'f16')}::DOUBLE AS value FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::FLOAT AS x FROM embeddings)")
+def multivec_convert_f16(spark, sf_dir):
+    """All tokens in order, stored as half-precision numbers."""
+    data = VectorDataset(tokens(spark, sf_dir), Meta(Layout.MULTIVEC, 64)).convert("f16").freeze()
+    return data.df.select("doc_id", F.posexplode("tokens").alias("token", "v")).select("doc_id", "token", F.posexplode("v").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+# sources, sinks and access
+VALUES_SQL = "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings"
+
+
+def _values(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+def _put(path: str, raw: bytes) -> str:
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    with system.open_output_stream(place) as f:
+        f.write(raw)
+    return path
+
+
+def _npy(spark, sf_dir, name: str, most: int = 1 << 62) -> str:
+    x = matrix(dense(spark, sf_dir).where(F.col("vec_id") < most).orderBy("vec_id").toArrow().column("vector"))
+    out = io.BytesIO()
+    np.save(out, x)
+    return _put(f"{store.shared_folder(spark)}/{name}.npy", out.getvalue())
+
+
+def _sparse_file(spark, sf_dir) -> str:
+    """The sparse vectors as a file; their ids there are their places in the order of vec_id."""
+    t = sparse(spark, sf_dir).orderBy("vec_id").toArrow()
+    rows = [np.array([len(c.values)], "<u4").tobytes() + c.values.to_numpy().astype("<u4").tobytes() + v.values.to_numpy().astype("<f4").tobytes() for c, v in zip(t.column("components"), t.column("values"))]
+    return _put(f"{store.shared_folder(spark)}/rows.bin", np.array([len(rows)], "<u4").tobytes() + b"".join(rows))
+
+
+def placed_sql(where: str = "true") -> str:
+    return f"WITH {sparse_sql()}, n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM (SELECT DISTINCT vec_id FROM p)) SELECT n AS vec_id, c AS component, v::DOUBLE AS value FROM p JOIN n USING (vec_id) WHERE {where}"
+
+
+def _components(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.explode(F.arrays_zip("components", "values")).alias("e")).select("vec_id", F.col("e.components").alias("component"), F.col("e.values").cast("double").alias("value"))
+
+
+@query(VALUES_SQL)
+def npy_read(spark, sf_dir):
+    binary.register(spark)
+    return _values(spark.read.format("npy").option("rows", 100).load(_npy(spark, sf_dir, "all")))
+
+
+@query(placed_sql())
+def sparse_file_read(spark, sf_dir):
+    return _components(binary.read_sparse(spark, _sparse_file(spark, sf_dir)))
+
+
+@query(placed_sql("n < 7"))
+def sparse_file_read_limit(spark, sf_dir):
+    return _components(binary.read_sparse(spark, _sparse_file(spark, sf_dir), limit=7))
+
+
+@query(f"SELECT * FROM ({VALUES_SQL}) WHERE vec_id < 50")
+def dense_from_buffer(spark, sf_dir):
+    return _values(binary.from_dense_buffer(spark, first_rows(spark, sf_dir, 50).ravel(), 50))
+
+
+@query(f"SELECT vec_id // 5 AS doc_id, (vec_id % 5)::INTEGER AS token, dim, value FROM ({VALUES_SQL}) WHERE vec_id < 50")
+def tokens_from_buffer(spark, sf_dir):
+    df = binary.from_token_buffer(spark, first_rows(spark, sf_dir, 50).ravel(), np.arange(11) * 5 * 64, 64)
+    return df.select("doc_id", F.posexplode("tokens").alias("token", "v")).select("doc_id", "token", F.posexplode("v").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"SELECT vec_id, dim, {stored_sql('value', 'bf16')}::DOUBLE AS value FROM ({VALUES_SQL})")
+def saved_and_loaded(spark, sf_dir):
+    path = f"{store.shared_folder(spark)}/dense"
+    store.save(VectorDataset(dense(spark, sf_dir), Meta(Layout.DENSE, 64)).convert("bf16"), path)
+    data = store.load(spark, path)
+    assert data.meta.codec is Codec.BF16
+    return _values(data.checked().df)
+
+
+@query(f"SELECT query_id, doc_id, rank, score::FLOAT::DOUBLE AS score FROM ({dense_sql('dotproduct', 'f16')})")
+def ground_truth_file(spark, sf_dir):
+    """The command line over npy files, its file of results read again."""
+    folder = store.shared_folder(spark)
+    a = cli.parser().parse_args(["-i", _npy(spark, sf_dir, "docs"), "-q", _npy(spark, sf_dir, "queries", 20), "-o", f"{folder}/out", "-d", "dotproduct", "-v", "f16"])
+    store.write_ground_truth(cli.ground_truth(spark, a), a.output)
+    return store.read_ground_truth(spark, a.output).withColumn("score", F.col("score").cast("double"))
+
+
+@query(f"SELECT query_id, doc_id, rank, score::FLOAT::DOUBLE AS score FROM (WITH {sparse_sql()}, n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM (SELECT DISTINCT vec_id FROM p)), m AS (SELECT a.n AS query_id, b.n AS doc_id, sum(x.v::DOUBLE * y.v::DOUBLE) AS s FROM p x JOIN p y USING (c) JOIN n a ON a.vec_id = x.vec_id JOIN n b ON b.vec_id = y.vec_id GROUP BY 1, 2), a AS (SELECT a.n AS query_id, b.n AS doc_id, coalesce(s, 0.0) AS score FROM n a CROSS JOIN n b LEFT JOIN m ON m.query_id = a.n AND m.doc_id = b.n) " + top_sql("SELECT * FROM a", "dotproduct") + ")")
+def ground_truth_file_sparse(spark, sf_dir):
+    """The same for a sparse file that searches itself."""
+    path, folder = _sparse_file(spark, sf_dir), store.shared_folder(spark)
+    a = cli.parser().parse_args(["-i", path, "-q", path, "-o", f"{folder}/out", "-d", "dotproduct", "--dataset-type", "sparse"])
+    store.write_ground_truth(cli.ground_truth(spark, a), a.output)
+    return store.read_ground_truth(spark, a.output).withColumn("score", F.col("score").cast("double"))
+
+
+@query(f"SELECT query_id, doc_id, sqrt(score) AS distance FROM ({dense_sql('euclidean', k=1)})")
+def dense_nearest_euclidean(spark, sf_dir):
+    """Metrics are names: the same rows relabelled, then their nearest by true distance."""
+    data = VectorDataset(spread(dense(spark, sf_dir)), Meta(Layout.DENSE, 64)).relabel(metric="euclidean", codec="f32")
+    return data.nearest(dense_queries(spark, sf_dir)).select("query_id", "doc_id", D.euclidean(F.col("score")).alias("distance"))
+
+
+@query(f"""WITH {sparse_sql(1 / 64)}, q AS (SELECT vec_id AS query_id, embedding AS v, {dot_sql('embedding', 'embedding')} AS qn FROM embeddings WHERE vec_id < 5)
+SELECT query_id, vec_id AS doc_id, round(any_value(qn) + list_sum(list(p.v::DOUBLE * p.v::DOUBLE ORDER BY c)) - 2.0 * list_sum(list(q.v[c + 1]::DOUBLE * p.v::DOUBLE ORDER BY c)), 9) AS score FROM q, p WHERE c < 64 GROUP BY 1, 2""")
+def dense_sparse_l2(spark, sf_dir):
+    q = dense_queries(spark, sf_dir, 5).withColumnRenamed("vector", "qv")
+    d = sparse(spark, sf_dir, 1 / 64).withColumn("items", F.filter(F.arrays_zip("components", "values"), lambda x: x["components"] < 64)).where(F.size("items") > 0)
+    d = d.select(F.col("vec_id").alias("doc_id"), F.col("items.components").alias("c"), F.col("items.values").alias("v"))
+    dot = D.dense_sparse_dot(F.col("qv"), F.col("c"), F.col("v"))
+    return search.cross(q, d).select("query_id", "doc_id", F.round(D.not_nan(D.sparse_l2(dot, D.norm(F.col("qv")), D.norm(F.col("v")))), 9).alias("score"))
+
+
+@query(f"SELECT * FROM ({VALUES_SQL}) WHERE vec_id IN (17, 23)")
+def vectors_by_id_and_range(spark, sf_dir):
+    data = VectorDataset(dense(spark, sf_dir), Meta(Layout.DENSE, 64))
+    return _values(data.get(17).unionByName(data.get_by_range(23 * 64, 24 * 64)))
+
+
+@query("SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC)::INTEGER AS place FROM embeddings QUALIFY place <= 30")
+def scan_backwards(spark, sf_dir):
+    rows = VectorDataset(dense(spark, sf_dir), Meta(Layout.DENSE, 64)).scan(descending=True).select("vec_id").limit(30)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("vec_id"))))
+
+
+@query(sparse_dot_sql())
+def sparse_topk_dot_join(spark, sf_dir):
+    """The same by a join on components."""
+    return search.sparse_top_k(sparse(spark, sf_dir), sparse_queries(spark, sf_dir), K, "dotproduct", "join")
+
+
+@query(sparse_dot_sql(1 / 64, "fixedu8").replace("c, raw AS v FROM p WHERE vec_id < 5", "c, v FROM p WHERE vec_id BETWEEN 10 AND 14"))
+def packed_vectors_as_queries(spark, sf_dir):
+    """A packed collection, saved and loaded, whose own vectors search it; components that occur together have close numbers."""
+    docs = sparse(spark, sf_dir, 1 / 64)
+    path = f"{store.shared_folder(spark)}/packed"
+    store.save(VectorDataset(docs, Meta(Layout.SPARSE, sparse_dim(docs))).convert("packed", order="cooccurrence"), path)
+    data = store.load(spark, path)
+    return data.search(data.as_queries(F.col("vec_id").between(10, 14)), K)
+
+
+@query(f"SELECT count(*) AS vectors, (count(*) * 8)::BIGINT AS nnz, (16 + 4 * 256 * 64 + 16 + 8 * count(*))::BIGINT AS pq_bytes, (16 + 8 * (8 + 16 + 4 * 256 * 8) + 16 + 8 * (count(DISTINCT vec_id // 4) + 1) + 16 + 8 * count(*))::BIGINT AS token_pq_bytes, (16 + 8 + 16 + 4 * 16 * 64 + 8 * (8 + 16 + 4 * 256 * 8) + 16 + 8 * (count(DISTINCT vec_id // 4) + 1) + 16 + 14 * count(*))::BIGINT AS two_level_bytes FROM embeddings")
+def space_usage_encoded(spark, sf_dir):
+    """Bytes of coded collections with their encoders."""
+    pq, many = _pq_data(spark, sf_dir), VectorDataset(tokens(spark, sf_dir), Meta(Layout.MULTIVEC, 64))
+    token_pq, two = EncodedDataset.of(many, multivec.TokenQuantizer(pq.encoder)), EncodedDataset.of(many, _two_level(spark, sf_dir, True))
+    row = (len(pq), pq.nnz(), pq.space_bytes(), token_pq.space_bytes(), two.space_bytes())
+    return spark.createDataFrame([row], "vectors long, nnz long, pq_bytes long, token_pq_bytes long, two_level_bytes long")
+
+
 # two stages
 def _stages(spark, sf_dir, **options):
     d = spread(dense(spark, sf_dir))
@@ -474,6 +720,14 @@ def rerank_early_exit(spark, sf_dir):
     return _stages(spark, sf_dir, beta=3)
 
 
+@query(rerank_sql("true"))
+def rerank_index(spark, sf_dir):
+    """The same by an index of both stages."""
+    data = VectorDataset(spread(dense(spark, sf_dir)), Meta(Layout.DENSE, 64))
+    index = rerank.RerankIndex(ExhaustiveIndex.build(data, "bf16"), data)
+    return index.search(dense_queries(spark, sf_dir), dense_queries(spark, sf_dir), 50, K)
+
+
 # evaluation and space
 @query(f"WITH x AS ({dense_sql('dotproduct')}), y AS ({dense_sql('dotproduct', 'fixedu8')}) SELECT count(y.doc_id)::DOUBLE / count(*) AS recall FROM x LEFT JOIN y USING (query_id, doc_id)")
 def recall_at_k(spark, sf_dir):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
+import tempfile
+import uuid
 from dataclasses import asdict
 
 import numpy as np
@@ -15,6 +18,20 @@ from sparkvec.operators.encoded import ENCODERS, EncodedDataset
 from sparkvec.schema import Codec, Layout, Meta, Metric
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, in spark.checkpoint.dir; a temporary one only where that is unset and everything runs in one process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/sparkvec-{uuid.uuid4().hex}")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        return re.sub(r"^file:/+", "file:///", system.makeQualified(path).toString())
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='sparkvec-')}"
+
+
 def save(data: VectorDataset | EncodedDataset, path: str, mode: str = "errorifexists") -> None:
     """Parquet beside a one-row table of what it is, and one of its encoder's arrays, if it has one."""
     data.df.write.mode(mode).parquet(f"{path}/rows")

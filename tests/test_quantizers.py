@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sparkvec import cli
 
 from sparkvec.operators import common, evaluate, kmeans, multivec, packed, pq, rerank, search
-from sparkvec.operators.dataset import VectorDataset
-from sparkvec.schema import Layout, Meta
+from sparkvec.operators.dataset import ExhaustiveIndex, VectorDataset
+from sparkvec.operators.encoded import EncodedDataset
+from sparkvec.schema import Layout, Meta, Metric
 from sparkvec.sources import binary, store
 
 
@@ -264,3 +265,115 @@ def test_command_line(spark, tmp_path):
         a = cli.parser().parse_args(["-i", str(tmp_path / "s.bin"), "-q", str(tmp_path / "s.bin"), "-o", "x", "-d", "dotproduct", "--dataset-type", "sparse", *more])
         assert sorted(map(tuple, cli.ground_truth(spark, a).collect())) == [(0, 0, 1, 10.0), (0, 1, 2, 0.0), (1, 0, 2, 0.0), (1, 1, 1, 4.0)] or more
 
+
+
+def test_encoded_collections_come_back(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(300, 8)).astype(np.float32)
+    plain = VectorDataset(dense(spark, x), Meta(Layout.DENSE, 8, metric=Metric.L2))
+    rows = VectorDataset(sparse(spark, [{1: 1.5, 10: 2}, {2: 0.5, 11: 1}, {}]), Meta(Layout.SPARSE, 12))
+    many = VectorDataset(token_docs(spark, np.random.default_rng(2).normal(size=(80, 4, 8))), Meta(Layout.MULTIVEC, 8))
+    made = [plain.convert("pq", m=4, n_iter=1), rows.convert("packed"), many.convert("token_pq", m=4, n_iter=1), many.convert("two_level", coarse=3, m=4, n_iter=1)]
+    for i, (data, source) in enumerate(zip(made, (plain, rows, many, many))):
+        store.save(data, str(tmp_path / str(i)))
+        back = store.load(spark, str(tmp_path / str(i)))
+        assert isinstance(back, EncodedDataset) and back.kind == data.kind and back.meta == data.meta and back.space_bytes() == data.space_bytes() > 0
+        q = source.as_queries(F.col(source.key) < 2)
+        got, want = (sorted(map(tuple, d.search(q, 3).collect())) for d in (back, data))
+        assert got == want and len(got) == 6 and len(back) == len(source) and back.nearest(q).count() == 2
+        own = back.search(back.as_queries(F.col(back.key) == 0), 3)
+        assert own.count() == 3 and back.get(0).count() == 1
+        grown = back.append(source.df.where(F.col(source.key) < 2))
+        assert len(grown) == len(source) + 2 and sorted(r[0] for r in grown.df.select(back.key).collect()) == list(range(len(source) + 2))
+        with pytest.raises(IndexError):
+            back.get(10**6)
+    for bad in (lambda: plain.convert("packed"), lambda: plain.convert("two_level"), lambda: many.convert("other")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_both_stages_as_an_index(spark):
+    docs, q = sparse(spark, [{0: 1, 1: 2}, {1: 3}, {2: 1}, {0: 2}]), sparse(spark, [{0: 1.0, 1: 1.0}], "query_id")
+    plain = VectorDataset(docs, Meta(Layout.SPARSE, 3))
+    first = ExhaustiveIndex.build(plain, "packed")
+    assert first.n_elements() == 4 and first.dim() == 3 and first.space_bytes() > 0
+    for second in (plain, plain.convert("packed")):
+        index = rerank.RerankIndex(first, second)
+        assert len(index) == 4 and not index.is_empty()
+        assert [(r.doc_id, r.score) for r in index.search(q, q, 3, 2).orderBy("rank").collect()] == [(0, 3.0), (1, 3.0)]
+        assert index.search(q, q, 3, 2, alpha=0.0, beta=1).count() == 2
+    many = VectorDataset(token_docs(spark, [[(1, 0), (0, 1)], [(2, 0)], [(0, 3)]]), Meta(Layout.MULTIVEC, 2))
+    tq = token_docs(spark, [[(1, 0)]], "query_id")
+    assert [r.doc_id for r in rerank.RerankIndex(many, many).search(tq, tq, 3, 2).orderBy("rank").collect()] == [1, 0]
+
+
+def test_coarse_training_with_given_centroids(spark, two_level):
+    docs, quantizers = two_level
+    q = quantizers[True]
+    nearest = q.encode(docs).select("doc_id", F.col("tokens.coarse").alias("coarse"))
+    again = multivec.TwoLevelQuantizer.fit_from_coarse(docs, q.coarse, 4, True, n_iter=3, assignments=nearest)
+    assert (again.pq.codebook == q.pq.codebook).all()
+    other = docs.select("doc_id", F.transform("tokens", lambda t: F.lit(1)).alias("coarse"))
+    assert (multivec.TwoLevelQuantizer.fit_from_coarse(docs, q.coarse, 4, True, n_iter=1, assignments=other).pq.codebook != q.pq.codebook).any()
+    few = multivec.TwoLevelQuantizer.fit_from_coarse(docs, q.coarse, 4, True, n_iter=1, sample=400)
+    assert few.pq.codebook.shape == q.pq.codebook.shape
+    forced = q.encode_with_ids(docs.join(other, "doc_id"))
+    assert {c for r in forced.limit(9).collect() for c in [t.coarse for t in r.tokens]} == {1}
+    for bad in (docs.select("doc_id", F.array(F.lit(9)).alias("coarse")), docs.select("doc_id", F.array().cast("array<int>").alias("coarse"))):
+        with pytest.raises(Exception):
+            q.encode_with_ids(docs.join(bad, "doc_id")).collect()
+    for norms, z in quantizers.items():
+        t = np.random.default_rng(3).normal(size=(5, 8)).astype(np.float32)
+        assert all((a == b).all() for a, b in zip(z.from_bytes(z.to_bytes(t)), z.parts(t)))
+        with pytest.raises(ValueError):
+            z.from_bytes(z.to_bytes(t)[:-1])
+
+
+def test_components_that_occur_together_are_close(spark):
+    random = np.random.default_rng(5)
+    places = random.permutation(400).reshape(8, 50)
+    docs = sparse(spark, [{int(c): 1.0 for c in sorted(random.choice(places[i % 8], 12, replace=False))} for i in range(200)])
+    sizes = []
+    for order in ("cooccurrence", "frequency"):
+        mapping = packed.train_mapping(docs, 400, order)
+        assert sorted(mapping.tolist()) == list(range(400))
+        sizes.append(sum(max(mapping[list(r.components)]) - min(mapping[list(r.components)]) for r in docs.collect()))
+    assert sizes[0] < 0.85 * sizes[1]
+
+
+def test_many_queries_meet_documents_in_boxes(spark, monkeypatch):
+    """Beyond what may be sent to all tasks, every layout gives the same rows."""
+    x = np.random.default_rng(1).normal(size=(300, 8)).astype(np.float32)
+    plain = VectorDataset(dense(spark, x).repartition(3), Meta(Layout.DENSE, 8))
+    rows = VectorDataset(sparse(spark, [{i % 7: 1.5, 10 + i % 3: 2} for i in range(40)]), Meta(Layout.SPARSE, 14))
+    many = VectorDataset(token_docs(spark, [np.random.default_rng(i).normal(size=(i % 4, 8)) for i in range(60)]), Meta(Layout.MULTIVEC, 8))
+    sets = [(plain.convert("pq", m=4, n_iter=1), plain), (rows.convert("packed"), rows), (rows, rows), (many, many)]
+    want = [sorted(map(tuple, d.search(s.as_queries(F.col(s.key) < 5), 4).collect())) for d, s in sets]
+    monkeypatch.setattr(multivec, "SIMILARITIES", 20)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(search, "SPARSE_BLOCK", 2)
+    got = [sorted(map(tuple, d.search(s.as_queries(F.col(s.key) < 5), 4).collect())) for d, s in sets]
+    assert got == want and all(len(w) == 20 for w in want)
+
+
+def test_small_sides_are_measured(spark, tmp_path):
+    """A filter over a large table counts by its rows, so documents aren't shuffled to meet it."""
+    spark.range(200_000).withColumn("x", F.col("id") * 0.5).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    few = table.where("id < 8")
+    limit = 50_000
+    assert common.bytes_of(few) > limit and common.small(few, limit) and not common.small(table, limit)
+    assert common.small(table, limit, most=100) and not common.small(table, limit, most=10**6)
+    plan = table.join(common.sized(few, limit), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_sums_in_a_tree(spark):
+    rows = [(i, bytearray(np.array([i, 0.1 * i]).tobytes())) for i in range(200)]
+    df = spark.createDataFrame(rows, "task long, x binary").repartition(7)
+    for tasks in (1, 5000):
+        assert np.frombuffer(common.tree_sum(df, ("x",), tasks).x) == pytest.approx([19900, 1990])
+
+
+def test_imbalance_counts_empty_clusters(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (1, 2, 1.0)], "vec_id long, cluster int, distance double")
+    assert kmeans.objective(a).first().imbalance == 1 and kmeans.objective(a, 4).first().imbalance == 2 == kmeans.imbalance([1, 0, 1, 0])
