@@ -133,7 +133,7 @@ def build(model: Model, normalise: bool = True):
 
 
 class Codec:
-    """Encodes columns of texts; keeps the words that it has met. Without `verify`, exact and parity are not looked at."""
+    """Encodes columns of texts; keeps the words that it has met. Without `verify`, parity is not looked at."""
 
     def __init__(self, raw: bytes, threads: int = 2, keep: int = 1_000_000, verify: bool = True):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -269,7 +269,7 @@ class Codec:
         counts = total[of[1:]] - total[of[:-1]]
         wrong = np.concatenate([[0], np.cumsum(~self.equal[place][word])])
         parity = wrong[of[1:]] == wrong[of[:-1]]
-        exact = self._same(ids, counts, data, offsets) if self.verify else np.ones(docs, dtype=bool)
+        exact = self._same(ids, counts, data, offsets)
         return ids, counts, exact, parity
 
     def decoded(self, ids: np.ndarray) -> np.ndarray:

@@ -195,32 +195,32 @@ def _write(folder: str, raw: bytes, width: int):
     def work(batches):
         from pyspark import TaskContext
 
-        codec = Codec(raw, 1)
+        codec = Codec(raw, 1, verify=False)
         writer, out = None, []
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 piece = batch.slice(lo, 1000)
-                ids, counts, exact, parity = codec.encode(piece.column("text"))
+                ids, counts, exact, _ = codec.encode(piece.column("text"))
                 if writer is None:
                     writer = Writer(folder, f"tokens-{TaskContext.get().partitionId():06d}", width)
                 flat, size = ids.astype(f"<u{width}").tobytes(), counts * width
                 ends = np.cumsum(size)
                 keys = longs(piece.column("key"))
                 blocks = [writer.add(k, flat[e - n : e]) for k, e, n in zip(keys.tolist(), ends.tolist(), size.tolist())]
-                out.append((keys, np.array(blocks, dtype=np.int32), counts, exact, parity))
+                out.append((keys, np.array(blocks, dtype=np.int32), counts, exact))
         if writer is None:
             return
         name = writer.close()
-        for keys, blocks, counts, exact, parity in out:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([name] * len(keys)), pa.array(blocks), pa.array(counts.astype(np.int64)), pa.array(exact), pa.array(parity)], names=["doc_id", "shard", "block", "n_tokens", "exact", "parity"])
+        for keys, blocks, counts, exact in out:
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([name] * len(keys)), pa.array(blocks), pa.array(counts.astype(np.int64)), pa.array(exact)], names=["doc_id", "shard", "block", "n_tokens", "exact"])
 
     return work
 
 
 def write(docs: DataFrame, folder: str, model: str = MODEL, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the token ids of docs to shards in `folder`; doc_id, shard, block, n_tokens, exact, parity of each entry.
+    """Writes the token ids of docs to shards in `folder`; doc_id, shard, block, n_tokens, exact of each entry.
 
-    exact and parity are those of sentencepiece_codec.encode().
+    exact: decoding the tokens gives the normalised text. Parity with sentencepiece is what sentencepiece_codec.encode() looks at.
 
     Null and empty texts are entries without tokens. Rows with a null doc_id have
     no key and are left out. Repeated doc_ids are as many entries under one key,
@@ -234,7 +234,7 @@ def write(docs: DataFrame, folder: str, model: str = MODEL, shards: int | None =
     # As many shards as there are partitions of exchanged data, more where they would get too large.
     shards = shards or max(parts(docs.sparkSession), -(-(own.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS))
     own = own.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
-    manifest = stored(own.mapInArrow(tidy_batches(_write(folder, raw, width)), "doc_id long, shard string, block int, n_tokens long, exact boolean, parity boolean"), "manifest")
+    manifest = stored(own.mapInArrow(tidy_batches(_write(folder, raw, width)), "doc_id long, shard string, block int, n_tokens long, exact boolean"), "manifest")
     settle(folder, manifest)
     return manifest
 

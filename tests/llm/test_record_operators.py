@@ -360,7 +360,7 @@ def test_shards_hold_every_document(spark, monkeypatch):
     names = sorted(r[0] for r in manifest.select("shard").distinct().collect())
     scanned = [(k, tuple(t.tolist())) for n in names for k, t in sstable.Reader(folder, n).scan()]
     assert sorted(scanned) == want and [k for k, _ in scanned] == sorted(k for k, _ in scanned)
-    assert sum(sstable.Reader(folder, n).entries for n in names) == len(want) and manifest.where("not exact or not parity").count() == 0
+    assert sum(sstable.Reader(folder, n).entries for n in names) == len(want) and manifest.where("not exact").count() == 0
     monkeypatch.setattr(sstable, "sized", lambda df: df)  # very many shards
     assert sorted((r.doc_id, tuple(r.ids)) for r in sstable.look_up(keys, manifest, folder).collect()) == want
     assert sstable.write(docs.limit(0), new_path(spark, "shards")).count() == 0
