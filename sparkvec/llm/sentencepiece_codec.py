@@ -32,7 +32,7 @@ from sparkvec.llm.common import cut, list_array, ranges, take, tidy_batches
 MODEL = os.environ.get("SPARKVEC_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 18
 
 
 def fields(raw: bytes):
