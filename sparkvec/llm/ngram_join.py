@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by T-occurrence search (DivideSkip).
+"""N-gram Jaccard join by T-occurrence search (after DivideSkip).
 
 Every document is a query and a candidate. A document is the set of its word
 n-grams (lower case; words are runs of letters and digits). Two documents match
@@ -17,13 +17,15 @@ inverted lists. Nothing is capped, and but for the hash collisions below nothing
    list is sent on. The lists of those that stay are ordered by length; the
    longest, as many as cannot reach that overlap by themselves, are its *long*
    lists. The first list that two matching classes share in the common order
-   is short for both, so classes that no chain of short lists joins never
-   match, and each such chain is searched by itself.
-4. Within a chain, DivideSkip: each query's short lists are merged (one merge
-   of all queries' lists, by sorting (query, class) pairs: the batch form of a
-   heap merge), candidates whose count plus the weight of the query's long
-   lists falls short are dropped, and the rest are probed in the long lists
-   by binary search. Classes that reach T are kept with their exact overlap.
+   is short for both, and what either has from that list on reaches the overlap
+   that sets of their sizes need. So the classes on a list, ordered by size,
+   fall into stretches that no match leaves; classes that no chain of such
+   stretches joins never match, and chains are searched apart.
+4. A chain of many classes is cut into blocks, and each two blocks are a task's
+   work: what a task holds doesn't grow with the chain. In a task, candidates
+   are looked up on the short lists, by size and by what is left of both; each
+   candidate is then counted in all lists, and those that reach T are kept
+   with their exact overlap.
 
 Matching is up to hash collisions: 48-bit n-gram hashes cut to 32 bits within
 a range, so a pair of sets with a and b n-grams gains an n-gram by chance with
@@ -39,14 +41,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvec.llm import textnp
-from sparkvec.llm.common import blobs, cut, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take, tidy_batches, tidy_group
+from sparkvec.llm.common import STORED, blobs, cut, drop_stored, list_array, longs, numbered, parts, place, ranges, row_id, runs, sized, stored, take, tidy_batches, tidy_group
 
 #: Postings that a map task gathers before it writes them out by range.
 FLUSH = 1 << 21
+#: Postings of a block of a chain, and classes from which a chain is cut into up to SPREAD blocks though it holds fewer: tasks are the parallelism.
+BLOCK_POSTINGS, BLOCK_CLASSES, SPREAD = 1_500_000, 700, 8
+#: Pairs of classes that are marked at a time, and postings or candidates that are opened.
+MARKED, OPENED = 1 << 23, 1 << 20
 #: Documents of a class that all_pairs() holds in one row; two such rows are one row's work.
 BLOCK = 1000
 
 _EXCHANGE = "part int, signatures binary, counts binary, grams binary, ids binary, rows binary, sizes binary"
+_PACKED = "sig long, size long, members long, n long, lists binary, weights binary"
 _LISTS = "kind int, list long, weight long, members array<long>, weights binary, doc_id long, row long, size long"
 
 
@@ -194,98 +201,194 @@ def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def divide_skip(chain, sig, lst, weight, length, size, threshold):
-    """All matching pairs of classes, chain by chain: (class, class, overlap, size, size).
+def rests(count: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each posting, the weight of it and of all later ones of its class."""
+    total = np.concatenate([[0], np.cumsum(weight)])
+    return total[np.repeat(np.cumsum(count), count)] - total[:-1]
+
+
+def largest(rest: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """The size of the largest set that can match one of `size` elements if the first list they share leaves it `rest`."""
+    return np.floor(np.minimum((rest + 1e-6) * (1 + threshold) / threshold - size, size / threshold + 1e-6)).astype(np.int64)
+
+
+def _pack(threshold: float):
+    """Postings to classes: lists and weights in the common order, of the classes whose weights reach the overlap that any match needs."""
+
+    def work(table: pa.Table) -> pa.Table:
+        sig, lst, weight, length, size, members = (table.column(c).to_numpy() for c in ("sig", "list", "weight", "length", "size", "members"))
+        order = np.lexsort((lst, length, sig))
+        sig, lst, weight, size, members = sig[order], lst[order], weight[order], size[order], members[order]
+        start, count = runs(sig)
+        if len(start):
+            keep = np.add.reduceat(weight, start) >= np.ceil(threshold * size[start] - 1e-9)
+            start, count = start[keep], count[keep]
+        at = ranges(start, count)
+        return pa.table({"sig": sig[start], "size": size[start], "members": members[start], "n": count.astype(np.int64), "lists": pa.array(blobs(lst[at], count), pa.binary()), "weights": pa.array(blobs(weight[at].astype(np.uint32), count), pa.binary())})
+
+    return work
+
+
+def _cat(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _short(threshold: float):
+    """The short lists of classes, with the largest size that a match may have whose first shared list is this one."""
 
-    The arrays hold one posting (class, list) each; `length` is the list's
-    length and with its number the common order of the lists.
+    def work(batches):
+        for batch in batches:
+            sig, size, count = (longs(batch.column(c)) for c in ("sig", "size", "n"))
+            lst, weight = _cat(batch.column("lists"), np.int64), _cat(batch.column("weights"), np.uint32).astype(np.int64)
+            of = np.repeat(np.arange(len(sig)), count)
+            rest = rests(count, weight)
+            use = np.flatnonzero(rest >= np.ceil(threshold * size[of] - 1e-9))
+            for lo in range(0, len(use), OPENED):
+                at = use[lo : lo + OPENED]
+                own = of[at]
+                yield pa.RecordBatch.from_pydict({"list": lst[at], "sig": sig[own], "size": size[own], "most": largest(rest[at], size[own], threshold)})
+
+    return work
+
+
+def _stretches(table: pa.Table) -> pa.Table:
+    """A spanning forest of the classes that a stretch of some list joins."""
+    lst, sig, size, most = (table.column(c).to_numpy() for c in ("list", "sig", "size", "most"))
+    order = np.lexsort((sig, size, lst))
+    lst, sig, size, most = lst[order], sig[order], size[order], most[order]
+    _, number = np.unique(lst, return_inverse=True)
+    # The largest size that any class so far on the list may meet.
+    room = np.int64(max(most.max(initial=0), size.max(initial=0)) + 1)
+    number = number * room
+    reach = np.maximum.accumulate(np.maximum(most, 0) + number)
+    joined = 1 + np.flatnonzero((number[1:] == number[:-1]) & (reach[:-1] >= number[1:] + size[1:]))
+    nodes, root = components(sig[joined - 1], sig[joined])
+    differ = nodes != root
+    return pa.table({"a": nodes[differ], "b": root[differ]})
+
+
+def search(size, count, lst, weight, right, threshold):
+    """Yields (x, others, overlaps) for the matching pairs of classes: x is one class by number, others are distinct.
+
+    The postings (lst, weight) stand class by class, in the common order.
+    right: None for all pairs, else whether a class is of the right side, which meets the left side only.
     """
-    # Small numbers instead of 64-bit names: a chain may be large.
+    m = len(size)
     _, lst = np.unique(lst, return_inverse=True)
     lst = lst.astype(np.int32)
-    names, sig = np.unique(sig, return_inverse=True)
-    sig = sig.astype(np.int32)
-    order = np.lexsort((lst, length, sig, chain))
-    chain, sig, lst, weight, size = chain[order], sig[order], lst[order], weight[order].astype(np.int32), size[order]
-    del length, order
-    start, count = runs(chain, sig)
-    query = np.repeat(np.arange(len(start), dtype=np.int32), count)
-    of_sig, of_size = names[sig[start]], size[start]
-    total = np.concatenate([[0], np.cumsum(weight)])
-    rest = total[(start + count)[query]] - total[:-1]  # weight of this list and all later ones of the query
-    least = np.ceil(threshold * of_size - 1e-9)
-    long_ = rest < least[query]
-    del size, total, rest, sig
-    long_weight = np.bincount(query, weights=np.where(long_, weight, 0), minlength=len(start))
-    # Lists within their chain, members by query number: the inverted index. Queries of a chain are numbered in one run.
-    order = np.lexsort((query, lst, chain))
-    l_start, l_count = runs(chain[order], lst[order])
-    l_members = query[order]
-    l_of = np.empty(len(order), dtype=np.int32)
-    l_of[order] = np.repeat(np.arange(len(l_start), dtype=np.int32), l_count)
-    del chain, lst, order
-    combined = np.repeat(np.arange(len(l_start)), l_count) * np.int64(len(start)) + l_members
-    out = []
-    # Merge the short lists of some queries at a time, as many as fill about half a million postings.
-    short = np.flatnonzero(~long_)
-    cost = np.cumsum(l_count[l_of[short]])
-    lo = 0
-    while lo < len(short):
-        base = cost[lo - 1] if lo else 0
-        hi = int(np.searchsorted(cost, base + (1 << 19), side="right"))
-        hi = max(hi, lo + 1)
-        if hi < len(short):  # not within a query
-            q = query[short[hi - 1]]
-            if query[short[hi]] == q:
-                back = int(np.searchsorted(query[short], q))
-                hi = back if back > lo else int(np.searchsorted(query[short], q, side="right"))
-        use = short[lo:hi]
-        lo = hi
-        n = l_count[l_of[use]]
-        who = np.repeat(query[use], n)
-        other = l_members[ranges(l_start[l_of[use]], n)]
-        w = np.repeat(weight[use], n)
-        later = other > who  # each pair is met from both sides; the first asks
-        who, other, w = who[later], other[later], w[later]
-        fits = np.minimum(of_size[who], of_size[other]) >= threshold * np.maximum(of_size[who], of_size[other]) - 1e-9
-        who, other, w = who[fits], other[fits], w[fits]
-        order = np.lexsort((other, who))
-        who, other, w = who[order], other[order], w[order]
-        p_start, p_count = runs(who, other)
-        if not len(p_start):
-            continue
-        who, other = who[p_start], other[p_start]
-        met = np.add.reduceat(w, p_start)
-        want = needed(of_size[who], of_size[other], threshold)
-        alive = met + long_weight[who] >= want
-        who, other, met, want = who[alive], other[alive], met[alive].astype(np.float64), want[alive]
-        # Probe the long lists, the next of each query in turn, and drop candidates that can't get there any more.
-        left = long_weight[who].copy()
-        tail = start[who] + count[who]
-        at = tail - np.bincount(query, weights=long_, minlength=len(start)).astype(np.int64)[who]
-        todo = np.flatnonzero(at < tail)
-        while len(todo):
-            key = l_of[at[todo]].astype(np.int64) * len(start) + other[todo]
-            found = np.searchsorted(combined, key)
-            hit = combined[np.minimum(found, len(combined) - 1)] == key
-            ww = weight[at[todo]]
-            met[todo] += np.where(hit, ww, 0)
-            left[todo] -= ww
-            at[todo] += 1
-            todo = todo[(at[todo] < tail[todo]) & (met[todo] + left[todo] >= want[todo])]
-        good = met + 0.5 >= want
-        good &= at >= tail
-        who, other, met = who[good], other[good], met[good]
-        out.append((of_sig[who], of_sig[other], met.astype(np.int64), of_size[who], of_size[other]))
-    if not out:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(5))
+    weight = weight.astype(np.int64)
+    start = np.cumsum(count) - count
+    of = np.repeat(np.arange(m, dtype=np.int32), count)
+    rest = rests(count, weight)
+    short = np.flatnonzero(rest >= np.ceil(threshold * size - 1e-9)[of])
+    short = short[np.lexsort((size[of[short]], lst[short]))]
+    cls = of[short]
+    own, most, at = size[cls], largest(rest[short], size[cls], threshold), lst[short].astype(np.int64) << 32
+    del of, rest, short
+    key, end = at + own, at + np.maximum(most, 0)
+    if right is None:
+        plans = [(np.arange(len(cls)), np.arange(1, len(cls) + 1), np.searchsorted(key, end, side="right"), np.arange(len(cls)))]
+    else:  # the smaller asks; of two of one size the left one
+        l, r = np.flatnonzero(~right[cls]), np.flatnonzero(right[cls])
+        plans = [(l, np.searchsorted(key[r], key[l], side="left"), np.searchsorted(key[r], end[l], side="right"), r), (r, np.searchsorted(key[l], key[r], side="right"), np.searchsorted(key[l], end[r], side="right"), l)]
+    del key, end, at
+    mark = np.zeros(int(lst.max(initial=-1)) + 1, dtype=np.int64)
+    for who, lo, hi, place_ in plans:
+        use = np.flatnonzero(hi > lo)
+        use = use[np.argsort(cls[who[use]], kind="stable")]
+        who, lo, n = who[use], lo[use], (hi - lo)[use]
+        asks = cls[who]
+        rows = max(1, MARKED // max(1, m))
+        for first in range(0, m, rows):
+            i, stop = np.searchsorted(asks, [first, first + rows])
+            if i == stop:
+                continue
+            met = np.zeros(rows * m, dtype=bool)
+            cost = np.cumsum(n[i:stop])
+            j = 0
+            while j < len(cost):
+                k = max(j + 1, int(np.searchsorted(cost, (cost[j - 1] if j else 0) + OPENED, side="right")))
+                a, c = who[i + j : i + k], n[i + j : i + k]
+                b = place_[ranges(lo[i + j : i + k], c)]
+                fits = most[b] >= np.repeat(own[a], c)
+                met[(np.repeat((cls[a].astype(np.int64) - first) * m, c) + cls[b])[fits]] = True
+                j = k
+            found = np.flatnonzero(met)
+            del met
+            x, y = found // m + first, found % m
+            for s, c in zip(*runs(x)):
+                one, ys = int(x[s]), y[s : s + c]
+                mine = lst[start[one] : start[one] + count[one]]
+                mark[mine] = weight[start[one] : start[one] + count[one]]
+                sums = []
+                cost = np.cumsum(count[ys])
+                j = 0
+                while j < len(ys):
+                    k = max(j + 1, int(np.searchsorted(cost, (cost[j - 1] if j else 0) + OPENED, side="right")))
+                    c_ = count[ys[j:k]]
+                    sums.append(np.add.reduceat(mark[lst[ranges(start[ys[j:k]], c_)]], np.cumsum(c_) - c_))
+                    j = k
+                mark[mine] = 0
+                overlap = np.concatenate(sums)
+                good = overlap + 0.5 >= needed(size[one], size[ys], threshold)
+                if good.any():
+                    yield one, ys[good], overlap[good]
+
+
+def _opened(table: pa.Table) -> tuple:
+    """The arguments of search(): a group holds whole chains (block -1), a block, or two."""
+    size, count, block = (table.column(c).to_numpy() for c in ("size", "n", "block"))
+    right = block != block.min() if len(block) and block.min() != block.max() else None
+    return size, count, _cat(table.column("lists"), np.int64), _cat(table.column("weights"), np.uint32), right
 
 
 def _search(threshold: float):
+    """All matching pairs of a group."""
+
+    def work(table: pa.Table) -> pa.Table:
+        sig, size = (table.column(c).to_numpy() for c in ("sig", "size"))
+        if len(sig) and (table.column("lo").to_numpy() != table.column("hi").to_numpy()).any() and pc.count_distinct(table.column("block")).as_py() < 2:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "overlap", "size_a", "size_b")})  # the other block is empty
+        none = [np.zeros(0, dtype=np.int64)]
+        a, b, met = [], [], []
+        for x, ys, overlap in search(*_opened(table), threshold):
+            a.append(np.full(len(ys), x))
+            b.append(ys)
+            met.append(overlap)
+        a, b = np.concatenate(a or none), np.concatenate(b or none)
+        return pa.table({"a": sig[a], "b": sig[b], "overlap": np.concatenate(met or none), "size_a": size[a], "size_b": size[b]})
+
+    return work
+
+
+def _search_stars(threshold: float):
+    """For each class of a group that matches another: the least class that matches join it to here, and the number of documents that it matches."""
+
     def work(table: pa.Table) -> pa.Table:
-        a, b, met, na, nb = divide_skip(*[table.column(c).to_numpy() for c in ("chain", "sig", "list", "weight", "length", "size")], threshold)
-        return pa.table({"a": a, "b": b, "overlap": met, "size_a": na, "size_b": nb})
+        sig, members = (table.column(c).to_numpy() for c in ("sig", "members"))
+        links = np.zeros(len(sig), dtype=np.int64)
+        root = np.arange(len(sig))
+        a, b, held = [], [], 0
+
+        def join():
+            nonlocal root
+            nodes, least = components(np.concatenate([root[np.concatenate(a)], root]), np.concatenate([root[np.concatenate(b)], np.arange(len(sig))]))
+            root = least  # all classes are nodes: their numbers are their places
+
+        if not (len(sig) and (table.column("lo").to_numpy() != table.column("hi").to_numpy()).any() and pc.count_distinct(table.column("block")).as_py() < 2):
+            for x, ys, _ in search(*_opened(table), threshold):
+                links[x] += members[ys].sum()
+                links[ys] += members[x]
+                a.append(np.full(len(ys), x))
+                b.append(ys)
+                held += len(ys)
+                if held >= OPENED:
+                    join()
+                    a, b, held = [], [], 0
+            if held:
+                join()
+        has = links > 0
+        return pa.table({"sig": sig[has], "root": sig[root[has]], "links": links[has]})
 
     return work
 
@@ -312,8 +415,8 @@ def _forest(table: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[differ], "b": root[differ]})
 
 
-#: Edges of a spanning forest that one task may finish (16 bytes each).
-ONE_TASK = 4_000_000
+#: Edges of a spanning forest that one task may finish (about 100 bytes each while it does).
+ONE_TASK = 2_000_000
 
 
 def chains(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
@@ -343,12 +446,25 @@ def chains(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     return stars.unionByName(stars.select(F.col("chain").alias("sig"), "chain").distinct())
 
 
-def matches(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text"):
-    """(classes, pairs) of the join over all rows of docs.
+def shared_out(packed: DataFrame, label: DataFrame, postings: int = BLOCK_POSTINGS, classes: int = BLOCK_CLASSES) -> DataFrame:
+    """packed with the group that searches each class: (part, lo, hi) with the class's own block.
 
-    classes: sig, doc_id, row, size for each document with at least one word.
-    pairs: a, b, overlap, size_a, size_b for each two different classes that match.
+    A chain of up to `classes` classes and `postings` postings is searched as a whole, with others (block -1).
+    A larger one has a group for each two of its blocks; a class goes to the groups of its block.
     """
+    split = parts(packed.sparkSession)
+    sizes = packed.select("sig", "n").join(sized(label), "sig").groupBy("chain").agg(F.sum("n").alias("postings"), F.count("*").alias("classes"))
+    blocks = F.greatest(F.ceil(F.col("postings") / postings), F.least(F.lit(SPREAD), F.ceil(F.col("classes") / classes))).cast("int")
+    large = stored(sizes.select("chain", blocks.alias("blocks")).where("blocks > 1"), "large")
+    work = packed.join(sized(label), "sig").join(sized(large), "chain", "left")
+    whole = work.where("blocks is null").select(F.pmod(F.hash("chain"), F.lit(split)).cast("long").alias("part"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(-1).alias("block"), *packed.columns)
+    cut_ = work.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut_ = cut_.select(F.col("chain").alias("part"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *packed.columns)
+    return whole.unionByName(cut_).repartition(split, "part", "lo", "hi")
+
+
+def grouped(docs: DataFrame, n: int, threshold: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, work) of the join over all rows of docs: classes as in matches(), work as in shared_out()."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n positive")
     spark = docs.sparkSession
@@ -356,26 +472,45 @@ def matches(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc
     split = min(60_000, parts(spark))
     sent = own.mapInArrow(tidy_batches(_exchange(n, split)), _EXCHANGE)
     lists = stored(sent.groupBy("part").applyInArrow(tidy_group(_to_lists(split)), _LISTS), "lists")
-    classes = lists.where("kind = 0").select(F.col("list").alias("sig"), "doc_id", "row", "size")
-    sizes = classes.groupBy("sig").agg(F.max("size").alias("size"))
+    done = [STORED[-1]]
+    classes = stored(lists.where("kind = 0").select(F.col("list").alias("sig"), "doc_id", "row", "size"), "classes")
+    sizes = classes.groupBy("sig").agg(F.max("size").alias("size"), F.count("*").alias("members"))
     least = F.ceil(F.lit(threshold) * F.col("size") - 1e-9)
     totals = lists.where("kind = 2").select("list", "members", "weights").groupBy("list").applyInArrow(_totals, "sig long, total long")
     # Most classes share too little with all others together to match any of them.
-    alive = stored(totals.join(sizes, "sig").where(F.col("total") >= least).select("sig", "size"), "alive")
+    alive = stored(totals.join(sizes, "sig").where(F.col("total") >= least).select("sig", "size", "members"), "alive")
+    done.append(STORED[-1])
     posts = lists.where("kind = 1").select("list", "weight", F.explode("members").alias("sig")).join(sized(alive.select("sig")), "sig", "left_semi")
     posts = posts.repartition("list").groupBy("list", "sig").agg(F.sum("weight").alias("weight"))
-    posts = posts.withColumn("length", F.count("*").over(Window.partitionBy("list"))).where("length > 1")
-    per = Window.partitionBy("sig")
-    reach = posts.join(sized(alive), "sig").withColumn("sum", F.sum("weight").over(per)).where(F.col("sum") >= least)
-    later = per.orderBy(F.desc("length"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
-    reach = reach.withColumn("short", F.sum("weight").over(later) >= least)
-    posts = stored(reach.select("sig", "list", "weight", "length", "size", "short"), "posts")
-    # Members of a list need only meet its least member.
-    heads = posts.where("short").select(F.col("sig").alias("a"), F.min("sig").over(Window.partitionBy("list")).alias("b"))
-    label = stored(chains(heads.where("a <> b").distinct()), "chains")
-    work = posts.drop("short").join(label, "sig").withColumn("bucket", F.pmod(F.hash("chain"), F.lit(split)))
-    pairs = work.groupBy("bucket").applyInArrow(tidy_group(_search(threshold)), "a long, b long, overlap long, size_a long, size_b long")
-    return classes, pairs
+    posts = posts.withColumn("length", F.count("*").over(Window.partitionBy("list"))).where("length > 1").join(sized(alive), "sig")
+    home = posts.withColumn("home", F.pmod(F.hash("sig"), F.lit(split))).groupBy("home")
+    packed = stored(home.applyInArrow(tidy_group(_pack(threshold)), _PACKED), "packed")
+    drop_stored(spark, done)
+    short = packed.select("sig", "size", "n", "lists", "weights").mapInArrow(_short(threshold), "list long, sig long, size long, most long")
+    joined = short.withColumn("part", F.pmod(F.hash("list"), F.lit(split))).groupBy("part").applyInArrow(tidy_group(_stretches), "a long, b long")
+    return classes, shared_out(packed, stored(chains(joined), "chains"))
+
+
+def matches(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text"):
+    """(classes, pairs) of the join over all rows of docs.
+
+    classes: sig, doc_id, row, size for each document with at least one word.
+    pairs: a, b, overlap, size_a, size_b for each two different classes that match.
+    """
+    classes, work = grouped(docs, n, threshold, key, text)
+    return classes, work.groupBy("part", "lo", "hi").applyInArrow(tidy_group(_search(threshold)), "a long, b long, overlap long, size_a long, size_b long")
+
+
+def teams(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text"):
+    """(classes, label, links): classes as in matches(), (sig, team) and (sig, links) of each class that matches another.
+
+    team: a class of those that chains of matches join; links: the number of
+    documents of other classes that match. Pairs never leave the tasks that find them.
+    """
+    classes, work = grouped(docs, n, threshold, key, text)
+    stars = stored(work.groupBy("part", "lo", "hi").applyInArrow(tidy_group(_search_stars(threshold)), "sig long, root long, links long"), "stars")
+    label = chains(stars.select(F.col("sig").alias("a"), F.col("root").alias("b"))).withColumnRenamed("chain", "team")
+    return classes, label, stars.groupBy("sig").agg(F.sum("links").alias("links"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -436,9 +571,7 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "do
 
     Rows without words all stay; of a row repeated exactly one stays. All columns are kept as they are.
     """
-    classes, pairs = matches(docs, n, threshold, key, text)
-    pairs = stored(pairs.select("a", "b"), "pairs")
-    label = chains(pairs).withColumnRenamed("chain", "team")
+    classes, label, _ = teams(docs, n, threshold, key, text)
     teamed = classes.join(label, "sig", "left").withColumn("team", F.coalesce("team", "sig"))
     order = Window.partitionBy("team").orderBy(F.col("doc_id") == F.lit(-(1 << 63)), "doc_id", "row")
     ranked = teamed.withColumn("n", F.row_number().over(order)).groupBy("row").agg(F.min("n").alias("n"))

@@ -116,6 +116,31 @@ def test_chains_agree_for_any_number_of_rounds(spark):
     assert few == many and {c for _, c in few} == {0, 100}
 
 
+def lined(documents, lines=9, of=6):
+    """Texts of some lines of a small pool: one chain, and many pairs that match."""
+    random = np.random.default_rng(11)
+    pool = [" ".join(f"p{i}w{j}" for j in range(9)) for i in range(lines)]
+    return [" ".join(pool[k] for k in random.permutation(lines)[: random.integers(2, of + 1)]) + f" tail{i % 40}" for i in range(documents)]
+
+
+def test_a_large_chain_is_searched_by_blocks(spark, monkeypatch):
+    texts = lined(90)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [grams(t, 3) for t in texts]
+    want = sorted((a, b, len(x & y)) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and x & y and 2 * len(x & y) >= len(x | y))
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(docs).collect())
+    whole = ngram_join.shared_out
+    monkeypatch.setattr(ngram_join, "shared_out", lambda packed, label: whole(packed, label, postings=400, classes=20))
+    _, work = ngram_join.grouped(docs, 3, 0.5, "doc_id", "text")
+    groups = work.groupBy("part", "lo", "hi").count().collect()
+    classes = len(set(sets))
+    # No task holds the chain; all its blocks meet, each two once.
+    blocks = max(r.hi for r in groups) + 1
+    assert blocks > 2 and len([r for r in groups if r.lo >= 0]) == blocks * (blocks + 1) // 2 and max(r["count"] for r in groups) < classes * 0.8
+    assert sorted((r.doc_id, r.match_id, r.overlap) for r in ngram_join.all_pairs(docs).collect()) == want and len(want) > 100
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == kept and len(kept) < len(texts)
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
