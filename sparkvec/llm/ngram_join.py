@@ -52,6 +52,8 @@ MARKED, OPENED = 1 << 23, 1 << 20
 #: Documents of a class that all_pairs() holds in one row; two such rows are one row's work.
 BLOCK = 1000
 
+#: What a text with at least one word has (textnp.WORD_BYTE).
+WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 _EXCHANGE = "part int, signatures binary, counts binary, grams binary, ids binary, rows binary, sizes binary"
 _PACKED = "sig long, size long, members long, n long, lists binary, weights binary"
 _LISTS = "kind int, list long, weight long, members array<long>, weights binary, doc_id long, row long, size long"
@@ -538,6 +540,31 @@ def jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str =
     return same.unionByName(near)
 
 
+def linked(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, class_id, links.
+
+    class_id is the least doc_id (nulls last) of the documents that chains of
+    matches join to this one, links the number of other rows that match it
+    itself: copies and near copies alike, all of them. Pairs are counted where
+    they are found and never written, so rows grow as docs do.
+
+    Null, empty and word-less texts match nothing: a class of their own, 0 links.
+    Repeated rows and null ids are as in jaccard_join(); the doc_id -2**63 reads as null.
+    """
+    classes, label, links = teams(docs, n, threshold, key, text)
+    classes = classes.select("sig", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")).alias("doc_id"))
+    label = stored(label, "teams")
+    heads = classes.join(sized(label), "sig").groupBy("team").agg(F.min("doc_id").alias("class_id"))
+    found = stored(label.join(links, "sig").join(sized(heads), "team").select("sig", "class_id", "links"), "found")
+    same = Window.partitionBy("sig")
+    own = classes.withColumn("head", F.min("doc_id").over(same)).withColumn("copies", F.count("*").over(same) - 1)
+    # Found or not is told by links: a class of null ids alone has a null for its name.
+    met = own.join(sized(found), "sig", "left").select("doc_id", F.when(F.col("links").isNull(), F.col("head")).otherwise(F.col("class_id")).alias("class_id"), (F.col("copies") + F.coalesce("links", F.lit(0))).alias("links"))
+    none = take(docs, key=key, text=text).where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(F.col("key").cast("long").alias("doc_id"))
+    none = none.select(F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")).alias("doc_id"))
+    return met.unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))
+
+
 def all_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Every pair of matching documents: doc_id, match_id, overlap, jaccard.
 

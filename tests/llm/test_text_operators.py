@@ -102,6 +102,24 @@ def test_all_pairs_on_odd_rows(spark, odd):
     assert ngram_join.all_pairs(odd.limit(0)).count() == 0
 
 
+def test_linked_matches_brute_force(spark):
+    texts = lined(90) + ["just one", "just one", "no match to be found", "", None, " ?! "]
+    sets = [grams(t, 3) for t in texts]
+    near = [[b for b, y in enumerate(sets) if a != b and x & y and 2 * len(x & y) >= len(x | y)] for a, x in enumerate(sets)]
+    team = list(range(len(texts)))
+    for _ in texts:
+        team = [min([team[a], *(team[b] for b in near[a])]) for a in range(len(texts))]
+    got = sorted(map(tuple, ngram_join.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    # A row a document, though there are more links.
+    assert got == [(a, team[a], len(near[a])) for a in range(len(texts))] and sum(map(len, near)) > 2 * len(texts)
+
+
+def test_linked_on_odd_rows(spark, odd):
+    got = sorted(((r.doc_id, r.class_id, r.links) for r in ngram_join.linked(odd).collect()), key=str)
+    assert got == sorted([(1, 1, 3), (1, 1, 3), (2, 1, 3), (None, 1, 3), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 1), (7, 6, 1), (None, None, 0), (8, 8, 1), (9, 8, 1)], key=str)
+    assert ngram_join.linked(odd.limit(0)).count() == 0
+
+
 def test_ngram_pairs_agree_with_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
