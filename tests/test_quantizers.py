@@ -377,3 +377,41 @@ def test_sums_in_a_tree(spark):
 def test_imbalance_counts_empty_clusters(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (1, 2, 1.0)], "vec_id long, cluster int, distance double")
     assert kmeans.objective(a).first().imbalance == 1 and kmeans.objective(a, 4).first().imbalance == 2 == kmeans.imbalance([1, 0, 1, 0])
+
+
+def test_slices_of_queries_are_sent_alone():
+    """47 slices of one table, pickled as such, held the table 47 times and filled the driver."""
+    import pickle
+
+    import pyarrow as pa
+
+    table = pa.table({"query_id": np.arange(6_000), "values": pa.array([[1.0] * 50] * 6_000)})
+    pieces = [common.in_box(table.slice(lo, 128)) for lo in range(0, 6_000, 128)]
+    assert len(pickle.dumps(pieces)) < 1.2 * table.nbytes and pa.concat_tables(map(common.unboxed, pieces)) == table
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_sparse_self_search_by_boxes(spark, metric, monkeypatch, tmp_path):
+    """Boxes of a few vectors that share components with few others, none, or all; ties go to the lower id."""
+    random = np.random.default_rng(2)
+    rows = [{}, {5: 1.0}, {5: -2.0}, {7_000_000: 1.0}] + [{int(c): float(random.integers(-3, 4)) for c in np.sort(random.choice(300, 9, replace=False)) + i // 20 * 100_000} for i in range(80)]
+    docs = sparse(spark, rows)
+    folder = str(tmp_path / "rows")
+    binary.write_sparse(docs.coalesce(1), folder)
+    docs = binary.read_sparse(spark, folder)
+    queries = docs.withColumnRenamed("vec_id", "query_id")
+    x = np.zeros((len(rows), 400_300 + 1))
+    for i, r in enumerate(rows):
+        for c, v in r.items():
+            x[i, min(c, 400_300)] = v
+    product = x @ x.T
+    norm = np.diag(product)
+    score = product if metric is Metric.DOT else norm[:, None] + norm[None, :] - 2 * product
+    want = [(q, int(d), n + 1, float(score[q, d])) for q in range(len(rows)) for n, d in enumerate(np.argsort(-score[q] if metric is Metric.DOT else score[q], kind="stable")[:6])]
+    from sparkvec.operators import sparse_boxes
+
+    monkeypatch.setattr(search, "SPARSE_BYTES", 0)
+    monkeypatch.setattr(sparse_boxes, "BOX_BYTES", 1_000)
+    monkeypatch.setattr(sparse_boxes, "HELD", 60)
+    assert sorted(map(tuple, search.sparse_top_k(docs, queries, 6, metric).collect())) == sorted(want)
+    assert search.sparse_top_k(docs, queries, 0, metric).count() == 0 and search.sparse_top_k(docs.limit(0), queries, 2, metric).count() == 0
