@@ -8,10 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvec import cli
+from sparkvec.functions import codec as C
 
 from sparkvec.operators import common, evaluate, kmeans, multivec, packed, pq, rerank, search
 from sparkvec.operators.dataset import ExhaustiveIndex, VectorDataset
 from sparkvec.operators.encoded import EncodedDataset
+from sparkvec.plans import queries
+from sparkvec.plans.queries import QUERIES
 from sparkvec.schema import Layout, Meta, Metric
 from sparkvec.sources import binary, store
 
@@ -415,3 +418,49 @@ def test_sparse_self_search_by_boxes(spark, metric, monkeypatch, tmp_path):
     monkeypatch.setattr(sparse_boxes, "HELD", 60)
     assert sorted(map(tuple, search.sparse_top_k(docs, queries, 6, metric).collect())) == sorted(want)
     assert search.sparse_top_k(docs, queries, 0, metric).count() == 0 and search.sparse_top_k(docs.limit(0), queries, 2, metric).count() == 0
+
+
+@pytest.mark.parametrize("order", ["frequency", "cooccurrence"])
+def test_packed_components_of_more_than_16_bits(spark, order, monkeypatch, tmp_path):
+    """As in the tables from 0.1 GB on; with gaps of one to four bytes, and in steps of a few components."""
+    monkeypatch.setattr(packed, "HEAD", 3)
+    monkeypatch.setattr(packed, "ENTRIES", 4)
+    rows = [{1: 1.5, 300: 2, 70_000: 2.5, 20_000_000: 1}, {2: 0.5, 70_000: 1, 4_000_000_000: 3}, {}, {300: 1.0, 70_000: 0.25}]
+    docs, top = sparse(spark, rows), 4_000_000_001
+    encoder = packed.PackedEncoder.fit(docs, top, order)
+    assert sorted(encoder.mapping.head.tolist()) == [1, 300, 70_000] and encoder.space_bytes() == 16 + 12 + 8
+    c = np.array([0, 1, 2, 3, 299, 300, 301, 69_999, 70_000, 70_001, 4_000_000_000])
+    new = encoder.mapping[c]
+    assert (packed.inverse(encoder.mapping)[new] == c).all() and len(set(new.tolist())) == len(c) and new[c > 70_000].tolist() == c[c > 70_000].tolist()
+    path = str(tmp_path / "packed")
+    store.save(VectorDataset(docs, Meta(Layout.SPARSE, top)).convert("packed", order=order), path)
+    data = store.load(spark, path)
+    assert sorted((r.vec_id, r.components, r.values) for r in data.decoded().df.collect()) == [(i, list(r), list(r.values())) for i, r in enumerate(rows)]
+    queries = sparse(spark, [{300: 2, 70_000: 4, 4_000_000_000: 1}], "query_id")
+    assert [(r.doc_id, r.score) for r in data.search(queries, 4).orderBy("rank").collect()] == [(0, 14.0), (1, 7.0), (3, 3.0), (2, 0.0)]
+
+
+def test_packed_vectors_of_many_components():
+    """Beyond 65,534 components, and beside vectors in the short form, which stays as it was."""
+    random = np.random.default_rng(3)
+    c = [np.arange(5), np.sort(random.choice(1 << 22, 70_000, replace=False)), np.array([], dtype=np.int64), np.array([255, 511, 70_000])]
+    count, v = np.array([len(x) for x in c]), [random.integers(0, 256, len(x)) / 64 for x in c]
+    raw, offsets = packed.pack_rows(np.concatenate(c), np.concatenate(v), count, packed.HeadMapping([], 1 << 22))
+    new, values, n = packed.unpack_rows(raw, offsets[:-1])
+    assert (n == count).all() and (new == np.concatenate(c)).all() and (values == np.concatenate(v)).all() and not (offsets % 8).any()
+    assert raw[: offsets[1]].tobytes() == bytes([5, 0, 0, 0, 1, 1, 1, 1]) + (v[0] * 64).astype(np.uint8).tobytes() + bytes(offsets[1] - 13)
+
+
+@pytest.fixture(scope="module")
+def wide_lines(spark, tmp_path_factory):
+    """Lines of 20 suppliers whose parts have numbers beyond 16 bits, as in copies of the tables with shifted keys."""
+    folder = tmp_path_factory.mktemp("wide")
+    rows = spark.range(600).select((F.col("id") % 20).alias("l_suppkey"), (F.pmod(F.xxhash64("id"), F.lit(40)) * 20_011).alias("l_partkey"), (F.col("id") % 50 + 1).cast("double").alias("l_quantity"))
+    rows.write.parquet(str(folder / "lineitem.parquet"))
+    return str(folder)
+
+
+def test_query_packed_roundtrip_of_many_parts(spark, wide_lines):
+    want = queries.sparse(spark, wide_lines, 1 / 64).withColumn("values", C.store_all(F.col("values"), "fixedu8"))
+    got = QUERIES["packed_roundtrip"](spark, wide_lines)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, queries._components(want).collect())) and got.agg(F.max("component")).first()[0] > 65_536
