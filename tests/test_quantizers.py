@@ -464,3 +464,8 @@ def test_query_packed_roundtrip_of_many_parts(spark, wide_lines):
     want = queries.sparse(spark, wide_lines, 1 / 64).withColumn("values", C.store_all(F.col("values"), "fixedu8"))
     got = QUERIES["packed_roundtrip"](spark, wide_lines)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, queries._components(want).collect())) and got.agg(F.max("component")).first()[0] > 65_536
+
+
+def test_query_packed_topk_of_many_parts(spark, wide_lines):
+    got, want = (sorted(map(tuple, QUERIES[name](spark, wide_lines).collect())) for name in ("packed_topk", "sparse_topk_fixedu8"))
+    assert got == want and len(want) == 50
