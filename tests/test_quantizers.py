@@ -469,3 +469,10 @@ def test_query_packed_roundtrip_of_many_parts(spark, wide_lines):
 def test_query_packed_topk_of_many_parts(spark, wide_lines):
     got, want = (sorted(map(tuple, QUERIES[name](spark, wide_lines).collect())) for name in ("packed_topk", "sparse_topk_fixedu8"))
     assert got == want and len(want) == 50
+
+
+def test_query_packed_vectors_as_queries_of_many_parts(spark, wide_lines):
+    stored = queries.sparse(spark, wide_lines, 1 / 64).withColumn("values", C.store_all(F.col("values"), "fixedu8"))
+    want = search.sparse_top_k(stored, stored.where(F.col("vec_id").between(10, 14)).withColumnRenamed("vec_id", "query_id"), 10)
+    got = QUERIES["packed_vectors_as_queries"](spark, wide_lines)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 50
