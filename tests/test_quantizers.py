@@ -476,3 +476,27 @@ def test_query_packed_vectors_as_queries_of_many_parts(spark, wide_lines):
     want = search.sparse_top_k(stored, stored.where(F.col("vec_id").between(10, 14)).withColumnRenamed("vec_id", "query_id"), 10)
     got = QUERIES["packed_vectors_as_queries"](spark, wide_lines)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 50
+
+
+def test_sparse_files_are_written_by_tasks(spark, wide_lines, monkeypatch, tmp_path):
+    """No vector comes to the driver; ids go on from file to file, and files and splits are cut by bytes."""
+    want = sorted((i, r.components, r.values) for i, r in enumerate(queries.sparse(spark, wide_lines).orderBy("vec_id").collect()))
+    monkeypatch.setattr(binary, "SPLIT_BYTES", 400)
+    monkeypatch.setattr(binary, "BATCH_BYTES", 150)
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "toArrow", None)
+        path = queries._sparse_file(spark, wide_lines)
+    df = binary.read_sparse(spark, path)
+    assert df.rdd.getNumPartitions() > 4 and sorted(map(tuple, df.collect())) == want
+    rows = [dict(zip(c, v)) for _, c, v in want] + [{}, {}]
+    sparse_file(tmp_path / "one.bin", rows)
+    for more in ({}, {"rows": 3}):
+        reader = binary.SparseReader(str(tmp_path / "one.bin"), more.get("rows", 65_536), None, True)
+        splits = reader.partitions()
+        assert len(splits) > 4 and sum(s.count for s in splits) == len(rows) and all(s.count <= 3 for s in splits if more)
+        got = [r for s in splits for b in reader.read(s) for r in b.to_pylist()]
+        assert [(r["vec_id"], r["components"], r["values"]) for r in got] == want + [(len(want) + i, [], []) for i in (0, 1)]
+    binary.write_sparse(df.limit(0), str(tmp_path / "none"))
+    assert binary.read_sparse(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        binary.write_sparse(sparse(spark, [{-1: 1.0}]), str(tmp_path / "bad"))
