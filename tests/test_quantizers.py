@@ -500,3 +500,18 @@ def test_sparse_files_are_written_by_tasks(spark, wide_lines, monkeypatch, tmp_p
     assert binary.read_sparse(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(Exception):
         binary.write_sparse(sparse(spark, [{-1: 1.0}]), str(tmp_path / "bad"))
+
+
+def test_sparse_file_limit_opens_the_first_files_only(spark, tmp_path):
+    """In a folder, over several files, even if those behind the limit are damaged."""
+    (tmp_path / "f").mkdir()
+    for i in range(4):
+        sparse_file(tmp_path / "f" / f"part-{i}.bin", [{i: 1.0}, {i + 9: 2.0}, {}])
+    (tmp_path / "f" / "part-3.bin").write_bytes(b"")
+    (tmp_path / "f" / "_SUCCESS").write_bytes(b"")
+    for limit, files in ((0, 0), (2, 1), (3, 1), (5, 2), (7, 3)):
+        rows = sorted(map(tuple, binary.read_sparse(spark, str(tmp_path / "f"), limit=limit).collect()))
+        assert rows == [(3 * i + j, *x) for i in range(3) for j, x in enumerate((([i], [1.0]), ([i + 9], [2.0]), ([], [])))][:limit]
+        assert len(binary.SparseReader(str(tmp_path / "f"), 9, limit, True).partitions()) == files
+    with pytest.raises(Exception):
+        binary.read_sparse(spark, str(tmp_path / "f")).collect()
